@@ -98,10 +98,10 @@ def grams(word_hash: np.ndarray, doc_word: np.ndarray, n: int, short: bool) -> t
         parts.append((mix64(acc[inside]), doc[inside]))
     if short:
         for d in np.flatnonzero((counts > 0) & (counts < n)):
-            acc = np.uint64(counts[d])
+            acc = np.array([counts[d]], np.uint64)
             for h in word_hash[doc_word[d] : doc_word[d + 1]]:
-                acc = mix64(np.array([acc ^ h]))[0] * np.uint64(0x9E3779B97F4A7C15)
-            parts.append((np.array([acc], np.uint64), np.array([d])))
+                acc = mix64(acc ^ h) * np.uint64(0x9E3779B97F4A7C15)
+            parts.append((acc, np.array([d])))
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])

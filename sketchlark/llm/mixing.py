@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +17,7 @@ from sketchlark.llm.prefix import running_sums
 WEIGHTS, TOTAL_SHARE, MAX_REPEAT, BLOCK, N_SHARDS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 32, 4, 17
 #: The driver apportions blocks to sources; more sources than this are refused rather than cut.
 MAX_SOURCES = 200_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = r"[^\x20\x09-\x0D]++"
 
 
@@ -136,6 +140,51 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int
     return rows.withColumn("mix_taken", taken.cast("long")).drop("_s", "_p")
 
 
+def taken_parts(start: int, size: int, block: int, blocks: int, quota: int, offset: int) -> list[tuple[int, int]]:
+    """The word ranges of a document that lie in blocks taken once more."""
+    extra = quota % blocks if blocks else 0
+    out: list[tuple[int, int]] = []
+    for i in range(start // block, (start + size - 1) // block + 1) if extra and size else ():
+        if (i + 1 + offset) * extra // blocks > (i + offset) * extra // blocks:
+            a, b = max(start, i * block) - start, min(start + size, (i + 1) * block) - start
+            if out and out[-1][1] == a:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
+
+
+def mixed_texts(docs: DataFrame, block: int = BLOCK, text: str = "text", **more) -> DataFrame:
+    """The mix as rows with the columns of ``docs``: a row for each whole time that a document is taken, and one whose
+    text is its words in blocks taken once more, parts joined by a newline. Documents of which nothing is taken go.
+    """
+    names = docs.columns
+    where = names.index(text)
+    rows = mix(docs, block=block, text=text, **more).where("mix_taken > 0")
+    rows = rows.select(*names, "mix_size", "mix_start", "mix_blocks", "mix_quota", "mix_offset")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, texts = [], []
+            plans = zip(*(batch.column(len(names) + i).to_pylist() for i in range(5)))
+            for r, (t, (size, start, blocks, quota, offset)) in enumerate(zip(batch.column(where), plans)):
+                t = t.as_py()
+                whole = quota // blocks
+                row += [r] * whole
+                texts += [t] * whole
+                parts = taken_parts(start, size, block, blocks, quota, offset)
+                if parts:
+                    spans = [m.span() for m in _WORD.finditer(t)]
+                    row.append(r)
+                    texts.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in parts))
+            take = pa.array(row, pa.int64())
+            cols = [c.take(take) for i, c in enumerate(batch.columns[: len(names)])]
+            cols[where] = pa.array(texts, batch.schema.field(where).type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rows.mapInArrow(cut, docs.schema)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     out = mix(docs)

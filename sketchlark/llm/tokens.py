@@ -26,6 +26,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(other)) for b in range(256)]
 
 
+class _Words(dict):
+    """word -> tokens, remembered like pieces."""
+
+    def __init__(self, merged):
+        super().__init__()
+        self.merged = merged
+
+    def __missing__(self, word: str) -> int:
+        n = self.merged(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
+        return n
+
+
 class MergeCounter(dict):
     """piece -> number of tokens, for pieces without white space, filled when asked for.
 
@@ -45,10 +61,13 @@ class MergeCounter(dict):
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = re.compile("|".join(re.escape(a["content"]) for a in spec["added_tokens"])) if spec["added_tokens"] else None
         self.symbols = byte_symbols()
+        self.memo = _Words(self.merged)
 
     def merged(self, word: str) -> int:
         """Tokens of one pre-token: its symbols less the merges made, popping the lowest rank, leftmost pair from a heap."""
-        symbol = [self.symbols[b] for b in word.encode()]
+        symbol = list(word) if word.isascii() else [self.symbols[b] for b in word.encode()]
+        if word[0] < "!" or "\x7f" in word or not word.isprintable():
+            symbol = [self.symbols[b] for b in word.encode()]
         symbol[-1] += self.suffix
         n = count = len(symbol)
         after, before, ranks = list(range(1, n + 1)), list(range(-1, n - 1)), self.ranks
@@ -73,7 +92,7 @@ class MergeCounter(dict):
     def __missing__(self, piece: str) -> int:
         plain = unicodedata.normalize("NFC", piece)
         plain = plain.replace("Σ", "σ").lower()  # character by character: no final sigma
-        n = sum(map(self.merged, self.words.findall(plain)))
+        n = sum(map(self.memo.__getitem__, [plain] if plain.isascii() and plain.isalpha() else self.words.findall(plain)))
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()
