@@ -1,6 +1,298 @@
-"""The library's queries over the driver's tables, with their SQL."""
+"""The library's queries over the driver's tables, with SQL that gives the same rows.
+
+Reads are ``benchmark`` passages, segments are ``documents``, both as nucleotides (see ``dna``); intervals come from
+``lineitem`` (ship day and quantity, by supplier) and ``events``.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sketchlark.functions import sequences as S
+from sketchlark.operators import align, formats, intervals, mapping
+from sketchlark.operators.sketch import COMPLEMENT, SEEDS, rotated, sketch, sketch_stats, threshold
+from sketchlark.params import DRIVER, Metric, Params
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segm_id"), S.dna("text").alias("seq"))
+
+
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), S.dna("text").alias("seq"))
+
+
+def ref_kmers(spark: SparkSession, sf_dir: str, p: Params = DRIVER) -> DataFrame:
+    return sketch(segments(spark, sf_dir), "segm_id", "seq", p.k, p.ratio)
+
+
+def read_kmers(spark: SparkSession, sf_dir: str, p: Params = DRIVER) -> DataFrame:
+    return sketch(reads(spark, sf_dir), "query_id", "seq", p.k, p.ratio)
+
+
+def ordered_seeds(spark: SparkSession, sf_dir: str, p: Params = DRIVER) -> DataFrame:
+    return mapping.seed_order(mapping.seeds(read_kmers(spark, sf_dir, p), mapping.hit_counts(ref_kmers(spark, sf_dir, p), p.max_matches)), p)
+
+
+# SQL of the sketch: both strands' hashes of a window from exclusive-ors over the window, bases rotated by place.
+def _rot(x: str, n: str) -> str:
+    return f"(CASE WHEN {n} = 0 THEN {x} ELSE (({x} & ((1::UBIGINT << (64 - {n})) - 1)) << {n}) | ({x} >> (64 - {n})) END)"
+
+
+def _lut() -> str:
+    import numpy as np
+
+    one = lambda v, n: int(rotated(np.array([v], np.uint64), n)[0])
+    rows = (f"('{c}', {n}, {one(SEEDS[c], 64 - n)}::UBIGINT, {one(SEEDS[COMPLEMENT[c]], n)}::UBIGINT)" for c in "ACGT" for n in range(64))
+    return f"lut(c, n, f, g) AS (VALUES {', '.join(rows)})"
+
+
+def _kmers_sql(name: str, source: str, key: str, column: str, p: Params = DRIVER) -> str:
+    k = p.k
+    signed = "CASE WHEN h >= 9223372036854775808 THEN (h::HUGEINT - 18446744073709551616)::BIGINT ELSE h::BIGINT END"
+    fw, rc = _rot("x", f"((r % 64)::UTINYINT)"), _rot("y", f"(((64 - (r - {k - 1}) % 64) % 64)::UTINYINT)")
+    return f"""
+{name}_s AS (SELECT {key} AS id, regexp_replace(translate({column}, '{S.LETTERS}', '{S.PROJECTED}'), '[^ACGT]', '', 'g') AS seq FROM {source}),
+{name}_b AS (SELECT id, unnest(string_split(seq, '')) AS c, generate_subscripts(string_split(seq, ''), 1) - 1 AS r FROM {name}_s WHERE length(seq) >= {k}),
+{name}_w AS (SELECT id, r, bit_xor(f) OVER w AS x, bit_xor(g) OVER w AS y FROM {name}_b JOIN lut ON {name}_b.c = lut.c AND {name}_b.r % 64 = lut.n WINDOW w AS (PARTITION BY id ORDER BY r ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)),
+{name}_h AS (SELECT id, r, {fw} AS a, {rc} AS b FROM {name}_w WHERE r >= {k - 1}),
+{name} AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY r) - 1)::INTEGER AS tpos, r::INTEGER AS r, {signed} AS h, a > b AS strand FROM (SELECT id, r, a, b, xor(a, b) AS h FROM {name}_h) WHERE h <= {threshold(p.ratio)}::UBIGINT)"""
+
+
+_REF = f"{_lut()}, {_kmers_sql('ref', 'documents', 'doc_id', 'text')}"
+_BOTH = f"{_REF}, {_kmers_sql('qry', 'benchmark', 'item_id', 'text')}"
+_SEEDS = f"""{_BOTH},
+cnt AS (SELECT h, count(*) AS n FROM ref GROUP BY h),
+msize AS (SELECT id, count(*)::INTEGER AS m FROM qry GROUP BY id),
+seeds AS (SELECT q.id AS query_id, q.h, arg_min(q.strand, q.r) AS strand, count(*)::INTEGER AS occs, any_value(coalesce(cnt.n, 0)) AS hits, any_value(m) AS m
+  FROM qry q LEFT JOIN cnt ON q.h = cnt.h JOIN msize ON q.id = msize.id GROUP BY q.id, q.h),
+ranked AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(occs) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+  (floor((1.0::DOUBLE - {DRIVER.theta2!r}::DOUBLE) * m)::INTEGER + 1) AS budget FROM seeds
+  WINDOW w AS (PARTITION BY query_id ORDER BY hits, (h < 0), h))"""
+_BUCKETS = f"""{_SEEDS},
+hit AS (SELECT s.query_id, r.id AS segm_id, r.tpos, r.r, s.h, s.occs, s.m, s.before < s.budget AS used, CASE WHEN s.strand = r.strand THEN 1 ELSE -1 END AS codir FROM ranked s JOIN ref r ON s.h = r.h),
+hb AS (SELECT *, (tpos // m)::INTEGER AS b FROM hit UNION ALL SELECT *, (tpos // m - 1)::INTEGER AS b FROM hit WHERE tpos >= m),
+per AS (SELECT query_id, segm_id, b, h, m, occs, count(*) AS c, sum(codir) AS codirection, min(r) AS r_min, max(r) AS r_max, bool_or(used) AS used FROM hb GROUP BY ALL),
+buckets AS (SELECT * FROM (SELECT query_id, segm_id, b, m, sum(least(c, occs))::BIGINT AS matches, sum(codirection)::BIGINT AS codirection, min(r_min) AS r_min, max(r_max) AS r_max,
+  1.0::DOUBLE - (m - sum(least(c, occs)))::DOUBLE / m AS sh, bool_or(used) AS candidate FROM per GROUP BY query_id, segm_id, b, m) WHERE candidate AND sh >= {DRIVER.theta2!r}::DOUBLE)"""
+_WINDOWS = f"""{_BUCKETS},
+tsize AS (SELECT id AS segm_id, max(tpos) + 1 AS n FROM ref GROUP BY id),
+inb AS (SELECT hb.*, row_number() OVER (PARTITION BY hb.query_id, hb.segm_id, hb.b, hb.h ORDER BY tpos) AS n FROM hb SEMI JOIN buckets USING (query_id, segm_id, b)),
+prev AS (SELECT a.*, coalesce(p.tpos, -1) AS prev FROM inb a LEFT JOIN inb p ON a.query_id = p.query_id AND a.segm_id = p.segm_id AND a.b = p.b AND a.h = p.h AND p.n = a.n - a.occs),
+ev AS (SELECT query_id, segm_id, b, greatest(prev + 1, tpos - m + 1, b * m) AS l, 1 AS d, 0 AS e FROM prev WHERE prev < tpos
+  UNION ALL SELECT query_id, segm_id, b, tpos + 1, -1, 0 FROM prev WHERE prev < tpos
+  UNION ALL SELECT query_id, segm_id, b, greatest(tpos - m + 1, b * m), 0, codir FROM prev
+  UNION ALL SELECT query_id, segm_id, b, tpos + 1, 0, -codir FROM prev
+  UNION ALL SELECT query_id, segm_id, b, b * m, 0, 0 FROM buckets),
+steps AS (SELECT query_id, segm_id, b, l, sum(sum(d)) OVER w AS shared, sum(sum(e)) OVER w AS strands FROM ev GROUP BY query_id, segm_id, b, l WINDOW w AS (PARTITION BY query_id, segm_id, b ORDER BY l)),
+win AS (SELECT s.query_id, s.segm_id, s.b, s.l, s.shared::BIGINT AS shared, s.strands::BIGINT AS strands, k.m, k.sh, t.n AS t_size, row_number() OVER (PARTITION BY s.query_id, s.segm_id, s.b ORDER BY shared DESC, s.l) AS o
+  FROM steps s JOIN buckets k USING (query_id, segm_id, b) JOIN tsize t USING (segm_id) WHERE s.l < least(t.n, (s.b + 2) * k.m)),
+scored AS (SELECT win.query_id, win.segm_id, win.b, win.l, shared, strands, win.m, sh, shared::DOUBLE / win.m AS score, a.r AS T_l, z.r AS T_r
+  FROM win JOIN ref a ON a.id = win.segm_id AND a.tpos = win.l JOIN ref z ON z.id = win.segm_id AND z.tpos = least(win.l + win.m, t_size, (win.b + 2) * win.m) - 1 WHERE o = 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segm_id, b) AS o FROM scored WHERE score > {DRIVER.theta!r}::DOUBLE AND sh >= {DRIVER.theta!r}::DOUBLE) WHERE o = 1),
+other AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.segm_id, s.b) AS o2 FROM scored s JOIN best t ON s.query_id = t.query_id
+  WHERE s.score > t.score * (1 - {DRIVER.min_diff!r}::DOUBLE) AND (s.segm_id <> t.segm_id OR (greatest(s.T_r, t.T_r) > least(s.T_l, t.T_l) AND
+    greatest(0, least(s.T_r, t.T_r) - greatest(s.T_l, t.T_l))::DOUBLE / (greatest(s.T_r, t.T_r) - least(s.T_l, t.T_l)) < {DRIVER.max_overlap!r}::DOUBLE)))"""
+
+
+@query(f"WITH {_REF} SELECT id AS segm_id, tpos, r, h, strand FROM ref")
+def sketch_documents(spark, sf_dir):
+    return ref_kmers(spark, sf_dir)
+
+
+@query(f"WITH {_REF} SELECT (SELECT count(*) FROM documents) AS sequences, (SELECT sum(length(seq))::BIGINT FROM ref_s) AS bases, count(*) AS kmers, count(DISTINCT h) AS distinct_kmers FROM ref")
+def sketch_counts(spark, sf_dir):
+    return sketch_stats(ref_kmers(spark, sf_dir), segments(spark, sf_dir), "seq")
+
+
+@query(f"WITH {_REF}, n AS (SELECT h, count(*) AS n FROM ref GROUP BY h) SELECT sum(n)::BIGINT AS hits, count(*) AS kmers, max(n) AS most_hits, count(*) FILTER (n = 1) AS single, count(*) FILTER (n > 50) AS blacklisted_kmers, coalesce(sum(n) FILTER (n > 50), 0)::BIGINT AS blacklisted_hits FROM n")
+def index_stats(spark, sf_dir):
+    return mapping.index_stats(ref_kmers(spark, sf_dir), 50)
+
+
+@query(f"WITH {_REF} SELECT h, count(*) AS n FROM ref GROUP BY h HAVING count(*) > 50")
+def blacklist_kmers(spark, sf_dir):
+    return mapping.hit_counts(ref_kmers(spark, sf_dir)).where("n > 50")
+
+
+@query(f"WITH {_SEEDS} SELECT query_id, h, strand, occs, hits, m FROM seeds")
+def read_seeds(spark, sf_dir):
+    found = mapping.seeds(read_kmers(spark, sf_dir), mapping.hit_counts(ref_kmers(spark, sf_dir)))
+    return found.select("query_id", "h", "strand", "occs", "hits", "m")
+
+
+@query(f"WITH {_SEEDS} SELECT query_id, h, rank, before, budget, before < budget AS used FROM ranked")
+def seed_budget(spark, sf_dir):
+    return ordered_seeds(spark, sf_dir).select("query_id", "h", F.col("rank").cast("long").alias("rank"), "before", "budget", "used")
+
+
+@query(f"WITH {_BUCKETS} SELECT query_id, segm_id, b, matches, codirection, r_min, r_max, round(sh, 9) AS sh FROM buckets")
+def bucket_matches(spark, sf_dir):
+    out = mapping.bucket_matches(ordered_seeds(spark, sf_dir), ref_kmers(spark, sf_dir), DRIVER)
+    return out.select("query_id", "segm_id", "b", "matches", "codirection", "r_min", "r_max", F.round("sh", 9).alias("sh"))
+
+
+def _mapped(spark, sf_dir, **changed) -> DataFrame:
+    from dataclasses import replace
+
+    p = replace(DRIVER, **changed)
+    return mapping.map_reads(read_kmers(spark, sf_dir, p), ref_kmers(spark, sf_dir, p), p)
+
+
+@query(f"WITH {_BUCKETS} SELECT query_id, segm_id, b, matches, r_min, r_max, round(sh, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sh DESC, segm_id, b) AS o FROM buckets WHERE sh > {DRIVER.theta!r}::DOUBLE) WHERE o = 1")
+def map_bucket_sh(spark, sf_dir):
+    return _mapped(spark, sf_dir, metric=Metric.BUCKET_SH).select("query_id", "segm_id", "b", "matches", "r_min", "r_max", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_WINDOWS} SELECT query_id, segm_id, b, l, shared, strands, T_l AS t_l, T_r AS t_r, round(score, 9) AS score FROM best")
+def map_containment(spark, sf_dir):
+    return _mapped(spark, sf_dir).select("query_id", "segm_id", "b", F.col("l").cast("long").alias("l"), "shared", "strands", F.col("T_l").alias("t_l"), F.col("T_r").alias("t_r"), F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {_WINDOWS} SELECT best.query_id, o.segm_id AS segm_id2, o.b AS b2, round(o.score, 9) AS score2,
+ CASE WHEN 1 - greatest(coalesce(o.score, -1), {DRIVER.theta2!r}::DOUBLE) / best.score > {DRIVER.min_diff!r}::DOUBLE THEN CASE WHEN abs(best.strands) < best.shared // 2 THEN 5 ELSE 60 END ELSE 0 END::INTEGER AS mapq
+ FROM best LEFT JOIN (SELECT * FROM other WHERE o2 = 1) o ON best.query_id = o.query_id""")
+def map_with_second(spark, sf_dir):
+    return _mapped(spark, sf_dir).select("query_id", "segm_id2", "b2", F.round("score2", 9).alias("score2"), "mapq")
+
+
+@query()
+def map_jaccard(spark, sf_dir):
+    return _mapped(spark, sf_dir, metric=Metric.JACCARD).select("query_id", "segm_id", "b", "l", "shared", F.round("score", 9).alias("score"), "mapq")
+
+
+@query()
+def map_lcs(spark, sf_dir):
+    return _mapped(spark, sf_dir, metric=Metric.BUCKET_LCS).select("query_id", "segm_id", "b", F.round("score", 9).alias("score"), "mapq")
+
+
+@query(f"WITH {_WINDOWS} SELECT item_id AS query_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM best)")
+def unmapped_reads(spark, sf_dir):
+    return mapping.unmapped(reads(spark, sf_dir).select("query_id"), _mapped(spark, sf_dir))
+
+
+@query()
+def run_stats(spark, sf_dir):
+    return mapping.run_stats(reads(spark, sf_dir), _mapped(spark, sf_dir))
+
+
+@query()
+def run_warnings(spark, sf_dir):
+    return mapping.run_warnings(run_stats(spark, sf_dir))
+
+
+@query()
+def paf_rows(spark, sf_dir):
+    names = segments(spark, sf_dir).select("segm_id", F.concat(F.lit("doc"), "segm_id").alias("segm_name"), F.length("seq").alias("segm_sz"))
+    sizes = reads(spark, sf_dir).select("query_id", F.length("seq").alias("P_sz"))
+    return formats.paf_lines(_mapped(spark, sf_dir).join(names, "segm_id").join(sizes, "query_id"), DRIVER)
+
+
+@query(f"SELECT doc_id, md5(reverse(translate(regexp_replace(s, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))) AS rc FROM (SELECT doc_id, regexp_replace(translate(text, '{S.LETTERS}', '{S.PROJECTED}'), '[^ACGT]', '', 'g') AS s FROM documents)")
+def revcomp(spark, sf_dir):
+    return segments(spark, sf_dir).select(F.col("segm_id").alias("doc_id"), F.md5(S.reverse_complement("seq")).alias("rc"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE 'doc' || doc_id END AS segment, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars // 3 END AS start, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS \"end\" FROM documents")
+def parse_query_id(spark, sf_dir):
+    name = F.concat_ws("!", F.concat(F.lit("r"), "doc_id"), F.concat(F.lit("doc"), "doc_id"), F.floor(F.col("n_chars") / 3), F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("n_chars").cast("string")), F.lit("+"))
+    part = S.truth(name)
+    return table(spark, sf_dir, "documents").select("doc_id", part.segment.alias("segment"), part.start.alias("start"), part.end.alias("end"))
+
+
+_LINES = "lines AS (SELECT l_suppkey AS chrom, epoch(l_shipdate)::BIGINT // 86400 AS st, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS en, l_orderkey AS id, l_linenumber AS line FROM lineitem)"
+
+
+def line_intervals(spark, sf_dir) -> DataFrame:
+    day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chrom"), day.alias("st"), (day + F.col("l_quantity").cast("long")).alias("en"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"))
+
+
+@query(f"WITH {_LINES} SELECT a.chrom, count(*) AS pairs, sum(least(a.en, b.en) - greatest(a.st, b.st))::BIGINT AS shared FROM lines a JOIN lines b ON a.chrom = b.chrom AND a.st < b.en AND b.st < a.en WHERE a.line = 1 AND b.line = 2 GROUP BY a.chrom")
+def interval_overlap_join(spark, sf_dir):
+    rows = line_intervals(spark, sf_dir)
+    pairs = intervals.overlap_join(rows.where("line = 1"), rows.where("line = 2"), 60)
+    return pairs.groupBy("chrom").agg(F.count("*").alias("pairs"), F.sum(F.least("en", "en_b") - F.greatest("st", "st_b")).alias("shared"))
+
+
+_MERGED = """marked AS (SELECT *, CASE WHEN max(en) OVER (PARTITION BY chrom ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= st THEN 0 ELSE 1 END AS fresh FROM lines),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+merged AS (SELECT chrom, min(st) AS st, max(en) AS en FROM islands GROUP BY chrom, island)"""
+
+
+@query(f"WITH {_LINES}, {_MERGED} SELECT chrom, st, en FROM merged")
+def interval_union(spark, sf_dir):
+    return intervals.merge(line_intervals(spark, sf_dir))
+
+
+@query(f"""WITH {_LINES}, ends AS (SELECT chrom, st AS pos, 1 AS d FROM lines UNION ALL SELECT chrom, en, -1 FROM lines), steps AS (SELECT chrom, pos, sum(d) AS d FROM ends GROUP BY chrom, pos),
+runs AS (SELECT chrom, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) - pos AS n, sum(d) OVER (PARTITION BY chrom ORDER BY pos) AS depth FROM steps)
+SELECT chrom, coalesce(sum(n) FILTER (depth = 1), 0)::BIGINT AS once, sum(n)::BIGINT AS covered FROM runs WHERE depth > 0 GROUP BY chrom""")
+def coverage_once(spark, sf_dir):
+    return intervals.covered_once(line_intervals(spark, sf_dir))
+
+
+@query("""WITH t AS (SELECT lang, n_chars, sum(n_chars) OVER (PARTITION BY lang ORDER BY n_chars DESC) AS run, sum(n_chars) OVER (PARTITION BY lang) AS total FROM documents)
+SELECT lang, total::BIGINT AS total, max(n_chars) AS n50 FROM t WHERE run >= 0.5 * total GROUP BY lang, total""")
+def n50(spark, sf_dir):
+    return intervals.length_quantiles(table(spark, sf_dir, "documents"), "lang", "n_chars")
+
+
+@query(f"""WITH all_lines AS (SELECT * FROM (WITH {_LINES} SELECT * FROM lines)), a AS (WITH lines AS (SELECT * FROM all_lines WHERE line = 1), {_MERGED} SELECT * FROM merged), b AS (WITH lines AS (SELECT * FROM all_lines WHERE line > 1), {_MERGED} SELECT * FROM merged),
+c AS (SELECT (SELECT coalesce(sum(least(a.en, b.en) - greatest(a.st, b.st)), 0)::BIGINT FROM a JOIN b ON a.chrom = b.chrom AND a.st < b.en AND b.st < a.en) AS shared, (SELECT sum(en - st)::BIGINT FROM a) AS found, (SELECT sum(en - st)::BIGINT FROM b) AS wanted)
+SELECT shared, found, wanted, round(shared::DOUBLE / wanted, 6) AS sn, round(shared::DOUBLE / found, 6) AS sp FROM c""")
+def base_sn_sp(spark, sf_dir):
+    rows = line_intervals(spark, sf_dir)
+    return intervals.sensitivity(rows.where("line = 1"), rows.where("line > 1"), 60)
+
+
+@query(f"WITH {_LINES}, g AS (SELECT id, lag(en) OVER (PARTITION BY id ORDER BY st, en) AS st, st AS en FROM lines) SELECT id, st, en FROM g WHERE st < en")
+def gff_junctions(spark, sf_dir):
+    return intervals.gaps(line_intervals(spark, sf_dir), "id")
+
+
+@query("""WITH per AS (SELECT l_linenumber AS mapq, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS e FROM lineitem WHERE l_linenumber <> 4 OR l_returnflag <> 'R' GROUP BY ALL),
+o AS (SELECT *, sum(CASE WHEN e > 0 OR mapq = (SELECT max(mapq) FROM per) THEN 1 ELSE 0 END) OVER (ORDER BY mapq DESC) AS g FROM per), r AS (SELECT min(mapq) AS mapq, sum(n)::BIGINT AS n, sum(e)::BIGINT AS n_err, g FROM o GROUP BY g)
+SELECT mapq, n, n_err, round((sum(n_err) OVER w)::DOUBLE / (sum(n) OVER w), 9) AS rate, (sum(n) OVER w)::BIGINT AS total FROM r WINDOW w AS (ORDER BY g)""")
+def mapeval_curve(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <> 4 or l_returnflag <> 'R'")
+    return intervals.quality_curve(rows.select(F.col("l_linenumber").alias("mapq"), (F.col("l_returnflag") == "R").alias("wrong")))
+
+
+@query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(a.text, '[^ -~]', '', 'g'), regexp_replace(b.text, '[^ -~]', '', 'g'))::INTEGER AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+def edit_distance(spark, sf_dir):
+    a = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
+    b = a.select((F.col("item_id") - 1).alias("before"), F.col("item_id").alias("b"), F.col("text").alias("text_b"))
+    return a.join(b, a.item_id == b.before).select(F.col("item_id").alias("a"), "b", F.levenshtein("text", "text_b").alias("distance"))
+
+
+@query()
+def infix_alignment(spark, sf_dir):
+    a = table(spark, sf_dir, "benchmark").select("item_id", "text", F.substring("text", 11, 40).alias("part"))
+    return align.align(a, "part", "text", mode="HW").select("item_id", "distance", "start", "end", "cigar")
+
+
+@query("SELECT substr(p_name, 1, 1) AS kind, count(*) AS n, sum(CASE WHEN p_size <= 10 THEN 1 ELSE 0 END)::BIGINT AS short FROM part GROUP BY 1")
+def length_classes(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy(F.substring("p_name", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("p_size") <= 10, 1).otherwise(0)).alias("short"))
