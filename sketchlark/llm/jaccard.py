@@ -17,7 +17,8 @@ from sketchlark.llm.scratch import settle
 WORDS, PERCENT = 3, 90
 #: Sets that one trie holds; larger candidate blocks are cut into such chunks and joined chunk by chunk.
 TRIE = 512
-_STRIDE = 1.25
+#: Texts looked at, and grams noted, to learn which grams are common; this decides speed, not links.
+SAMPLE, COMMON = 2000, 50_000
 
 
 def sets_of(c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,25 +34,34 @@ def sets_of(c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=None)
-def windows(percent: int, size: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(window, parts, thin, spare) of the one or two size windows of a set of ``size`` members.
-
-    Every pair that can link has a window in common: that of the smaller one's stride. Within a window two linked sets
-    differ in at most d members, so of d + 1 + spare parts at least spare + 1 are the same in both.
+def needs(percent: int, size: int) -> tuple[int, int]:
+    """How many single members, and how many chains, a set of ``size`` members has to emit; 0: that kind isn't needed.
+
+    A chain is two members next to each other in the global order. A linked set lacks at most a = |A - B| of A's members
+    and brings b = |B - A| others; each of the former breaks two chains at most and each of the latter one, so of n - 1
+    chains at least n - 1 - 2 a - b are in common, and one of them is among the first 2 a + b + 1 by hash of either set.
+    Sets so small that no chain need be in common emit members instead, the first a + 1; sets that can link with both
+    such sets and larger ones emit both kinds. For a low ``percent`` no size needs chains.
     """
-    low = max(1, -(-percent // (100 - percent)))
-    out, i = [], 0
-    while low <= size:
-        high = max(low + 1, int(low * _STRIDE))
-        top = (high - 1) * 100 // percent
-        if size <= top:
-            # |A xor B| = |A| + |B| - 2 |A and B| and (100 + percent) |A and B| >= percent (|A| + |B|)
-            d = (100 - percent) * (high - 1 + top) // (100 + percent)
-            spare = 2 + d // 8
-            parts = d + 1 + spare
-            out.append((i, parts, 3 if low >= 6 * parts else 1, spare))
-        low, i = high, i + 1
-    return tuple(out)
+
+    def lost(n: int) -> tuple[int, int]:
+        pairs = []
+        for m in {-(-percent * n // 100), n, n * 100 // percent, min(n * 100 // percent, n + 1), max(-(-percent * n // 100), n - 1)}:
+            shared = -(-percent * (n + m) // (100 + percent))
+            if shared <= min(n, m):
+                pairs.append((n - shared, m - shared))
+        # one more for rounding between the sizes looked at
+        return max(a for a, _ in pairs) + 1, max(2 * a + b for a, b in pairs) + 3
+
+    def chained_enough(n: int) -> bool:
+        return n - 1 - lost(n)[1] >= 1
+
+    if size < -(-percent // (100 - percent)):
+        return 0, 0
+    least = next((n for n in range(1, 400) if all(map(chained_enough, range(n, 2 * n + 50)))), None)
+    a, broken = lost(size)
+    singles = min(size, a + 1) if least is None or percent * size < 100 * least else 0
+    return singles, min(size - 1, broken + 1) if least is not None and size >= least else 0
 
 
 def summed(x: np.ndarray) -> np.ndarray:
@@ -61,34 +71,58 @@ def summed(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(g: np.ndarray, first: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Per text, hashes of the parts that a linked text must have in common with it, at least one of them.
+def common_members(docs: DataFrame, n: int, text: str) -> np.ndarray:
+    """Hashed grams that several of about SAMPLE distinct texts have, sorted; the COMMON most frequent at most.
 
-    A part is the members within one of equal ranges of the hash. Thin parts are left out, but from texts that have more
-    than ``spare`` of them, which emit all: two linked texts that agree on thin parts alone both do.
+    They only come last in the order in which signatures are chosen. Any order gives the same links; this one keeps
+    passages that many texts share from making candidates.
     """
+    total = max(1, docs.count())
+    some = docs.where(F.col(text).isNotNull() & ((F.pmod(F.xxhash64(text), F.lit(1 << 30)) + 0.5) / (1 << 30) * total < SAMPLE)).select(F.col(text).alias("t")).distinct()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, c in chunks(batch.column(0), LOWER):
+                yield pa.RecordBatch.from_arrays([pa.array(sets_of(c, n)[0].view(np.int64))], ["h"])
+
+    found = some.mapInArrow(read, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON)
+    return np.sort(np.array([r["h"] for r in found.collect()], np.int64).view(np.uint64))
+
+
+def signatures(g: np.ndarray, first: np.ndarray, percent: int, common: np.ndarray | None = None) -> list[np.ndarray]:
+    """Per text, hashes of members and chains (see ``needs``) of which any two linked texts have one in common.
+
+    They are those that come first in one order for all texts: by hash, those of ``common`` members after the others.
+    """
+    rare = np.ones(len(g), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, g), len(common) - 1)] != g
+    single = mix64(g ^ np.uint64(0x5851F42D4C957F2D))
+    chain = mix64(mix64(g[:-1] + np.uint64(0xD6E8FEB86659FD93)) + g[1:]) if len(g) else g
+    top = np.uint64(1 << 63)
+    late1, late2 = np.where(rare, np.uint64(0), top), np.where(rare[:-1] & rare[1:], np.uint64(0), top)
+    single, chain = single >> np.uint64(1) | late1, chain >> np.uint64(1) | late2
     out = []
-    scrambled = summed(mix64(g ^ np.uint64(0x5851F42D4C957F2D)))
-    high = g >> np.uint64(32)
     for a, b in zip(first[:-1], first[1:]):
+        n1, n2 = needs(percent, int(b - a))
         own = []
-        for i, parts, thin, spare in windows(percent, int(b - a)):
-            cut = ((np.arange(1, parts, dtype=np.uint64) << np.uint64(32)) + np.uint64(parts - 1)) // np.uint64(parts)
-            edge = np.concatenate([[a], a + np.searchsorted(high[a:b], cut), [b]])
-            size = np.diff(edge)
-            total = scrambled[edge[1:]] - scrambled[edge[:-1]]
-            name = (np.arange(parts, dtype=np.uint64) + np.uint64(i << 32)) * np.uint64(0x9E3779B97F4A7C15)
-            sig = mix64(total + mix64(name + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-            full = size >= thin
-            own.append(sig if parts - full.sum() > spare else sig[full])
+        if n1:
+            own.append(np.sort(single[a:b])[:n1])
+        if n2:
+            c = chain[a : b - 1]
+            own.append(np.partition(c, n2 - 1)[:n2] if n2 < len(c) else c)
         out.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
     return out
 
 
-def hashed_sets(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """key, n_shingles, set_a, set_b (a 128-bit name of the set), sigs and text_hash for each row."""
+def hashed_sets(docs: DataFrame, n: int, percent: int, key: str, text: str, common: np.ndarray | None = None) -> DataFrame:
+    """k, text_hash, n_shingles, set_a, set_b (a 128-bit name of the set) and sigs for each row.
+
+    A set that a task meets again has no sigs there, so that copies don't pile up on theirs.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             size, names, sigs = [], [], []
             for _, c in chunks(batch.column(2), LOWER):
@@ -97,7 +131,10 @@ def hashed_sets(docs: DataFrame, n: int, percent: int, key: str, text: str) -> D
                 for salt in (1, 2):
                     s = summed(mix64(g + np.uint64(salt)))
                     names.append((s[first[1:]] - s[first[:-1]]).view(np.int64))
-                sigs += signatures(g, first, percent)
+                new = np.array([not (x in seen or seen.add(x)) for x in names[-2].tolist()], bool)
+                keep = np.repeat(new, np.diff(first))
+                ends = np.concatenate([[0], np.cumsum(np.where(new, np.diff(first), 0))])
+                sigs += signatures(g[keep], ends, percent, common)
             if size:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(size)), pa.array(np.concatenate(names[0::2])), pa.array(np.concatenate(names[1::2])), pa.array(sigs, pa.list_(pa.int64()))], ["k", "text_hash", "n_shingles", "set_a", "set_b", "sigs"])
 
@@ -106,22 +143,29 @@ def hashed_sets(docs: DataFrame, n: int, percent: int, key: str, text: str) -> D
     return rows.mapInArrow(make, f"k {kind}, text_hash long, n_shingles long, set_a long, set_b long, sigs array<long>")
 
 
-def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, vid) rows sorted by sig -> links between neighbours of the same sig, joined up within the task."""
-
-    def links() -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            sig, vid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if last is not None:
-                sig, vid = np.concatenate([last[0], sig]), np.concatenate([last[1], vid])
-            if len(sig):
-                last = sig[-1:], vid[-1:]
-                same = (sig[1:] == sig[:-1]) & (vid[1:] != vid[:-1])
-                pair = np.unique(np.stack([np.maximum(vid[1:], vid[:-1])[same], np.minimum(vid[1:], vid[:-1])[same]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["v", "p"])
+def _chained(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(sig, size, vid) rows in this order -> links between neighbours of a sig whose sizes allow a link.
+
+        All sizes between two that allow a link do so too, so linked sets stay connected. Links are joined up per task.
+        """
+
+        def links() -> Iterator[pa.RecordBatch]:
+            last = None
+            for batch in batches:
+                cols = [batch.column(i).to_numpy() for i in range(3)]
+                if last is not None:
+                    cols = [np.concatenate([a, b]) for a, b in zip(last, cols)]
+                sig, size, vid = cols
+                if len(sig):
+                    last = [c[-1:] for c in cols]
+                    same = (sig[1:] == sig[:-1]) & (vid[1:] != vid[:-1]) & (100 * size[:-1] >= percent * size[1:])
+                    pair = np.unique(np.stack([vid[1:][same], vid[:-1][same]], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["v", "p"])
+
+        return contract(links())
 
-    return contract(links())
+    return run
 
 
 class _Node:
@@ -240,16 +284,16 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
     is compared, so copies cost no pairs, and repeated rows share their class.
 
     Classes with a common signature (see ``signatures``: every link has one) form candidate blocks; only blocks of two
-    or more fetch their sets. A block of more than TRIE classes is cut into chunks, and each two chunks meet in one task.
+    or more fetch their sets. Classes are named by 64-bit hashes, whose chance to clash among 10^9 is about 1 in 40. A block of more than TRIE classes is cut into chunks, and each two chunks meet in one task.
     Each task stores one chunk in a prefix tree in the global order and looks the other up in it.
     """
-    base = settle(hashed_sets(docs, n, percent, key, text), "sets")
-    sets = base.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("k").alias("low"), F.min(F.struct("k", "text_hash")).alias("rep"), F.first("sigs").alias("sigs"))
-    classes = settle(sets.withColumn("vid", F.monotonically_increasing_id()), "classes")
-    sig = classes.select(F.explode("sigs").alias("sig"), "vid")
-    chains = sig.repartition("sig").sortWithinPartitions("sig", "vid").mapInArrow(chained, "v long, p long")
+    base = settle(hashed_sets(docs, n, percent, key, text, common_members(docs, n, text)), "sets")
+    sig = base.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), F.col("n_shingles").alias("size"), F.col("set_a").alias("vid"))
+    chains = sig.repartition("sig").sortWithinPartitions("sig", "size", "vid").mapInArrow(_chained(percent), "v long, p long")
     blocks = settle(components(chains), "blocks")
 
+    sets = base.where("n_shingles > 0").groupBy(F.col("set_a").alias("vid"), "set_b").agg(F.min("k").alias("low"), F.min(F.struct("k", "text_hash")).alias("rep"))
+    classes = settle(sets, "classes")
     counts = blocks.groupBy("root").agg(F.count("*").alias("members")).withColumn("cuts", F.ceil(F.col("members") / TRIE).cast("int")).select(F.col("root").alias("r"), "cuts")
     members = blocks.join(counts, F.col("root") == F.col("r")).select("v", "root", "cuts")
     wanted = members.join(classes.select("vid", "rep"), F.col("v") == F.col("vid")).select("vid", "root", "cuts", F.col("rep.k").alias("_k"), F.col("rep.text_hash").alias("_h"))
@@ -272,7 +316,7 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
     tiles = tiles.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     comps = settle(components(tiles.mapInArrow(_joined(percent), "a long, b long")), "groups")
 
-    of = classes.select("vid", "set_a", "set_b", "low").join(comps, F.col("vid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "vid"))
+    of = classes.select("vid", F.col("vid").alias("set_a"), "set_b", "low").join(comps, F.col("vid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "vid"))
     lows = of.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "r")
     of = of.join(lows, F.col("root") == F.col("r")).select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "component")
     out = base.join(of, (F.col("n_shingles") > 0) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")), "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sketchlark.llm.mixing import WORD
 from sketchlark.llm.prefix import running_sums
+from sketchlark.llm.scratch import settle
 
 MAX_LEN, N_BUCKETS, TOKEN_BUDGET = 2048, 16, 65_536
 
@@ -56,7 +57,9 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, n_buckets: int = N_BUCKETS, bu
     if max_len < 1 or n_buckets < 1 or budget < 1:
         raise ValueError("max_len, n_buckets and budget must be at least 1")
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    whole = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), words.alias("_n")).where("_n > 0")
+    whole = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), words.alias("_n"))
+    # Counted once: histogram, range bounds and ranges all read the counts.
+    whole = settle(whole, "words").where("_n > 0")
     pieces = whole.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / max_len).cast("long"))))
     pieces = pieces.withColumn("n_tokens", F.least(F.lit(max_len).cast("long"), F.col("_n") - F.col("piece") * max_len))
     histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
