@@ -14,6 +14,8 @@ from sketchlark.llm.recurrent import Adam, gru_backward, gru_forward, gru_weight
 
 #: The sample to learn from: documents per language (expected), words per document, steps of BATCH words.
 DOCS_PER_LANGUAGE, WORDS_PER_DOC, STEPS, BATCH, HIDDEN, SEED = 600, 48, 700, 256, 16, 11
+#: The driver holds one row per language; more are refused.
+MAX_LANGUAGES = 2000
 #: The network reads runs of bytes between white space; longer runs are read in pieces of this many bytes.
 SEGMENT = 24
 #: Bytes of remembered per-word results in a worker.
@@ -128,9 +130,15 @@ def sample_words(rows: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_doc
 
     From each chosen row come the ``per_doc`` words with the least hash over the whole text.
     """
-    counts = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return []
+    # A literal map, so that texts aren't dealt by their language.
+    n = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], r["n"])))
     share = (F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    some = rows.withColumn("_share", share).join(counts, F.col("lang") == F.col("_lang")).where(F.col("_share") * F.col("_n") < per_language)
+    some = rows.where(share * F.element_at(n, F.col("lang")) < per_language)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
