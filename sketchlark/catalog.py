@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchlark.functions import sequences as S
-from sketchlark.operators import align, formats, intervals, mapping
+from sketchlark.operators import align, evaluation, formats, intervals, mapping
 from sketchlark.operators.sketch import COMPLEMENT, SEEDS, rotated, sketch, sketch_stats, threshold
 from sketchlark.params import DRIVER, Metric, Params
 
@@ -296,3 +296,70 @@ def infix_alignment(spark, sf_dir):
 @query("SELECT substr(p_name, 1, 1) AS kind, count(*) AS n, sum(CASE WHEN p_size <= 10 THEN 1 ELSE 0 END)::BIGINT AS short FROM part GROUP BY 1")
 def length_classes(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(F.substring("p_name", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("p_size") <= 10, 1).otherwise(0)).alias("short"))
+
+
+_MAPPINGS = """maps AS (SELECT l_orderkey AS query_id, l_extendedprice::BIGINT AS P_sz, l_suppkey % 3 AS segm_name, epoch(l_shipdate)::BIGINT // 86400 AS T_l, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS T_r, l_quantity::BIGINT AS mapq, l_linenumber AS line, l_partkey AS part FROM lineitem)"""
+
+
+def line_mappings(spark, sf_dir) -> DataFrame:
+    day = F.floor(F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) / 86400)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.round("l_extendedprice").cast("long").alias("P_sz"), (F.col("l_suppkey") % 3).alias("segm_name"), day.alias("T_l"), (day + F.col("l_quantity").cast("long")).alias("T_r"), F.col("l_quantity").cast("long").alias("mapq"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+
+
+@query(f"""WITH {_MAPPINGS}, base AS (SELECT query_id, any_value(P_sz) AS P_sz, any_value(segm_name) AS s, any_value(T_l) AS l, any_value(T_r) AS r, any_value(mapq) AS mapq FROM maps WHERE line = 1 GROUP BY query_id HAVING count(*) = 1),
+test AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY line, part, T_l, T_r, segm_name, P_sz) AS o FROM maps WHERE line > 1) WHERE o = 1 AND P_sz >= 5000)
+SELECT b.query_id, CASE WHEN t.query_id IS NULL THEN 'missing' WHEN b.s = t.segm_name AND CASE WHEN b.l < t.T_l THEN b.r > t.T_l AND b.r - t.T_l >= 0.5 * (t.T_r - b.l) ELSE t.T_r > b.l AND t.T_r - b.l >= 0.5 * (b.r - t.T_l) END THEN 'hit' ELSE 'wrong' END AS verdict
+FROM base b LEFT JOIN test t ON b.query_id = t.query_id WHERE b.P_sz >= 5000 AND b.mapq >= 10""")
+def pafcmp(spark, sf_dir):
+    rows = line_mappings(spark, sf_dir)
+    test = rows.where("line > 1").withColumn("_o", F.struct("line", "part", "T_l", "T_r", "segm_name", "P_sz"))
+    return evaluation.compare_mappings(rows.where("line = 1"), test, "_o")
+
+
+_PAIRS = "SELECT DISTINCT a.id AS a, b.id AS b FROM lines a JOIN lines b ON a.chrom = b.chrom AND a.id < b.id AND a.st < b.en AND b.st < a.en AND least(a.en, b.en) - greatest(a.st, b.st) >= {}"
+
+
+@query(f"WITH {_LINES}, i AS ({_PAIRS.format(20)}), r AS ({_PAIRS.format(30)}), c AS (SELECT count(*) AS \"overlaps\", count(*) FILTER (r.a IS NULL) AS missing FROM i LEFT JOIN r ON i.a = r.a AND i.b = r.b) SELECT \"overlaps\", missing, round(100 * (1 - missing::DOUBLE / \"overlaps\"), 2) AS sensitivity FROM c")
+def ov_eval(spark, sf_dir):
+    rows = line_intervals(spark, sf_dir)
+    return evaluation.overlap_sensitivity(evaluation.overlapping_reads(rows, 20, 60, read="id"), evaluation.overlapping_reads(rows, 30, 60, read="id"))
+
+
+@query(f"""WITH all_lines AS (SELECT * FROM (WITH {_LINES} SELECT * FROM lines)), b AS (WITH lines AS (SELECT * FROM all_lines WHERE line = 2), {_MERGED} SELECT * FROM merged),
+t AS (SELECT DISTINCT chrom, st, en, id FROM all_lines WHERE line = 1)
+SELECT t.chrom, t.st, t.en, t.id, t.en - t.st AS size, coalesce(sum(CASE WHEN b.st IS NOT NULL THEN least(t.en, b.en) - greatest(t.st, b.st) END), 0)::BIGINT AS covered FROM t LEFT JOIN b ON t.chrom = b.chrom AND t.st < b.en AND b.st < t.en GROUP BY ALL""")
+def bedcov(spark, sf_dir):
+    rows = line_intervals(spark, sf_dir)
+    targets = rows.where("line = 1").select("chrom", "st", "en", "id").distinct()
+    named = targets.select("chrom", "st", "en", F.struct("chrom", "st", "en", "id").alias("key"))
+    return evaluation.covered_targets(named, rows.where("line = 2"), 60, ["key"]).select("key.*", "size", "covered")
+
+
+_SIZES = {"1": "= 1", "2": "= 2", "50": "BETWEEN 3 AND 49", "1k": "BETWEEN 50 AND 999", "7k": "BETWEEN 1000 AND 6999", "inf": ">= 7000"}
+_CLASSES = ", ".join(f"count(*) FILTER ({s}d {c}) AS {k}{n}" for k, s in (("ins", ""), ("del", "-")) for n, c in _SIZES.items())
+
+
+@query(f"""WITH v AS (SELECT row_number() OVER () AS v, upper(p_brand) AS r, unnest(string_split(p_type, ' ')) AS a FROM part), x AS (SELECT v, r, a, length(a) - length(r) AS d, row_number() OVER () AS i FROM v),
+p AS (SELECT i, substr(r, g, 1) || substr(a, g, 1) AS c FROM (SELECT i, r, a, unnest(generate_series(1, least(length(r), length(a)))) AS g FROM x)),
+s AS (SELECT count(*) AS sub, count(*) FILTER (c IN ('AG', 'GA', 'CT', 'TC')) AS ts FROM p WHERE substr(c, 1, 1) <> substr(c, 2, 1))
+SELECT sub, ts, sub - ts AS tv, c.* FROM s, (SELECT count(*) FILTER (d > 0) AS ins, count(*) FILTER (d < 0) AS del, {_CLASSES} FROM x) c""")
+def vcfstat(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.upper("p_brand").alias("ref"), F.split("p_type", " ").alias("alts"))
+    return evaluation.allele_counts(rows)
+
+
+def simulated_reads(spark, sf_dir, length: int = 400) -> DataFrame:
+    """One error-free read of each document, from a third of the way in, with its origin in the name; every other one reversed."""
+    rows = segments(spark, sf_dir).where(F.length("seq") >= 2 * length)
+    start = F.floor(F.length("seq") / 3)
+    piece = F.expr(f"substring(seq, cast(floor(length(seq) / 3) as int) + 1, {length})")
+    minus = F.col("segm_id") % 2 == 1
+    name = F.concat_ws("!", F.concat(F.lit("r"), "segm_id"), "segm_id", start, start + length, F.when(minus, "-").otherwise("+"))
+    return rows.select(name.alias("query_id"), F.when(minus, S.reverse_complement(piece)).otherwise(piece).alias("seq"))
+
+
+@query()
+def mapeval_simulated(spark, sf_dir):
+    ref = ref_kmers(spark, sf_dir)
+    found = mapping.map_reads(sketch(simulated_reads(spark, sf_dir), "query_id", "seq", DRIVER.k, DRIVER.ratio), ref, DRIVER)
+    return evaluation.mapping_errors(found.withColumn("segm_name", F.col("segm_id").cast("string")))
