@@ -33,10 +33,11 @@ def _buckets(c: Chunk, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """bucket, trusted_n, raw_n: counts of hashed byte n-grams over every whole text, and over those of trusted keys.
 
-    Each task sums its own texts before anything is shuffled.
+    Texts meet the trusted keys in a merge join at every size, as no bound is known for these; each task then sums its
+    own texts before anything else is shuffled.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    good = trusted.select(F.col(key).alias("_good")).where("_good is not null").distinct()
+    good = trusted.select(F.col(key).alias("_good")).where("_good is not null").distinct().hint("merge")
     rows = rows.join(good, F.col("_key") == F.col("_good"), "left").select("_text", F.col("_good").isNotNull().alias("_trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
