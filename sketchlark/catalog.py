@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchlark.functions import sequences as S
-from sketchlark.operators import align, evaluation, formats, intervals, mapping
+from sketchlark.operators import align, evaluation, formats, intervals, mapping, origin
 from sketchlark.operators.sketch import COMPLEMENT, SEEDS, rotated, sketch, sketch_stats, threshold
 from sketchlark.params import DRIVER, Metric, Params
 
@@ -363,3 +363,13 @@ def mapeval_simulated(spark, sf_dir):
     ref = ref_kmers(spark, sf_dir)
     found = mapping.map_reads(sketch(simulated_reads(spark, sf_dir), "query_id", "seq", DRIVER.k, DRIVER.ratio), ref, DRIVER)
     return evaluation.mapping_errors(found.withColumn("segm_name", F.col("segm_id").cast("string")))
+
+
+@query()
+def origin_windows(spark, sf_dir):
+    own, ref = simulated_reads(spark, sf_dir), ref_kmers(spark, sf_dir)
+    found = sketch(own, "query_id", "seq", DRIVER.k, DRIVER.ratio)
+    ordered = mapping.seed_order(mapping.seeds(found, mapping.hit_counts(ref)), DRIVER)
+    names = segments(spark, sf_dir).select("segm_id", F.col("segm_id").cast("string").alias("segm_name"))
+    out = origin.origin_windows(ordered, own.select("query_id", F.length("seq").alias("P_sz")), ref, names)
+    return out.withColumns({c: F.round(c, 9) for c in ("C_score", "J_score")})
