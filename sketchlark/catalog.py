@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchlark.functions import sequences as S
-from sketchlark.operators import align, evaluation, formats, intervals, mapping, origin
+from sketchlark.operators import align, assembly, evaluation, formats, intervals, mapping, origin, variants
 from sketchlark.operators.sketch import COMPLEMENT, SEEDS, rotated, sketch, sketch_stats, threshold
 from sketchlark.params import DRIVER, Metric, Params
 
@@ -373,3 +373,35 @@ def origin_windows(spark, sf_dir):
     names = segments(spark, sf_dir).select("segm_id", F.col("segm_id").cast("string").alias("segm_name"))
     out = origin.origin_windows(ordered, own.select("query_id", F.length("seq").alias("P_sz")), ref, names)
     return out.withColumns({c: F.round(c, 9) for c in ("C_score", "J_score")})
+
+
+@query("""SELECT p_partkey AS aln_id, place, p_partkey * 10 + p_size + t AS st, p_partkey * 10 + p_size + t + on_t AS en, ref, alt,
+ (CASE WHEN p_size % 2 = 1 THEN p_size % 7 + 5 - q - on_q ELSE p_size + q END)::BIGINT AS q_st
+ FROM part, (VALUES (1, 0, 1, 0, 1, 'a', 'g'), (2, 1, 0, 1, 3, '-', 'bra'), (3, 1, 2, 4, 0, 'tt', '-')) AS v(place, t, on_t, q, on_q, ref, alt)""")
+def cs_differences(spark, sf_dir):
+    tail = F.col("p_size") % 7 + 1
+    cs = F.concat(F.lit(":"), F.col("p_size"), F.lit("*ag+bra-tt:"), tail)
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("aln_id"), F.col("p_name").alias("query_id"), F.lit(0).alias("P_start"), (F.col("p_size") + 4 + tail).alias("P_end"), F.when(F.col("p_size") % 2 == 1, "-").otherwise("+").alias("strand"), F.lit("s").alias("segm_name"), (F.col("p_partkey") * 10).alias("T_l"), F.lit(60).alias("mapq"), cs.alias("cs"))
+    found = variants.cs_variants(rows)
+    return found.select("aln_id", "place", F.col("st").cast("long").alias("st"), F.col("en").cast("long").alias("en"), "ref", "alt", F.col("q_st").cast("long").alias("q_st"))
+
+
+@query("""WITH a AS (SELECT p_partkey, p_size, length(p_brand) AS r, unnest(string_split(p_type, ' ')) AS alt FROM part),
+s AS (SELECT p_partkey, nullif(abs(any_value(p_size) - 25), 0) AS given, max(abs(length(alt) - r)) AS m, min(abs(length(alt) - r)) AS l FROM a GROUP BY p_partkey)
+SELECT p_partkey FROM s WHERE greatest(coalesce(given, 0), m) >= 3 AND least(coalesce(given, l), l) <= 1""")
+def vcfsel(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("ref"), F.split("p_type", " ").alias("alts"), F.concat(F.lit("SVLEN="), F.col("p_size") - 25).alias("info"))
+    return variants.select_variants(rows, 3, 1).select("p_partkey")
+
+
+@query("""WITH x AS (SELECT l_orderkey AS q, l_linenumber * 100 AS ps, l_linenumber * 100 + l_quantity::BIGINT AS pe, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS d, l_suppkey % 2 AS g, l_partkey * 10 AS tl, l_partkey * 10 + l_quantity::BIGINT AS tr FROM lineitem WHERE l_quantity >= 5),
+y AS (SELECT *, row_number() OVER w AS i, lag(pe) OVER w AS pe0, lag(d) OVER w AS d0, lag(g) OVER w AS g0, lag(tl) OVER w AS tl0, lag(tr) OVER w AS tr0, lead(d) OVER w AS d2 FROM x WINDOW w AS (PARTITION BY q ORDER BY ps, pe, g, tl, tr, d)),
+z AS (SELECT *, coalesce(g = g0 AND d <> d0 AND d2 = d0, false) AS turn FROM y),
+r AS (SELECT *, i - max(CASE WHEN NOT turn THEN i END) OVER (PARTITION BY q ORDER BY i) AS run FROM z),
+t AS (SELECT *, coalesce(lag(turn) OVER w AND lag(run) OVER w % 2 = 1, false) AS taken FROM r WINDOW w AS (PARTITION BY q ORDER BY i)),
+k AS (SELECT q, ps, CASE WHEN g <> g0 THEN 'segment' WHEN d = d0 THEN CASE WHEN abs(CASE WHEN d = '+' THEN tl - tr0 ELSE tl0 - tr END - (ps - pe0)) > 5000 THEN 'gap' END WHEN turn THEN 'inversion' ELSE 'end' END AS kind FROM t WHERE i > 1 AND NOT taken)
+SELECT q AS query_id, ps::BIGINT AS p_start, kind FROM k WHERE kind IS NOT NULL""")
+def misjoin(spark, sf_dir):
+    start, size = F.col("l_linenumber").cast("long") * 100, F.col("l_quantity").cast("long")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), start.alias("P_start"), (start + size).alias("P_end"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("strand"), (F.col("l_suppkey") % 2).alias("segm_name"), (F.col("l_partkey") * 10).alias("T_l"), (F.col("l_partkey") * 10 + size).alias("T_r"), size.alias("blk_len"))
+    return assembly.misjoins(rows, 5, 5000).select("query_id", F.col("P_start").alias("p_start"), "kind")
