@@ -14,6 +14,8 @@ from sketchlark.llm.scratch import settle
 
 MIN_WORDS = 25
 _INDEX = 28
+#: A worker lists the runs of so many places at once.
+TOGETHER = 10_000
 
 
 def line_table(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,42 +83,72 @@ def _lines(docs: DataFrame, min_words: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(make, f"k {kind}, text_hash long, lines array<long>, words array<int>, at array<int>, grams array<long>")
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of a pair of texts on one diagonal (k, text_hash, shift, at, lines, lines0) -> runs [i, j) of lines to delete."""
-    for batch in batches:
-        row, low, high = [], [], []
-        shifts = batch.column(2).to_pylist()
-        for r in range(batch.num_rows):
-            at = np.unique(np.frombuffer(np.array(batch.column(3)[r].as_py(), np.int64), np.int64))
-            mine, other = batch.column(4)[r].values.to_numpy(), batch.column(5)[r].values.to_numpy()
-            begin, end = max(0, shifts[r]), min(len(mine), len(other) + shifts[r])
-            same = mine[begin:end] == other[begin - shifts[r] : end - shifts[r]]
-            breaks = np.flatnonzero(~same) + begin
-            i = np.searchsorted(breaks, at)
-            lows = np.where(i > 0, breaks[np.maximum(i - 1, 0)] + 1, begin) if len(breaks) else np.full(len(at), begin)
-            highs = np.where(i < len(breaks), breaks[np.minimum(i, len(breaks) - 1)], end) if len(breaks) else np.full(len(at), end)
-            lows, first = np.unique(lows, return_index=True)
-            row += [r] * len(lows)
-            low += lows.tolist()
-            high += highs[first].tolist()
-        take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["k", "text_hash", "low", "high"])
+def contexts(line: np.ndarray, words: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+    """(place, low, high, name) of the runs [low, high) to compare for places ``at`` of grams in texts of lines [start, stop).
+
+    They are the gram alone, the gram with the lines before it, one by one up to min_words - 1 words, and with those after
+    it, up to 2 * min_words - 2 words. Equal names of the same gram mean equal lines at the same distance.
+    """
+    total = np.concatenate([[0], np.cumsum(words)])
+    end = np.searchsorted(total, total[at] + min_words)
+
+    def chain(name: np.ndarray, pos: np.ndarray, step: int, ok) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        live = np.arange(len(pos))
+        while True:
+            more = ok(live, pos)
+            live, pos, name = live[more], pos[more], name[more]
+            if not len(live):
+                return
+            name = mix64(name + line[pos])
+            yield live, pos, name
+            pos = pos + step
+
+    own = np.full(len(at), 0x2545F4914F6CDD1D, np.uint64)
+    for live, _, name in chain(own.copy(), at, 1, lambda i, p: p < end[i]):
+        own[live] = name
+    out = [(np.arange(len(at)), at, end, own)]
+    for live, pos, name in chain(own ^ np.uint64(0x9E3779B97F4A7C15), at - 1, -1, lambda i, p: (p >= start[i]) & (total[at[i]] - total[p] < min_words)):
+        out.append((live, pos, end[live], name))
+    for live, pos, name in chain(own, end, 1, lambda i, p: (p < stop[i]) & (total[np.minimum(p + 1, len(line))] - total[end[i]] <= 2 * (min_words - 1))):
+        out.append((live, at[live], pos + 1, name))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _compared(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(k, text_hash, lines, words, places, grams) -> a row for each run of ``contexts``."""
+        for batch in batches:
+            lines, words, places, grams = (batch.column(i) for i in range(2, 6))
+            line, count = lines.flatten().to_numpy().view(np.uint64), words.flatten().to_numpy()
+            first = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy())])
+            row = np.repeat(np.arange(batch.num_rows), places.value_lengths().to_numpy())
+            at, gram = places.flatten().to_numpy() + first[row], grams.flatten().to_numpy()
+            for i in range(0, len(at), TOGETHER):
+                own = row[i : i + TOGETHER]
+                a, b = first[own[0]], first[own[-1] + 1]  # the lines of these texts
+                place, low, high, name = contexts(line[a:b], count[a:b], first[own] - a, first[own + 1] - a, at[i : i + TOGETHER] - a, min_words)
+                take, shift = pa.array(own[place]), first[own[place]] - a
+                where = (at[i : i + TOGETHER] - first[own])[place]
+                numbers = (pa.array(x.astype(np.int32)) for x in (where, low - shift, high - shift))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *numbers, pa.array(gram[i : i + TOGETHER][place]), pa.array(name.view(np.int64))], ["k", "text_hash", "at", "low", "high", "gram", "name"])
+
+    return run
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """k, text_hash, runs: for each text with lines to delete, arrays of [low, high) over its lines with words."""
     table = settle(_lines(docs, min_words, key, text).dropDuplicates(["k", "text_hash"]), "lines")
     prints = table.select("k", "text_hash", F.explode(F.arrays_zip("at", "grams")).alias("z")).select("k", "text_hash", F.col("z.at").alias("at"), F.col("z.grams").alias("gram"))
-    first = prints.groupBy(F.col("gram").alias("g")).agg(F.min(F.struct("k", "text_hash", "at")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
-    anchors = prints.join(first, F.col("gram") == F.col("g")).where(F.struct("k", "text_hash", "at") > F.col("o"))
-    anchors = anchors.groupBy("k", "text_hash", F.col("o.k").alias("k0"), F.col("o.text_hash").alias("h0"), (F.col("at") - F.col("o.at")).alias("shift")).agg(F.collect_list("at").alias("at"))
-    own = table.select(F.col("k").alias("ko"), F.col("text_hash").alias("ho"), "lines")
-    pairs = anchors.join(own, F.col("k").eqNullSafe(F.col("ko")) & (F.col("text_hash") == F.col("ho"))).drop("ko", "ho")
-    first_lines = table.select(F.col("k").alias("kf"), F.col("text_hash").alias("hf"), F.col("lines").alias("lines0"))
-    pairs = pairs.join(first_lines, F.col("k0").eqNullSafe(F.col("kf")) & (F.col("h0") == F.col("hf")))
+    several = prints.groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g")
+    places = prints.join(several, F.col("gram") == F.col("g"), "left_semi").groupBy("k", "text_hash").agg(F.collect_list(F.struct("at", "gram")).alias("z"))
+    own = table.select(F.col("k").alias("ko"), F.col("text_hash").alias("ho"), "lines", "words")
+    places = places.join(own, F.col("k").eqNullSafe(F.col("ko")) & (F.col("text_hash") == F.col("ho"))).select("k", "text_hash", "lines", "words", "z.at", "z.gram")
     kind = table.schema["k"].dataType.simpleString()
-    runs = pairs.select("k", "text_hash", "shift", "at", "lines", "lines0").mapInArrow(_extend, f"k {kind}, text_hash long, low int, high int")
-    return runs.groupBy("k", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    runs = places.mapInArrow(_compared(min_words), f"k {kind}, text_hash long, at int, low int, high int, gram long, name long")
+    first = runs.groupBy(F.col("gram").alias("g"), F.col("name").alias("m")).agg(F.min(F.struct("k", "text_hash", "at")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = runs.join(first, (F.col("gram") == F.col("g")) & (F.col("name") == F.col("m"))).where(F.struct("k", "text_hash", "at") > F.col("o"))
+    widest = later.groupBy("k", "text_hash", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return widest.groupBy("k", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
 
 
 def without_runs(text: str | None, runs: list[tuple[int, int]]) -> tuple[str | None, int, int]:
@@ -139,11 +171,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     """``docs`` with the later copies of repeated runs of lines deleted from the text, and n_lines and n_deleted.
 
     Lines are split at \\n; those without a word are left alone and don't part a run. White space around a line doesn't
-    count. For every gram selected by winnowing (see ``winnow``), its first place in the order of key, text hash and
-    line is the original. Every later place is matched with it line by line both ways as far as lines are equal, and the
-    matched run is deleted. Any run of at least 2 * min_words - 1 words that occurs earlier is thus found, whatever
-    surrounds it; runs of fewer than min_words words never are. Each deleted line has an equal line earlier, so of every
-    line at least one copy stays, and a gram's original is one place for all its copies, so no pairs of copies arise.
+    count. Places of a gram selected by winnowing (see ``winnow``) are in the order of key, text hash and line. Every run
+    around a place (see ``contexts``) has a name, whose first place is the original; at every later place the run is
+    deleted. A place is thus compared with all earlier ones, at a number of names bounded by min_words, and no pairs arise.
+
+    Any run of at least 2 * min_words - 1 words that occurs earlier is found whole, whatever surrounds it and wherever
+    its parts occur besides; runs of fewer than min_words words never are. For, the windows within such a run select the
+    same grams in both copies: the first starts less than min_words words into the run, the next ones leave gaps of less
+    than that, and fewer than 2 * min_words - 1 words follow the last. Each deleted line has an equal line earlier, so of
+    every line at least one copy stays.
 
     Null texts stay null and empty ones empty, with 0 lines. Rows that agree in key and text are one document stored
     several times: each loses the same lines. Null keys sort first. Columns that clash with the added ones are replaced.

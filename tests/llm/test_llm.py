@@ -160,6 +160,42 @@ def test_lines(docs, spark):
     assert lines.dedup_lines(docs).count() == docs.count()
 
 
+def test_lines_of_a_passage_with_a_part_that_occurs_earlier(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = []
+    for p in range(8):
+        parts = [line(f"{c}{p}x", n) for c, n in (("a", 20), ("b", 25), ("c", 15))]
+        rows += [(10 * p + 1, f"start {p}\n{parts[1]}\nend {p}"), (10 * p + 2, "\n".join(["two", *parts, "2"])), (10 * p + 3, "\n".join(["three", *parts, "3"]))]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[10 * p + 3] == "three\n3" for p in range(8))
+
+
+def test_lines_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [" ".join(f"v{i}w{j}" for j in range(int(n))) for i, n in enumerate(rng.choice([1, 2, 5, 9, 14, 24, 26, 40], 24))]
+    texts = [[int(x) for x in rng.integers(0, 24, int(rng.integers(1, 9)))] for _ in range(25)]
+    for _ in range(50):  # spliced from parts of others
+        t = [x for _ in range(4) for s in [texts[int(rng.integers(len(texts)))]] for a in [int(rng.integers(len(s)))] for x in s[a : a + int(rng.integers(1, 9))]]
+        texts.append(t)
+    for min_words in (25, 10):
+        rows = [(i, "\n".join(vocabulary[x] for x in t)) for i, t in enumerate(texts)]
+        runs = {r.k: {i for x in r.runs for i in range(x.low, x.high)} for r in lines.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string"), min_words).collect()}
+        size = [len(v.split()) for v in vocabulary]
+        for i, t in enumerate(texts):
+            must, may = set(), set()
+            for j in range(i + 1):
+                for shift in range(-len(texts[j]) + 1, len(t)):  # t[x] against texts[j][x - shift]
+                    if j == i and shift <= 0:
+                        continue
+                    same = [0 <= x - shift < len(texts[j]) and t[x] == texts[j][x - shift] for x in range(len(t))]
+                    for equal, group in itertools.groupby(range(len(t)), key=same.__getitem__):
+                        group = list(group)
+                        n = sum(size[t[x]] for x in group)
+                        may |= set(group) if equal and n >= min_words else set()
+                        must |= set(group) if equal and n >= 2 * min_words - 1 else set()
+            assert must <= runs.get(i, set()) <= may, (min_words, i)
+
+
 def test_boundaries_against_all_choices():
     rng = np.random.default_rng(6)
     for _ in range(30):
