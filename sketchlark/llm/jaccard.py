@@ -275,13 +275,14 @@ def _joined(percent: int):
 
 
 def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text_hash, n_shingles, component_id for each row: groups by Jaccard links of word n-gram sets.
+    """key, text_hash, n_shingles, component_id, component_set for each row: groups by Jaccard links of word n-gram sets.
 
     Words are runs of bytes other than space and x09-x0D, A-Z lower-cased; a text of fewer than n words has its whole
     sequence as one gram. Rows link when 100 * intersection >= percent * union; component_id is the smallest key
     reachable by links. Null or blank texts have no set and no link: their own key is their component_id. A null key is
     passed over for component_id unless a component has no other. Rows of the same set form one class before anything
-    is compared, so copies cost no pairs, and repeated rows share their class.
+    is compared, so copies cost no pairs, and repeated rows share their class. Components may share a component_id, where
+    keys are null or repeated; component_set names the component by one of its sets, and is null for rows without a set.
 
     Classes with a common signature (see ``signatures``: every link has one) form candidate blocks; only blocks of two
     or more fetch their sets. Classes are named by 64-bit hashes, whose chance to clash among 10^9 is about 1 in 40. A block of more than TRIE classes is cut into chunks, and each two chunks meet in one task.
@@ -318,17 +319,18 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
 
     of = classes.select("vid", F.col("vid").alias("set_a"), "set_b", "low").join(comps, F.col("vid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "vid"))
     lows = of.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "r")
-    of = of.join(lows, F.col("root") == F.col("r")).select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "component")
+    of = of.join(lows, F.col("root") == F.col("r")).select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "component", F.col("root").alias("component_set"))
     out = base.join(of, (F.col("n_shingles") > 0) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")), "left")
-    return out.select(F.col("k").alias(key), "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("k")).alias("component_id"))
+    return out.select(F.col("k").alias(key), "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("k")).alias("component_id"), "component_set")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each group of ``near_groups``: of the rows with the group's smallest key, the one first by
-    the text's hash, and of repeated rows any one. Rows without a set are all kept.
+    the text's hash, and of repeated rows any one. A null key is passed over unless a group has no other; groups of the
+    same smallest key each keep a row. Rows without a set are all kept.
     """
     groups = near_groups(docs, n, percent, key, text).where("n_shingles > 0")
-    first = groups.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "text_hash")).alias("f"))
+    first = groups.groupBy(F.col("component_set").alias("c")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "text_hash")).alias("f"))
     kept = first.select(F.col("f.k").alias("_k"), F.col("f.text_hash").alias("_h"))
     blank = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     rows = docs.withColumn("_hash", F.xxhash64(text))
@@ -337,4 +339,4 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+    return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "component_set")

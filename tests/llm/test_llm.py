@@ -74,6 +74,17 @@ def test_jaccard_against_brute_force(docs):
         assert {r.doc_id: r.n_shingles for r in got} == {k: len(s) for k, s in sets}
 
 
+def test_one_of_each_with_null_and_repeated_keys(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c") + " more"), (None, text("d")), (3, text("d")), (5, text("e")), (5, text("f")), (5, text("f")), (7, text("f")), (7, text("g")), (8, text("g") + " more"), (None, None), (5, ""), (None, " ")]
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    either = [x for x in kept if x in rows[2:4]]
+    assert len(either) == 1
+    kept.remove(either[0])
+    want = [rows[i] for i in (0, 1, 5, 6, 7, 10, 12, 13, 14)]
+    assert collections.Counter(kept) == collections.Counter(want)
+
+
 def test_trie_and_signatures():
     rng = np.random.default_rng(1)
     for trial in range(60):
