@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sketchlark.llm.prefix import running_sums
+from sketchlark.llm.prefix import running_sums, unused
 
 WEIGHTS, TOTAL_SHARE, MAX_REPEAT, BLOCK, N_SHARDS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 32, 4, 17
 #: The driver apportions blocks to sources; more sources than this are refused rather than cut.
@@ -121,11 +121,13 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int
     totals = rows.groupBy("mix_source", "mix_shard").agg(F.sum("mix_size").alias("n")).limit(MAX_SOURCES * n_shards + 1).collect()
     if len(totals) > MAX_SOURCES * n_shards:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    schema = T.StructType([T.StructField("_s", T.StringType()), T.StructField("_p", T.IntegerType()), T.StructField("mix_source_size", T.LongType()), T.StructField("mix_target", T.DoubleType()), T.StructField("mix_blocks", T.LongType()), T.StructField("mix_quota", T.LongType())])
+    own = unused(rows.columns, "_quota_")
+    of, part = f"{own}source", f"{own}shard"
+    schema = T.StructType([T.StructField(of, T.StringType()), T.StructField(part, T.IntegerType()), T.StructField("mix_source_size", T.LongType()), T.StructField("mix_target", T.DoubleType()), T.StructField("mix_blocks", T.LongType()), T.StructField("mix_quota", T.LongType())])
     quotas = spark.createDataFrame(plan([tuple(r) for r in totals], block, share, weights, repeat), schema)
-    rows = rows.join(F.broadcast(quotas), F.col("mix_source").eqNullSafe(F.col("_s")) & (F.col("mix_shard") == F.col("_p")))
+    rows = rows.join(F.broadcast(quotas), F.col("mix_source").eqNullSafe(F.col(of)) & (F.col("mix_shard") == F.col(part)))
     b, wide = F.col("mix_blocks"), "decimal(38,0)"
-    rows = rows.withColumn("mix_offset", F.when(b > 0, F.pmod(F.xxhash64(F.lit(seed), "_s", "_p"), b)).otherwise(0))
+    rows = rows.withColumn("mix_offset", F.when(b > 0, F.pmod(F.xxhash64(F.lit(seed), of, part), b)).otherwise(0))
     extra = F.when(b > 0, F.col("mix_quota") % b).otherwise(0)
 
     def extras_before(i):  # of blocks 0 .. i-1, those taken once more: block j is one if ((j + offset) * extra) mod b < extra, in steps
@@ -137,7 +139,7 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int
 
     end = F.col("mix_start") + F.col("mix_size")
     taken = F.when(b > 0, F.floor(F.col("mix_quota") / b) * F.col("mix_size") + words_before(end) - words_before(F.col("mix_start"))).otherwise(0)
-    return rows.withColumn("mix_taken", taken.cast("long")).drop("_s", "_p")
+    return rows.withColumn("mix_taken", taken.cast("long")).drop(of, part)
 
 
 def taken_parts(start: int, size: int, block: int, blocks: int, quota: int, offset: int) -> list[tuple[int, int]]:

@@ -8,27 +8,36 @@ from pyspark.sql import functions as F
 from sketchlark.llm.scratch import settle
 
 
+def unused(columns: list[str], stem: str) -> str:
+    """``stem``, longer by as many underscores as it takes for no column to start with it."""
+    while any(c.lower().startswith(stem) for c in columns):
+        stem = f"_{stem}"
+    return stem
+
+
 def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], group: list[str] = ()) -> DataFrame:
     """Add, for each ``name: column`` of ``sums``, the sum of ``column`` over all rows before this one.
 
     Rows are ordered by ``order`` within the columns ``group`` (all rows form one group if it is empty). They are dealt
     into ranges of (group, order) and written once, so that ranges keep their rows. Totals per range and group are
     summed up first; they are as few as the ranges plus the groups. Each range then adds its own running sum to the
-    total before it. A hot group spans as many ranges as its size asks for. Null sums count as 0.
+    total before it. A hot group spans as many ranges as its size asks for. Null sums count as 0. Other columns pass
+    through, whatever their names.
     """
-    keys, names = list(group), list(sums)
+    keys, names, kept = list(group), list(sums), [c for c in df.columns if c not in sums]
+    own = unused([*df.columns, *sums], "_run_")
+    part = f"{own}range"
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = [F.col(f"_o{i}") for i in range(len(order))]
-    df = df.withColumns({f"_o{i}": c for i, c in enumerate(order)})
-    df = df.repartitionByRange(n, *keys, *ordered).withColumn("_range", F.spark_partition_id())
+    ordered = [F.col(f"{own}o{i}") for i in range(len(order))]
+    df = df.withColumns({f"{own}o{i}": c for i, c in enumerate(order)})
+    df = df.repartitionByRange(n, *keys, *ordered).withColumn(part, F.spark_partition_id())
     df = settle(df, "ranges")
-    totals = df.groupBy("_range", *keys).agg(*(F.sum(F.coalesce(F.col(sums[x]), F.lit(0))).alias(f"_t_{x}") for x in names))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_range", *keys, *(F.coalesce(F.sum(f"_t_{x}").over(before), F.lit(0)).alias(f"_b_{x}") for x in names))
-    within = Window.partitionBy("_range", *keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({f"_w_{x}": F.coalesce(F.sum(F.coalesce(F.col(sums[x]), F.lit(0))).over(within), F.lit(0)) for x in names})
-    on = totals["_range"] == df["_range"]
+    totals = df.groupBy(part, *keys).agg(*(F.sum(F.coalesce(F.col(sums[x]), F.lit(0))).alias(f"{own}t_{x}") for x in names))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(part, *keys, *(F.coalesce(F.sum(f"{own}t_{x}").over(before), F.lit(0)).alias(f"{own}b_{x}") for x in names))
+    within = Window.partitionBy(part, *keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({f"{own}w_{x}": F.coalesce(F.sum(F.coalesce(F.col(sums[x]), F.lit(0))).over(within), F.lit(0)) for x in names})
+    on = totals[part] == df[part]
     for k in keys:
         on = on & totals[k].eqNullSafe(df[k])
-    kept = [c for c in df.columns if not c.startswith(("_o", "_w_", "_range"))]
-    return df.join(totals, on).select(*(df[c] for c in kept), *((F.col(f"_b_{x}") + F.col(f"_w_{x}")).alias(x) for x in names))
+    return df.join(totals, on).select(*(df[c] for c in kept), *((F.col(f"{own}b_{x}") + F.col(f"{own}w_{x}")).alias(x) for x in names))

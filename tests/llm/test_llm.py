@@ -162,6 +162,16 @@ def test_mix(docs):
     assert again == {(r.doc_id, r.text): r.mix_taken for r in rows}
 
 
+def test_mix_passes_columns_of_any_name_through(docs):
+    extra = ["_origin", "_o0", "_w_x", "_range", "_s", "_p", "_run_x", "_quota_source"]
+    more = docs.selectExpr("*", *(f"concat('{c} ', doc_id) AS {c}" for c in extra))
+    rows, texts = mixing.mix(more), mixing.mixed_texts(more)
+    assert set(extra) <= set(rows.columns) and texts.columns == more.columns
+    assert all(r[c] == f"{c} {r.doc_id}" for r in [*rows.collect(), *texts.collect()] if r.doc_id is not None for c in extra)
+    plain = {(r.doc_id, r.text): r.mix_taken for r in mixing.mix(docs).collect()}
+    assert plain == {(r.doc_id, r.text): r.mix_taken for r in rows.collect()}
+
+
 def test_lines(docs, spark):
     passage = " ".join(f"word{i}" for i in range(60))
     two = "\n".join(" ".join(f"w{i}{j}" for j in range(12)) for i in range(6))
