@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchlark.llm.kernel import Chunk, chunks
+from sketchlark.llm.kernel import Chunk, chunks, mix64
 from sketchlark.llm.recurrent import Adam, gru_backward, gru_forward, gru_weights
 
 #: The sample to learn from: documents per language (expected), words per document, steps of BATCH words.
@@ -128,7 +128,8 @@ _known: dict[str, _Known] = {}
 def sample_words(rows: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_doc: int = WORDS_PER_DOC) -> list[tuple[str, bytes]]:
     """(language, word) pairs from about ``per_language`` of each language's rows (key, text, lang), chosen by hash.
 
-    From each chosen row come the ``per_doc`` words with the least hash over the whole text.
+    From each chosen row come the ``per_doc`` words with the least hash of text, word and place over the whole text, so that
+    each row gives other words, as often as it has them.
     """
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
@@ -146,7 +147,11 @@ def sample_words(rows: DataFrame, per_language: int = DOCS_PER_LANGUAGE, per_doc
             names = batch.column(1).to_pylist()
             for at, c in chunks(batch.column(0)):
                 start, length, doc = segments(c)
-                order = np.lexsort((c.hashes(start, start + length), doc))
+                h = c.hashes(start, start + length)
+                sums, first = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h), dtype=np.uint64)]), np.searchsorted(doc, np.arange(c.n + 1))
+                own = sums[first[1:]] - sums[first[:-1]]  # a hash of each text
+                place = (np.arange(len(doc)) - first[doc]).astype(np.uint64)
+                order = np.lexsort((mix64(mix64(own[doc] + place) + h), doc))
                 rank = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
                 for i in order[rank < per_doc]:
                     lang.append(names[at + doc[i]])

@@ -258,6 +258,17 @@ def test_language(spark):
     assert all(r.lang_pred == r.lang for r in out if r.doc_id >= 0) and {r.lang_pred for r in out if r.doc_id < 0} == {"und"}
 
 
+def test_language_sample_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(vocabulary, 3000)), "aa") for i in range(20)]
+    sample = language.sample_words(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert len(sample) == 20 * language.WORDS_PER_DOC
+    assert len(set(sample)) > 300  # 20 * 48 random words hold about 364 of 400
+    short = language.sample_words(spark.createDataFrame([(1, "ab cd ab", "aa")], "key long, text string, lang string"))
+    assert short == [("aa", b"ab"), ("aa", b"ab"), ("aa", b"cd")]
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href='/x'>Menu</a></ul></nav><article><h1>Big &amp; small</h1><p>One <b>two</b><br>three.<p>Four&nbsp;five.</article><div class='comments'><p>me too</p></div><footer>&copy; x</footer></body></html>"
     found = pages.blocks(page)
