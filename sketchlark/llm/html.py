@@ -115,6 +115,17 @@ def weak_label(path: tuple[str, ...]) -> bool:
     return any(map(_MAIN.search, path)) and not any(map(_OTHER.search, path))
 
 
+def weak_labels(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:
+    """``weak_label`` of each block; on a page where no block has such names, whether it reads like running text.
+
+    That is: 80 characters or more, less than a third of them in links, an end mark, and no name of another page part.
+    """
+    out = [weak_label(path) for path, _, _ in found]
+    if any(out):
+        return out
+    return [len(t) >= 80 and 3 * linked < len(t) and t[-1] in ".!?…" and not any(map(_OTHER.search, path)) for path, t, linked in found]
+
+
 class _Hashes(dict):
     """string -> dimension; forgets all when it holds many."""
 
@@ -210,7 +221,7 @@ class BlockLabeller:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, html: str = "html", **more) -> BlockLabeller:
-    """A labeller from about ``sample`` pages, chosen by the hash of their html, labelled by ``weak_label``."""
+    """A labeller from about ``sample`` pages, chosen by the hash of their html, labelled by ``weak_labels``."""
     n = pages.count()
     share = (F.pmod(F.xxhash64(html), F.lit(1 << 30)) + 0.5) / (1 << 30)
     some = pages.where(F.col(html).isNotNull() & (share * max(n, 1) < sample)).select(html)
@@ -219,7 +230,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE, html: str = "html", **more) -> B
         for batch in batches:
             found = [blocks(t) for t in batch.column(0).to_pylist()]
             x = [features(f).astype(np.float16).tobytes() for f in found]
-            y = [bytes(weak_label(p) for p, _, _ in f) for f in found]
+            y = [bytes(weak_labels(f)) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["x", "y"])
 
     rows = sorted((bytes(r["x"]), bytes(r["y"])) for r in some.mapInArrow(read, "x binary, y binary").collect())

@@ -276,3 +276,11 @@ def test_html(spark):
     df = spark.createDataFrame([(i, page) for i in range(8)] + [(8, None), (9, "")], "page_id long, html string")
     out = {r.page_id: r.text for r in pages.extract(df, pages.fit(df, steps=60)).collect()}
     assert out[0] == "Big & small\n\nOne two three.\n\nFour five." and out[8] == out[9] == ""
+
+
+def test_html_without_names(spark):
+    body = lambda i, j: f"Sentence {i} of part {j} tells at some length what has been seen on that day, and who has been there to see it."
+    page = lambda i: f"<body><div><a href='/a'>Home {i}</a></div><div><a href='/b'>About us</a></div><table><tr><td><p>{body(i, 1)}</p><p>{body(i, 2)}</p></td></tr></table><div>x {i}</div></body>"
+    df = spark.createDataFrame([(i, page(i)) for i in range(12)], "page_id long, html string")
+    out = {r.page_id: r.text for r in pages.extract(df, pages.fit(df, steps=60)).collect()}
+    assert out == {i: f"{body(i, 1)}\n\n{body(i, 2)}" for i in range(12)}
