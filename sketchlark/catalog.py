@@ -289,6 +289,7 @@ def edit_distance(spark, sf_dir):
 
 @query()
 def infix_alignment(spark, sf_dir):
+    """Characters 11 to 50 of each benchmark text against the whole; of shorter texts as many as there are."""
     a = table(spark, sf_dir, "benchmark").select("item_id", "text", F.substring("text", 11, 40).alias("part"))
     return align.align(a, "part", "text", mode="HW").select("item_id", "distance", "start", "end", "cigar")
 
@@ -349,7 +350,7 @@ def vcfstat(spark, sf_dir):
 
 
 def simulated_reads(spark, sf_dir, length: int = 400) -> DataFrame:
-    """One error-free read of each document, from a third of the way in, with its origin in the name; every other one reversed."""
+    """One error-free read of ``length`` bases of each document of 2 * ``length`` bases or more, from a third of the way in, with its origin in the name; every other one reversed."""
     rows = segments(spark, sf_dir).where(F.length("seq") >= 2 * length)
     start = F.floor(F.length("seq") / 3)
     piece = F.expr(f"substring(seq, cast(floor(length(seq) / 3) as int) + 1, {length})")
