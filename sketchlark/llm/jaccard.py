@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sketchlark.llm.graph import components, contract
 from sketchlark.llm.kernel import LOWER, Chunk, chunks, grams, mix64
+from sketchlark.llm.names import neutral
 from sketchlark.llm.scratch import settle
 
 WORDS, PERCENT = 3, 90
@@ -329,13 +330,14 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_
     the text's hash, and of repeated rows any one. A null key is passed over unless a group has no other; groups of the
     same smallest key each keep a row. Rows without a set are all kept.
     """
-    groups = near_groups(docs, n, percent, key, text).where("n_shingles > 0")
-    first = groups.groupBy(F.col("component_set").alias("c")).agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), "text_hash")).alias("f"))
-    kept = first.select(F.col("f.k").alias("_k"), F.col("f.text_hash").alias("_h"))
-    blank = F.coalesce(~F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    rows = docs.withColumn("_hash", F.xxhash64(text))
-    full = rows.where(~blank).join(kept, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))).drop("_k", "_h")
-    return full.dropDuplicates([key, "_hash"]).union(rows.where(blank)).drop("_hash")
+    rows, (k, body), back = neutral(docs, key, text)
+    groups = near_groups(rows, n, percent, k, body).where("n_shingles > 0")
+    first = groups.groupBy("component_set").agg(F.min(F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("key"), "text_hash")).alias("f"))
+    kept = first.select(F.col("f.key").alias("kept_key"), F.col("f.text_hash").alias("kept_hash"))
+    blank = F.coalesce(~F.col(body).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    rows = rows.withColumn("hash", F.xxhash64(body))
+    full = rows.where(~blank).join(kept, F.col(k).eqNullSafe(F.col("kept_key")) & (F.col("hash") == F.col("kept_hash"))).select(rows.columns)
+    return back(full.dropDuplicates([k, "hash"]).union(rows.where(blank)))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchlark.llm.kernel import Chunk, _power_tables, chunks, mix64
+from sketchlark.llm.kernel import Chunk, chunks, mix64, range_sums
+from sketchlark.llm.names import neutral, with_fields
 from sketchlark.llm.scratch import settle
 
 MIN_WORDS = 25
 _INDEX = 28
 #: A worker lists the runs of so many places at once.
 TOGETHER = 10_000
+#: A worker cuts so many texts at once.
+ROWS = 256
 
 
 def line_table(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,12 +48,9 @@ def winnow(line: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int)
     end = np.searchsorted(total, total[:-1] + min_words)  # the gram is lines [i, end)
     last = np.searchsorted(doc, doc, side="right")
     exists = end <= last
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(line * power[:n], out=sums[1:])
     at = np.flatnonzero(exists)
     gram = np.full(n + 1, np.iinfo(np.uint64).max, np.uint64)
-    gram[at] = mix64(mix64((sums[end[at]] - sums[at]) * inverse[at]) + (end[at] - at).astype(np.uint64))
+    gram[at] = mix64(mix64(range_sums(n, lambda a, b: line[a:b], at, end[at])) + (end[at] - at).astype(np.uint64))
     index = np.arange(n + 1, dtype=np.uint64)
     packed = np.where(gram == np.iinfo(np.uint64).max, gram, (gram >> np.uint64(_INDEX) << np.uint64(_INDEX)) | index)
     if not len(at):
@@ -184,22 +184,25 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_id"
     Null texts stay null and empty ones empty, with 0 lines. Rows that agree in key and text are one document stored
     several times: each loses the same lines. Null keys sort first. Columns that clash with the added ones are replaced.
     """
-    docs = docs.drop("n_lines", "n_deleted")
-    runs = repeated_runs(docs, min_words, key, text).withColumnsRenamed({"k": "_k", "text_hash": "_h"})
-    rows = docs.withColumn("_hash", F.xxhash64(text)).join(runs, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left")
-    rows = rows.drop("_hash", "_k", "_h").withColumn("_runs", F.coalesce("runs", F.array().cast("array<struct<low:int,high:int>>"))).drop("runs")
-    names = docs.columns
-    where = names.index(text)
+    rows, (k, body), back = neutral(docs, key, text, without=["n_lines", "n_deleted"])
+    runs = repeated_runs(rows, min_words, k, body).withColumnsRenamed({"k": "run_key", "text_hash": "run_hash"})
+    where, names = rows.columns.index(body), rows.columns
+    fields = with_fields(rows, "n_lines long, n_deleted long")
+    rows = rows.withColumn("hash", F.xxhash64(body)).join(runs, F.col(k).eqNullSafe(F.col("run_key")) & (F.col("hash") == F.col("run_hash")), "left").select(*names, "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [without_runs(t, [(x["low"], x["high"]) for x in r]) for t, r in zip(batch.column(where).to_pylist(), batch.column(len(names)).to_pylist())]
+            texts, counts = [], []
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                made = [without_runs(t, [(x["low"], x["high"]) for x in r or []]) for t, r in zip(part.column(where).to_pylist(), part.column(len(names)).to_pylist())]
+                texts.append(pa.array([m[0] for m in made], batch.schema.field(where).type))
+                counts += [m[1:] for m in made]
             cols = batch.columns[: len(names)]
-            cols[where] = pa.array([m[0] for m in made], batch.schema.field(where).type)
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2))], [*names, "n_lines", "n_deleted"])
+            cols[where] = pa.concat_arrays(texts) if texts else cols[where]
+            yield pa.RecordBatch.from_arrays([*cols, *(pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1))], [*names, "n_lines", "n_deleted"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return rows.mapInArrow(cut, f"{fields}, n_lines long, n_deleted long")
+    return back(rows.mapInArrow(cut, fields), "n_lines", "n_deleted")
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

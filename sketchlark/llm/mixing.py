@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sketchlark.llm.prefix import running_sums, unused
+from sketchlark.llm.names import neutral
+from sketchlark.llm.prefix import running_sums
+from sketchlark.llm.scratch import settle
 
 WEIGHTS, TOTAL_SHARE, MAX_REPEAT, BLOCK, N_SHARDS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 32, 4, 17
 #: The driver apportions blocks to sources; more sources than this are refused rather than cut.
 MAX_SOURCES = 200_000
+#: A worker cuts so many texts at once.
+ROWS = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD = r"[^\x20\x09-\x0D]++"
 
@@ -99,7 +103,16 @@ def plan(totals: list[tuple[str | None, int, int]], block: int = BLOCK, share: f
     return out
 
 
-def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int = SEED, share: float = TOTAL_SHARE, weights: tuple = WEIGHTS, repeat: int = MAX_REPEAT, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def plan_table(totals: DataFrame, block: int, share: float, weights: tuple, repeat: int, n_shards: int) -> DataFrame:
+    """``plan`` as a table of_source, of_shard, mix_source_size, mix_target, mix_blocks, mix_quota."""
+    rows = totals.limit(MAX_SOURCES * n_shards + 1).collect()
+    if len(rows) > MAX_SOURCES * n_shards:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    schema = T.StructType.fromDDL("of_source string, of_shard int, mix_source_size long, mix_target double, mix_blocks long, mix_quota long")
+    return F.broadcast(totals.sparkSession.createDataFrame(plan([tuple(r) for r in rows], block, share, weights, repeat), schema))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int = SEED, share: float = TOTAL_SHARE, weights: tuple = WEIGHTS, repeat: int = MAX_REPEAT, key: str = "doc_id", text: str = "text", source: str = "source", keep_text: bool = True) -> DataFrame:
     """The rows and columns of ``docs`` with mix_size, mix_source_size, mix_target, mix_taken, and mix_start, mix_blocks, mix_quota, mix_offset.
 
     Each source's words, in a seeded order of its documents, are cut into blocks of ``block`` words within each of
@@ -110,24 +123,21 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int
 
     Sources are ranked by code point, null last; null texts and texts without words have size 0 and none taken.
     Repeated rows are rows like others. An empty table gives an empty result. Other columns pass through; columns that
-    clash with the added ones are replaced. Reruns agree: all order comes from seeded hashes of key and text.
+    clash with the added ones are replaced. Without ``keep_text`` the text is null in the result, and so isn't shuffled.
+    Reruns agree: all order comes from seeded hashes of key and text.
     """
-    spark = docs.sparkSession
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.drop(*(f"mix_{x}" for x in ("size", "source_size", "target", "taken", "start", "blocks", "quota", "offset", "source", "shard", "h")))
-    rows = rows.withColumns({"mix_size": words, "mix_h": F.xxhash64(F.lit(seed), F.col(key), F.col(text)), "mix_source": F.col(source)})
-    rows = rows.withColumn("mix_shard", F.pmod(F.xxhash64(F.lit("shard"), "mix_h"), F.lit(n_shards)).cast("int"))
-    rows = running_sums(rows, [F.col("mix_h"), F.col(key), F.col("mix_size")], {"mix_start": "mix_size"}, ["mix_source", "mix_shard"])
-    totals = rows.groupBy("mix_source", "mix_shard").agg(F.sum("mix_size").alias("n")).limit(MAX_SOURCES * n_shards + 1).collect()
-    if len(totals) > MAX_SOURCES * n_shards:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    own = unused(rows.columns, "_quota_")
-    of, part = f"{own}source", f"{own}shard"
-    schema = T.StructType([T.StructField(of, T.StringType()), T.StructField(part, T.IntegerType()), T.StructField("mix_source_size", T.LongType()), T.StructField("mix_target", T.DoubleType()), T.StructField("mix_blocks", T.LongType()), T.StructField("mix_quota", T.LongType())])
-    quotas = spark.createDataFrame(plan([tuple(r) for r in totals], block, share, weights, repeat), schema)
-    rows = rows.join(F.broadcast(quotas), F.col("mix_source").eqNullSafe(F.col(of)) & (F.col("mix_shard") == F.col(part)))
+    added = [f"mix_{x}" for x in ("size", "source_size", "target", "taken", "start", "blocks", "quota", "offset")]
+    rows, (k, body, of), back = neutral(docs, key, text, source, without=added)
+    size = {"mix_size": F.coalesce(F.regexp_count(F.col(body), F.lit(WORD)), F.lit(0)).cast("long")}
+    rows = rows.withColumn("hash", F.xxhash64(F.lit(seed), F.col(k), F.col(body)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "hash"), F.lit(n_shards)).cast("int"))
+    if not keep_text:
+        rows, size = settle(rows.withColumns(size).withColumn(body, F.lit(None).cast("string")), "words"), {}
+    rows = running_sums(rows, [F.col("hash"), F.col(k)], {"mix_start": "mix_size"}, [of, "shard"], size)
+    quotas = plan_table(rows.groupBy(of, "shard").agg(F.sum("mix_size").alias("words")), block, share, weights, repeat, n_shards)
+    rows = rows.join(quotas, F.col(of).eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")))
     b, wide = F.col("mix_blocks"), "decimal(38,0)"
-    rows = rows.withColumn("mix_offset", F.when(b > 0, F.pmod(F.xxhash64(F.lit(seed), of, part), b)).otherwise(0))
+    rows = rows.withColumn("mix_offset", F.when(b > 0, F.pmod(F.xxhash64(F.lit(seed), "of_source", "of_shard"), b)).otherwise(0))
     extra = F.when(b > 0, F.col("mix_quota") % b).otherwise(0)
 
     def extras_before(i):  # of blocks 0 .. i-1, those taken once more: block j is one if ((j + offset) * extra) mod b < extra, in steps
@@ -139,7 +149,7 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int
 
     end = F.col("mix_start") + F.col("mix_size")
     taken = F.when(b > 0, F.floor(F.col("mix_quota") / b) * F.col("mix_size") + words_before(end) - words_before(F.col("mix_start"))).otherwise(0)
-    return rows.withColumn("mix_taken", taken.cast("long")).drop(of, part)
+    return back(rows.withColumn("mix_taken", taken.cast("long")), *added)
 
 
 def taken_parts(start: int, size: int, block: int, blocks: int, quota: int, offset: int) -> list[tuple[int, int]]:
@@ -156,38 +166,40 @@ def taken_parts(start: int, size: int, block: int, blocks: int, quota: int, offs
     return out
 
 
-def mixed_texts(docs: DataFrame, block: int = BLOCK, text: str = "text", **more) -> DataFrame:
+def mixed_texts(docs: DataFrame, block: int = BLOCK, key: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
     """The mix as rows with the columns of ``docs``: a row for each whole time that a document is taken, and one whose
     text is its words in blocks taken once more, parts joined by a newline. Documents of which nothing is taken go.
     """
-    names = docs.columns
-    where = names.index(text)
-    rows = mix(docs, block=block, text=text, **more).where("mix_taken > 0")
+    plain, (k, body, of), back = neutral(docs, key, text, source)
+    names, where = plain.columns, plain.columns.index(body)
+    rows = mix(plain, block=block, key=k, text=body, source=of, **more).where("mix_taken > 0")
     rows = rows.select(*names, "mix_size", "mix_start", "mix_blocks", "mix_quota", "mix_offset")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, texts = [], []
-            plans = zip(*(batch.column(len(names) + i).to_pylist() for i in range(5)))
-            for r, (t, (size, start, blocks, quota, offset)) in enumerate(zip(batch.column(where), plans)):
-                t = t.as_py()
-                whole = quota // blocks
-                row += [r] * whole
-                texts += [t] * whole
-                parts = taken_parts(start, size, block, blocks, quota, offset)
-                if parts:
-                    spans = [m.span() for m in _WORD.finditer(t)]
-                    row.append(r)
-                    texts.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in parts))
-            take = pa.array(row, pa.int64())
-            cols = [c.take(take) for i, c in enumerate(batch.columns[: len(names)])]
-            cols[where] = pa.array(texts, batch.schema.field(where).type)
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return rows.mapInArrow(cut, docs.schema)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                row, texts = [], []
+                plans = zip(*(part.column(len(names) + i).to_pylist() for i in range(5)))
+                for r, (t, (size, start, blocks, quota, offset)) in enumerate(zip(part.column(where), plans)):
+                    t = t.as_py()
+                    whole = quota // blocks
+                    row += [r] * whole
+                    texts += [t] * whole
+                    ranges = taken_parts(start, size, block, blocks, quota, offset)
+                    if ranges:
+                        spans = [m.span() for m in _WORD.finditer(t)]
+                        row.append(r)
+                        texts.append("\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in ranges))
+                take = pa.array(row, pa.int64())
+                cols = [c.take(take) for c in part.columns[: len(names)]]
+                cols[where] = pa.array(texts, batch.schema.field(where).type)
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return back(rows.mapInArrow(cut, plain.schema))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = mix(docs)
+    out = mix(docs, keep_text=False)
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))

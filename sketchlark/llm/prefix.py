@@ -8,36 +8,34 @@ from pyspark.sql import functions as F
 from sketchlark.llm.scratch import settle
 
 
-def unused(columns: list[str], stem: str) -> str:
-    """``stem``, longer by as many underscores as it takes for no column to start with it."""
-    while any(c.lower().startswith(stem) for c in columns):
-        stem = f"_{stem}"
-    return stem
-
-
-def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], group: list[str] = ()) -> DataFrame:
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], group: list[str] = (), late: dict[str, Column] | None = None) -> DataFrame:
     """Add, for each ``name: column`` of ``sums``, the sum of ``column`` over all rows before this one.
 
-    Rows are ordered by ``order`` within the columns ``group`` (all rows form one group if it is empty). They are dealt
-    into ranges of (group, order) and written once, so that ranges keep their rows. Totals per range and group are
-    summed up first; they are as few as the ranges plus the groups. Each range then adds its own running sum to the
-    total before it. A hot group spans as many ranges as its size asks for. Null sums count as 0. Other columns pass
-    through, whatever their names.
+    Rows are ordered by ``order`` within the columns ``group`` (all rows form one group if it is empty); of rows equal in
+    all of these any may come first, and they are told apart by where they stand, so that they needn't share a range.
+    They are dealt into ranges of (group, order) and written once, so that ranges keep their rows; columns ``late`` are
+    computed then, so that finding the ranges doesn't cost them. Totals per range and group are summed up first; they
+    are as few as the ranges plus the groups. Each range then adds its own running sum to the total before it. A hot
+    group spans as many ranges as its size asks for. Null sums count as 0. Other columns pass through, whatever their
+    names; a column named like a sum is replaced.
     """
-    keys, names, kept = list(group), list(sums), [c for c in df.columns if c not in sums]
-    own = unused([*df.columns, *sums], "_run_")
-    part = f"{own}range"
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = [F.col(f"{own}o{i}") for i in range(len(order))]
-    df = df.withColumns({f"{own}o{i}": c for i, c in enumerate(order)})
-    df = df.repartitionByRange(n, *keys, *ordered).withColumn(part, F.spark_partition_id())
-    df = settle(df, "ranges")
-    totals = df.groupBy(part, *keys).agg(*(F.sum(F.coalesce(F.col(sums[x]), F.lit(0))).alias(f"{own}t_{x}") for x in names))
-    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(part, *keys, *(F.coalesce(F.sum(f"{own}t_{x}").over(before), F.lit(0)).alias(f"{own}b_{x}") for x in names))
-    within = Window.partitionBy(part, *keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({f"{own}w_{x}": F.coalesce(F.sum(F.coalesce(F.col(sums[x]), F.lit(0))).over(within), F.lit(0)) for x in names})
-    on = totals[part] == df[part]
-    for k in keys:
-        on = on & totals[k].eqNullSafe(df[k])
-    return df.join(totals, on).select(*(df[c] for c in kept), *((F.col(f"{own}b_{x}") + F.col(f"{own}w_{x}")).alias(x) for x in names))
+    ordered = [f"o{i}" for i in range(len(order) + 1)]
+    made = df.withColumns(late or {})
+    at = {c: f"c{i}" for i, c in enumerate(made.columns)}
+    # Ranges are dealt before the late columns exist; these get their places after the ones that do.
+    rows = df.select("*", *(c.alias(o) for c, o in zip(order, ordered)), F.monotonically_increasing_id().alias(ordered[-1]))
+    rows = rows.repartitionByRange(n, *group, *ordered).withColumns(late or {}).withColumn("part", F.spark_partition_id())
+    rows = settle(rows.select(*(F.col(f"`{c}`").alias(at[c]) for c in made.columns), *ordered, "part"), "ranges")
+    keys, names = [at[g] for g in group], list(sums)
+    value = {x: F.coalesce(F.col(at[c]), F.lit(0)) for x, c in sums.items()}
+    totals = rows.groupBy("part", *keys).agg(*(F.sum(value[x]).alias(f"t{i}") for i, x in enumerate(names)))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("part").alias("p"), *(F.col(k).alias(f"g{i}") for i, k in enumerate(keys)), *(F.coalesce(F.sum(f"t{i}").over(before), F.lit(0)).alias(f"b{i}") for i in range(len(names))))
+    within = Window.partitionBy("part", *keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"w{i}": F.coalesce(F.sum(value[x]).over(within), F.lit(0)) for i, x in enumerate(names)})
+    on = F.col("p") == F.col("part")
+    for i, k in enumerate(keys):
+        on = on & F.col(f"g{i}").eqNullSafe(F.col(k))
+    rows = rows.join(totals, on)
+    return rows.select(*(F.col(c).alias(name) for name, c in at.items() if name not in sums), *((F.col(f"b{i}") + F.col(f"w{i}")).alias(x) for i, x in enumerate(names)))

@@ -9,25 +9,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchlark.llm.kernel import Chunk, chunks, grams
+from sketchlark.llm.kernel import CHUNK, Chunk, chunks, grams
+from sketchlark.llm.names import neutral, with_fields
 
 N_BUCKETS, GRAM, THRESHOLD, SMOOTHING = 1 << 16, 3, -0.1, 1.0
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
-_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
-
-
-def _buckets(c: Chunk, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and text of each run of GRAM bytes within a text, the space after the text included."""
-    b = c.data.astype(np.uint32)
-    if len(b) < GRAM:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = b[: len(b) - GRAM + 1].copy()
-    for k in range(1, GRAM):
-        x = x * np.uint32(257) + b[k : len(b) - GRAM + 1 + k]
-    x = (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - int(n_buckets).bit_length() + 1)
-    doc = np.repeat(np.arange(c.n), c.ends - c.starts)[: len(x)]
-    inside = np.arange(len(x)) <= c.ends[doc] - GRAM
-    return x[inside].astype(np.int64), doc[inside]
+SCALE = 1 << 32
+_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>")).astype(np.uint8)
+#: First bytes of characters other than white space.
+_WORD_CHAR = ((np.arange(256) & 0xC0 != 0x80) & ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])).astype(np.uint8)
+
+
+def _buckets(c: Chunk, n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and text of each run of GRAM bytes within a text, the space after the text included, in parts of CHUNK."""
+    for at in range(0, len(c.data) - GRAM + 1, CHUNK):
+        b = c.data[at : at + CHUNK + GRAM - 1].astype(np.uint32)
+        n = len(b) - GRAM + 1
+        x = b[:n].copy()
+        for k in range(1, GRAM):
+            x *= np.uint32(257)
+            x += b[k : n + k]
+        x *= np.uint32(0x9E3779B1)
+        x >>= np.uint32(32 - int(n_buckets).bit_length() + 1)
+        # The last GRAM - 1 places of a text start no run within it.
+        lengths = np.clip(c.ends - GRAM + 1, at, at + n) - np.clip(c.starts, at, at + n)
+        inside = np.ones(n, bool)
+        for k in range(1, GRAM):
+            last = c.ends - k
+            inside[last[(last >= at) & (last < at + n)] - at] = False
+        yield x[inside], np.repeat(np.arange(c.n), np.maximum(lengths, 0))
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -45,9 +55,9 @@ def gram_counts(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS,
         for batch in batches:
             flag = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for at, c in chunks(batch.column(0)):
-                x, doc = _buckets(c, n_buckets)
-                sums[1] += np.bincount(x, minlength=n_buckets)
-                sums[0] += np.bincount(x[flag[at : at + c.n][doc]], minlength=n_buckets)
+                for x, doc in _buckets(c, n_buckets):
+                    sums[1] += np.bincount(x, minlength=n_buckets)
+                    sums[0] += np.bincount(x[flag[at : at + c.n][doc]], minlength=n_buckets)
         some = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[0][some]), pa.array(sums[1][some])], ["bucket", "trusted_n", "raw_n"])
 
@@ -103,35 +113,35 @@ def _dup_lines(c: Chunk) -> np.ndarray:
 def scored(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept.
 
-    llr is the mean log ratio over a text's byte n-grams (0 if it has none). kept is false if the base rules fail, else
+    llr is the mean log ratio over a text's byte n-grams (0 if it has none); ratios are summed as whole multiples of
+    1 / SCALE, so it doesn't depend on what texts are read together. kept is false if the base rules fail, else
     llr >= threshold. A null text counts as empty; columns that clash with the added ones are replaced.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"]
-    docs = docs.drop(*added, "base_failed", "kept")
-    where = docs.columns.index(text)
-    n_buckets = len(ratios)
+    rows, (body,), back = neutral(docs, text, without=[*added, "base_failed", "kept"])
+    where = rows.columns.index(body)
+    whole, n_buckets = np.rint(ratios * SCALE).astype(np.int64), len(ratios)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(batch.num_rows, np.int64) for _ in added[:-1]] + [np.zeros(batch.num_rows)]
             for at, c in chunks(batch.column(where)):
                 c.words()
-                words = c.hashes(c.word_start, c.word_end)
-                lead = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
-                per_doc = lambda x, c=c: np.bincount(c.word_doc, weights=x, minlength=c.n).astype(np.int64)
-                symbols = np.concatenate([[0], np.cumsum(_SYMBOL[c.data])])
-                x, doc = _buckets(c, n_buckets)
-                n = np.bincount(doc, minlength=c.n)
-                total = np.bincount(doc, weights=ratios[x], minlength=c.n)
-                values = [np.diff(c.doc_word), per_doc(lead[c.word_end] - lead[c.word_start]), symbols[c.ends] - symbols[c.starts], _dup_lines(c), _repeats(c, words), total / np.maximum(n, 1)]
+                per_text = lambda x, c=c: np.add.reduceat(x, c.starts, dtype=np.int64)
+                n, total = np.zeros(c.n, np.int64), np.zeros(c.n, np.int64)
+                for x, doc in _buckets(c, n_buckets):
+                    first = np.flatnonzero(np.diff(doc, prepend=-1))
+                    if len(first):
+                        n[doc[first]] += np.diff(np.append(first, len(doc)))
+                        total[doc[first]] += np.add.reduceat(whole[x], first)
+                values = [np.diff(c.doc_word), per_text(_WORD_CHAR[c.data]), per_text(_SYMBOL[c.data]), _dup_lines(c), _repeats(c, c.hashes(c.word_start, c.word_end)), total / np.maximum(n, 1) / SCALE]
                 for f, v in zip(found, values):
                     f[at : at + c.n] = v
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found)], [*batch.schema.names, *added])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(score, f"{fields}, " + ", ".join(f"{a} long" for a in added[:-1]) + ", llr double")
+    out = rows.mapInArrow(score, with_fields(rows, ", ".join(f"{a} long" for a in added[:-1]) + ", llr double"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return back(out, *added, failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"))
 
 
 def trusted_keys(labels: DataFrame, key: str = "doc_id") -> DataFrame:

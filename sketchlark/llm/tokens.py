@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchlark.llm.names import neutral, with_fields
+
 LIMIT = 2048
 #: Counts of white-space-free pieces are remembered for at most this many pieces of at most so many characters.
 REMEMBERED, LONGEST = 400_000, 64
@@ -100,10 +102,9 @@ class MergeCounter(dict):
         return n
 
     def count(self, text: str) -> int:
-        if self.special is not None and "<|" in text:
+        if self.special is not None and self.special.search(text):
             parts = self.special.split(text)
-            if len(parts) > 1:
-                return len(parts) - 1 + sum(map(self.count, parts))
+            return len(parts) - 1 + sum(map(self.count, parts))
         # str.split() also splits at x1c-x1f, which aren't white space for the pattern.
         pieces = text.split() if not _SEPARATORS.search(text) else regex.split(r"\s+", text)
         return sum(map(self.__getitem__, pieces))
@@ -117,10 +118,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
     """``docs`` with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     ``path`` is a tokenizer file that executors can read. A null or empty text has 0 of both. Strings of special tokens
-    inside a text count as one token each. Columns that clash with the added ones are replaced.
+    inside a text count as one token each. Repeated rows are counted like others, an empty table gives an empty result.
+    Columns that clash with the added ones are replaced.
     """
-    docs = docs.drop("n_bytes", "n_tokens", "over_limit")
-    where = docs.columns.index(text)
+    rows, (body,), back = neutral(docs, text, without=["n_bytes", "n_tokens", "over_limit"])
+    where = rows.columns.index(body)
+    rows = rows.withColumn("n_bytes", F.coalesce(F.octet_length(body), F.lit(0)).cast("long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counters.get(path) or _counters.setdefault(path, MergeCounter(path))
@@ -129,10 +132,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text: str = "te
             n = np.fromiter((counter.count(t.as_py() or "") for t in texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], [*batch.schema.names, "n_tokens"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long"))
-    out = out.select(*docs.columns, "n_bytes").mapInArrow(count, f"{fields}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = rows.mapInArrow(count, with_fields(rows, "n_tokens long"))
+    return back(out, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
