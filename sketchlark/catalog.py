@@ -7,6 +7,7 @@ Reads are ``benchmark`` passages, segments are ``documents``, both as nucleotide
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from sketchlark.functions import sequences as S
 from sketchlark.operators import align, assembly, evaluation, formats, intervals, mapping, origin, variants
 from sketchlark.operators.sketch import COMPLEMENT, SEEDS, rotated, sketch, sketch_stats, threshold
 from sketchlark.params import DRIVER, Metric, Params
+from sketchlark.plans.scratch import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,12 +49,17 @@ def ref_kmers(spark: SparkSession, sf_dir: str, p: Params = DRIVER) -> DataFrame
     return sketch(segments(spark, sf_dir), "segm_id", "seq", p.k, p.ratio)
 
 
+def index(spark: SparkSession, sf_dir: str, p: Params = DRIVER) -> DataFrame:
+    """The reference's k-mers, written: a query that reads them several times sketches the documents once."""
+    return settle(ref_kmers(spark, sf_dir, p), "index")
+
+
 def read_kmers(spark: SparkSession, sf_dir: str, p: Params = DRIVER) -> DataFrame:
     return sketch(reads(spark, sf_dir), "query_id", "seq", p.k, p.ratio)
 
 
 def ordered_seeds(spark: SparkSession, sf_dir: str, p: Params = DRIVER) -> DataFrame:
-    return mapping.seed_order(mapping.seeds(read_kmers(spark, sf_dir, p), mapping.hit_counts(ref_kmers(spark, sf_dir, p), p.max_matches)), p)
+    return mapping.seeded(read_kmers(spark, sf_dir, p), ref_kmers(spark, sf_dir, p), p)[0]
 
 
 # SQL of the sketch: both strands' hashes of a window from exclusive-ors over the window, bases rotated by place.
@@ -81,8 +88,10 @@ def _kmers_sql(name: str, source: str, key: str, column: str, p: Params = DRIVER
 
 
 _REF = f"{_lut()}, {_kmers_sql('ref', 'documents', 'doc_id', 'text')}"
-_BOTH = f"{_REF}, {_kmers_sql('qry', 'benchmark', 'item_id', 'text')}"
-_SEEDS = f"""{_BOTH},
+
+
+def _seeds_sql(reads: str = _kmers_sql("qry", "benchmark", "item_id", "text")) -> str:
+    return f"""{_REF}, {reads},
 cnt AS (SELECT h, count(*) AS n FROM ref GROUP BY h),
 msize AS (SELECT id, count(*)::INTEGER AS m FROM qry GROUP BY id),
 seeds AS (SELECT q.id AS query_id, q.h, arg_min(q.strand, q.r) AS strand, count(*)::INTEGER AS occs, any_value(coalesce(cnt.n, 0)) AS hits, any_value(m) AS m
@@ -90,13 +99,40 @@ seeds AS (SELECT q.id AS query_id, q.h, arg_min(q.strand, q.r) AS strand, count(
 ranked AS (SELECT *, row_number() OVER w AS rank, coalesce(sum(occs) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
   (floor((1.0::DOUBLE - {DRIVER.theta2!r}::DOUBLE) * m)::INTEGER + 1) AS budget FROM seeds
   WINDOW w AS (PARTITION BY query_id ORDER BY hits, (h < 0), h))"""
-_BUCKETS = f"""{_SEEDS},
+
+
+_SEEDS = _seeds_sql()
+
+
+def _buckets_sql(seeds: str = _SEEDS) -> str:
+    return f"""{seeds},
 hit AS (SELECT s.query_id, r.id AS segm_id, r.tpos, r.r, s.h, s.occs, s.m, s.before < s.budget AS used, CASE WHEN s.strand = r.strand THEN 1 ELSE -1 END AS codir FROM ranked s JOIN ref r ON s.h = r.h),
 hb AS (SELECT *, (tpos // m)::INTEGER AS b FROM hit UNION ALL SELECT *, (tpos // m - 1)::INTEGER AS b FROM hit WHERE tpos >= m),
 per AS (SELECT query_id, segm_id, b, h, m, occs, count(*) AS c, sum(codir) AS codirection, min(r) AS r_min, max(r) AS r_max, bool_or(used) AS used FROM hb GROUP BY ALL),
 buckets AS (SELECT * FROM (SELECT query_id, segm_id, b, m, sum(least(c, occs))::BIGINT AS matches, sum(codirection)::BIGINT AS codirection, min(r_min) AS r_min, max(r_max) AS r_max,
   1.0::DOUBLE - (m - sum(least(c, occs)))::DOUBLE / m AS sh, bool_or(used) AS candidate FROM per GROUP BY query_id, segm_id, b, m) WHERE candidate AND sh >= {DRIVER.theta2!r}::DOUBLE)"""
-_WINDOWS = f"""{_BUCKETS},
+
+
+_BUCKETS = _buckets_sql()
+
+
+def _best_sql() -> str:
+    """best and other of the table scored (query_id, segm_id, b, l, shared, strands, m, sh, score, T_l, T_r)."""
+    return f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segm_id, b) AS o FROM scored WHERE score > {DRIVER.theta!r}::DOUBLE AND sh >= {DRIVER.theta!r}::DOUBLE) WHERE o = 1),
+other AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.segm_id, s.b) AS o2 FROM scored s JOIN best t ON s.query_id = t.query_id
+  WHERE s.score > t.score * (1 - {DRIVER.min_diff!r}::DOUBLE) AND (s.segm_id <> t.segm_id OR (greatest(s.T_r, t.T_r) > least(s.T_l, t.T_l) AND
+    greatest(0, least(s.T_r, t.T_r) - greatest(s.T_l, t.T_l))::DOUBLE / (greatest(s.T_r, t.T_r) - least(s.T_l, t.T_l)) < {DRIVER.max_overlap!r}::DOUBLE))),
+mapped AS (SELECT t.*, o.segm_id AS segm_id2, o.b AS b2, o.shared AS shared2, o.score AS score2,
+  CASE WHEN 1 - greatest(coalesce(o.score, -1), {DRIVER.theta2!r}::DOUBLE) / t.score > {DRIVER.min_diff!r}::DOUBLE THEN CASE WHEN abs(t.strands) < t.shared // 2 THEN 5 ELSE 60 END ELSE 0 END::INTEGER AS mapq
+  FROM best t LEFT JOIN (SELECT * FROM other WHERE o2 = 1) o ON t.query_id = o.query_id)"""
+
+
+def _windows_sql(buckets: str = _BUCKETS, use_jaccard: bool = False) -> str:
+    """The best windows: shared k-mers change at events only; by Jaccard the last start before one counts too, as windows
+    that the bucket's end cuts get shorter."""
+    size = "least(l + k.m, least(t.n, (s.b + 2) * k.m)) - l"
+    score = f"shared::DOUBLE / (k.m + {size} - shared)" if use_jaccard else "shared::DOUBLE / k.m"
+    return f"""{buckets},
 tsize AS (SELECT id AS segm_id, max(tpos) + 1 AS n FROM ref GROUP BY id),
 inb AS (SELECT hb.*, row_number() OVER (PARTITION BY hb.query_id, hb.segm_id, hb.b, hb.h ORDER BY tpos) AS n FROM hb SEMI JOIN buckets USING (query_id, segm_id, b)),
 prev AS (SELECT a.*, coalesce(p.tpos, -1) AS prev FROM inb a LEFT JOIN inb p ON a.query_id = p.query_id AND a.segm_id = p.segm_id AND a.b = p.b AND a.h = p.h AND p.n = a.n - a.occs),
@@ -105,15 +141,25 @@ ev AS (SELECT query_id, segm_id, b, greatest(prev + 1, tpos - m + 1, b * m) AS l
   UNION ALL SELECT query_id, segm_id, b, greatest(tpos - m + 1, b * m), 0, codir FROM prev
   UNION ALL SELECT query_id, segm_id, b, tpos + 1, 0, -codir FROM prev
   UNION ALL SELECT query_id, segm_id, b, b * m, 0, 0 FROM buckets),
-steps AS (SELECT query_id, segm_id, b, l, sum(sum(d)) OVER w AS shared, sum(sum(e)) OVER w AS strands FROM ev GROUP BY query_id, segm_id, b, l WINDOW w AS (PARTITION BY query_id, segm_id, b ORDER BY l)),
-win AS (SELECT s.query_id, s.segm_id, s.b, s.l, s.shared::BIGINT AS shared, s.strands::BIGINT AS strands, k.m, k.sh, t.n AS t_size, row_number() OVER (PARTITION BY s.query_id, s.segm_id, s.b ORDER BY shared DESC, s.l) AS o
-  FROM steps s JOIN buckets k USING (query_id, segm_id, b) JOIN tsize t USING (segm_id) WHERE s.l < least(t.n, (s.b + 2) * k.m)),
-scored AS (SELECT win.query_id, win.segm_id, win.b, win.l, shared, strands, win.m, sh, shared::DOUBLE / win.m AS score, a.r AS T_l, z.r AS T_r
+steps AS (SELECT query_id, segm_id, b, l, sum(sum(d)) OVER w AS shared, sum(sum(e)) OVER w AS strands, lead(l) OVER w AS next FROM ev GROUP BY query_id, segm_id, b, l WINDOW w AS (PARTITION BY query_id, segm_id, b ORDER BY l)),
+starts AS (SELECT * FROM steps UNION ALL SELECT query_id, segm_id, b, next - 1, shared, strands, NULL FROM steps WHERE {'next - 1 > l' if use_jaccard else 'false'}),
+win AS (SELECT *, row_number() OVER (PARTITION BY query_id, segm_id, b ORDER BY score DESC, l) AS o FROM (SELECT s.query_id, s.segm_id, s.b, s.l, s.shared::BIGINT AS shared, s.strands::BIGINT AS strands, k.m, k.sh, t.n AS t_size, {score} AS score
+  FROM starts s JOIN buckets k USING (query_id, segm_id, b) JOIN tsize t USING (segm_id) WHERE s.l < least(t.n, (s.b + 2) * k.m))),
+scored AS (SELECT win.query_id, win.segm_id, win.b, win.l, shared, strands, win.m, sh, score, a.r AS T_l, z.r AS T_r
   FROM win JOIN ref a ON a.id = win.segm_id AND a.tpos = win.l JOIN ref z ON z.id = win.segm_id AND z.tpos = least(win.l + win.m, t_size, (win.b + 2) * win.m) - 1 WHERE o = 1),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segm_id, b) AS o FROM scored WHERE score > {DRIVER.theta!r}::DOUBLE AND sh >= {DRIVER.theta!r}::DOUBLE) WHERE o = 1),
-other AS (SELECT s.*, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.segm_id, s.b) AS o2 FROM scored s JOIN best t ON s.query_id = t.query_id
-  WHERE s.score > t.score * (1 - {DRIVER.min_diff!r}::DOUBLE) AND (s.segm_id <> t.segm_id OR (greatest(s.T_r, t.T_r) > least(s.T_l, t.T_l) AND
-    greatest(0, least(s.T_r, t.T_r) - greatest(s.T_l, t.T_l))::DOUBLE / (greatest(s.T_r, t.T_r) - least(s.T_l, t.T_l)) < {DRIVER.max_overlap!r}::DOUBLE)))"""
+{_best_sql()}"""
+
+
+_WINDOWS = _windows_sql()
+#: The longest increasing runs of a bucket's joined read positions, forwards and backwards, by patience sorting.
+_LCS = f"""{_BUCKETS}, pm AS (SELECT id AS query_id, h, list(r ORDER BY r DESC) AS pmatches FROM qry GROUP BY id, h),
+parts AS (SELECT hb.query_id, hb.segm_id, hb.b, flatten(list(pm.pmatches ORDER BY hb.tpos)) AS seq FROM hb SEMI JOIN buckets USING (query_id, segm_id, b) JOIN pm USING (query_id, h) GROUP BY ALL),
+both_ways AS (SELECT query_id, segm_id, b, 0 AS way, seq FROM parts UNION ALL SELECT query_id, segm_id, b, 1, list_reverse(seq) FROM parts),
+piles(query_id, segm_id, b, way, seq, i, tails) AS (SELECT *, 0::BIGINT, []::INTEGER[] FROM both_ways
+  UNION ALL SELECT query_id, segm_id, b, way, seq, i + 1, list_concat(list_filter(tails, lambda x: x < seq[i + 1]), [seq[i + 1]], list_filter(tails, lambda x: x >= seq[i + 1])[2:]) FROM piles WHERE i < len(seq)),
+lcs AS (SELECT query_id, segm_id, b, max(len(tails)) AS lcs FROM piles WHERE i = len(seq) GROUP BY ALL),
+scored AS (SELECT k.query_id, k.segm_id, k.b, NULL AS l, matches AS shared, codirection AS strands, m, sh, lcs::DOUBLE / m AS score, r_min AS T_l, r_max AS T_r FROM buckets k JOIN lcs USING (query_id, segm_id, b)),
+{_best_sql()}"""
 
 
 @query(f"WITH {_REF} SELECT id AS segm_id, tpos, r, h, strand FROM ref")
@@ -149,15 +195,13 @@ def seed_budget(spark, sf_dir):
 
 @query(f"WITH {_BUCKETS} SELECT query_id, segm_id, b, matches, codirection, r_min, r_max, round(sh, 9) AS sh FROM buckets")
 def bucket_matches(spark, sf_dir):
-    out = mapping.bucket_matches(ordered_seeds(spark, sf_dir), ref_kmers(spark, sf_dir), DRIVER)
+    out = mapping.bucket_matches(*mapping.seeded(read_kmers(spark, sf_dir), index(spark, sf_dir), DRIVER), DRIVER)
     return out.select("query_id", "segm_id", "b", "matches", "codirection", "r_min", "r_max", F.round("sh", 9).alias("sh"))
 
 
 def _mapped(spark, sf_dir, **changed) -> DataFrame:
-    from dataclasses import replace
-
     p = replace(DRIVER, **changed)
-    return mapping.map_reads(read_kmers(spark, sf_dir, p), ref_kmers(spark, sf_dir, p), p)
+    return mapping.map_reads(read_kmers(spark, sf_dir, p), index(spark, sf_dir, p), p)
 
 
 @query(f"WITH {_BUCKETS} SELECT query_id, segm_id, b, matches, r_min, r_max, round(sh, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sh DESC, segm_id, b) AS o FROM buckets WHERE sh > {DRIVER.theta!r}::DOUBLE) WHERE o = 1")
@@ -170,19 +214,17 @@ def map_containment(spark, sf_dir):
     return _mapped(spark, sf_dir).select("query_id", "segm_id", "b", F.col("l").cast("long").alias("l"), "shared", "strands", F.col("T_l").alias("t_l"), F.col("T_r").alias("t_r"), F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {_WINDOWS} SELECT best.query_id, o.segm_id AS segm_id2, o.b AS b2, round(o.score, 9) AS score2,
- CASE WHEN 1 - greatest(coalesce(o.score, -1), {DRIVER.theta2!r}::DOUBLE) / best.score > {DRIVER.min_diff!r}::DOUBLE THEN CASE WHEN abs(best.strands) < best.shared // 2 THEN 5 ELSE 60 END ELSE 0 END::INTEGER AS mapq
- FROM best LEFT JOIN (SELECT * FROM other WHERE o2 = 1) o ON best.query_id = o.query_id""")
+@query(f"WITH {_WINDOWS} SELECT query_id, segm_id2, b2, round(score2, 9) AS score2, mapq FROM mapped")
 def map_with_second(spark, sf_dir):
     return _mapped(spark, sf_dir).select("query_id", "segm_id2", "b2", F.round("score2", 9).alias("score2"), "mapq")
 
 
-@query()
+@query(f"WITH {_windows_sql(use_jaccard=True)} SELECT query_id, segm_id, b, l, shared, round(score, 9) AS score, mapq FROM mapped")
 def map_jaccard(spark, sf_dir):
-    return _mapped(spark, sf_dir, metric=Metric.JACCARD).select("query_id", "segm_id", "b", "l", "shared", F.round("score", 9).alias("score"), "mapq")
+    return _mapped(spark, sf_dir, metric=Metric.JACCARD).select("query_id", "segm_id", "b", F.col("l").cast("long").alias("l"), "shared", F.round("score", 9).alias("score"), "mapq")
 
 
-@query()
+@query(f"WITH RECURSIVE {_LCS} SELECT query_id, segm_id, b, round(score, 9) AS score, mapq FROM mapped")
 def map_lcs(spark, sf_dir):
     return _mapped(spark, sf_dir, metric=Metric.BUCKET_LCS).select("query_id", "segm_id", "b", F.round("score", 9).alias("score"), "mapq")
 
@@ -192,21 +234,65 @@ def unmapped_reads(spark, sf_dir):
     return mapping.unmapped(reads(spark, sf_dir).select("query_id"), _mapped(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_WINDOWS} SELECT item_id AS query_id, segm_id, b, round(score, 9) AS score FROM benchmark LEFT JOIN best ON item_id = query_id")
+def mapped_or_not(spark, sf_dir):
+    out = mapping.with_unmapped(reads(spark, sf_dir), _mapped(spark, sf_dir))
+    return out.select("query_id", "segm_id", "b", F.round("score", 9).alias("score"))
+
+
+def _run(spark, sf_dir, p: Params = DRIVER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reads with P_sz, their mappings, and their counters."""
+    ordered, usable = mapping.seeded(read_kmers(spark, sf_dir, p), index(spark, sf_dir, p), p)
+    ordered = settle(ordered, "seeds")
+    sizes = reads(spark, sf_dir).select("query_id", F.length("seq").alias("P_sz"))
+    return sizes, mapping.map_seeds(ordered, usable, p), mapping.read_counters(ordered, usable)
+
+
+_COUNTERS = """counters AS (SELECT r.query_id, any_value(m)::BIGINT AS kmers, count(*) AS kmers_unique, coalesce(sum(occs) FILTER (hits = 0), 0)::BIGINT AS kmers_notmatched, any_value(budget)::BIGINT AS seeds, sum(hits)::BIGINT AS possible_matches,
+  coalesce(sum(hits) FILTER (before < budget), 0)::BIGINT AS seed_matches, coalesce(max(hits) FILTER (before < budget), 0)::BIGINT AS max_seed_matches, coalesce(any_value(t.n), 0) AS seeded_buckets
+  FROM ranked r LEFT JOIN (SELECT query_id, count(*) AS n FROM (SELECT DISTINCT query_id, segm_id, b FROM hb WHERE used) GROUP BY query_id) t ON r.query_id = t.query_id GROUP BY r.query_id)"""
+
+
+@query(f"WITH {_BUCKETS}, {_COUNTERS} SELECT * FROM counters")
+def read_counters(spark, sf_dir):
+    return _run(spark, sf_dir)[2]
+
+
+_COUNTED = ["kmers", "kmers_unique", "kmers_notmatched", "seeds", "possible_matches", "seed_matches", "seeded_buckets"]
+_FINAL = f"final AS (SELECT query_id, count(*) FILTER (score > {DRIVER.theta!r}::DOUBLE) AS final_buckets FROM scored GROUP BY query_id)"
+_STATS = f"""{_WINDOWS}, {_COUNTERS}, {_FINAL},
+joined AS (SELECT length(s.seq) AS n, c.* EXCLUDE (query_id), t.score, t.shared, t.mapq, CASE WHEN t.query_id IS NOT NULL THEN f.final_buckets END AS final_buckets FROM qry_s s LEFT JOIN counters c ON s.id = c.query_id LEFT JOIN mapped t ON s.id = t.query_id LEFT JOIN final f ON s.id = f.query_id),
+sums AS (SELECT count(*) AS reads, sum(n) AS read_len, count(score) AS mapped, count(*) FILTER (coalesce(seeded_buckets, 0) = 0) AS lost_on_seeding, count(*) FILTER (seeded_buckets > 0 AND score IS NULL) AS lost_on_pruning,
+  {', '.join(f'coalesce(sum({c}), 0) AS {c}' for c in _COUNTED)}, max(max_seed_matches) AS max_seed_matches, coalesce(sum(shared), 0) AS reported_matches, coalesce(sum(final_buckets), 0) AS final_buckets, avg(score) AS mean_score, count(*) FILTER (mapq = 60) AS mapq60, count(*) FILTER (mapq = 0) AS mapq0 FROM joined),
+stats AS (SELECT reads, mapped, lost_on_seeding, lost_on_pruning, mapq60, mapq0, max_seed_matches, round(mean_score, 6) AS mean_score, round(read_len::DOUBLE / reads, 6) AS read_length,
+  {', '.join(f'round(100 * ({a}::DOUBLE / {b}), 6) AS {a}_pc' for a, b in (('mapped', 'reads'), ('lost_on_seeding', 'reads'), ('lost_on_pruning', 'reads'), ('mapq60', 'mapped'), ('mapq0', 'mapped'), ('kmers_unique', 'kmers'), ('kmers_notmatched', 'kmers'), ('seeds', 'kmers')))},
+  {', '.join(f'round({c}::DOUBLE / reads, 6) AS {c}_per_read' for c in [*_COUNTED, 'reported_matches'])}, round(final_buckets::DOUBLE / mapped, 6) AS final_buckets_per_mapping,
+  round(seed_matches::DOUBLE / reported_matches, 6) AS match_inefficiency, round(possible_matches::DOUBLE / seed_matches, 6) AS possible_ratio FROM sums)"""
+
+
+@query(f"WITH {_STATS} SELECT * FROM stats")
 def run_stats(spark, sf_dir):
-    return mapping.run_stats(reads(spark, sf_dir), _mapped(spark, sf_dir))
+    return mapping.run_stats(*_run(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_STATS} SELECT 'mapped_reads' AS warning, round(mapped::DOUBLE / reads, 6) AS value FROM stats WHERE mapped < 0.95 * reads
+UNION ALL SELECT 'possible_matches', possible_ratio FROM stats WHERE possible_ratio < 10 UNION ALL SELECT 'mapq', mapq60::DOUBLE FROM stats WHERE mapq60 < mapq0""")
 def run_warnings(spark, sf_dir):
-    return mapping.run_warnings(run_stats(spark, sf_dir))
+    return mapping.run_warnings(mapping.run_stats(*_run(spark, sf_dir)))
+
 
+_MINUS = "coalesce({}, -1)"
+_PAF_TAGS = f"""printf('p:i:%d\ts:i:%d\tI:i:%d\tI2:i:%d\tIdiff:i:%d\tIsdiff:f:%.5f\tJ:f:%.5f\tJ2:f:%.5f\tJdiff:f:%.5f\tsh:f:%.5f\tstrand:i:%d\tt:f:-1.00000\tb:s:%d,%d\tb2:s:%d,%d\tk:i:{DRIVER.k}\tgt_J:f:-1.000\tgt_C:f:-1.000\tgt_C_bucket:f:-1.000\tseeds:i:%d\tmax_seed_matches:i:%d\tseed_matches:i:%d\ttotal_matches:i:%d\tmatch_inefficiency:f:%.3f\tseeded_buckets:i:%d\tfinal_buckets:i:%d\tFPTP:f:-1.000',
+ t.m, T_r - T_l + 1, shared, coalesce(shared2, -1), shared - coalesce(shared2, -1), CASE WHEN shared2 IS NULL THEN -1.0::DOUBLE ELSE abs(shared - shared2)::DOUBLE / sqrt((shared + shared2)::DOUBLE) END, score, j2, score - j2, sh, strands, segm_id, b, coalesce(segm_id2, -1), coalesce(b2, -1), seeds, max_seed_matches, seed_matches, seed_matches, seed_matches::DOUBLE / shared, seeded_buckets, final_buckets)"""
 
-@query()
+
+@query(f"""WITH {_WINDOWS}, {_COUNTERS}, {_FINAL}, t AS (SELECT *, greatest(coalesce(score2, -1), {DRIVER.theta2!r}::DOUBLE) AS j2 FROM mapped)
+SELECT t.query_id, concat_ws(chr(9), t.query_id, length(q.seq), 0, length(q.seq) - {DRIVER.k + 1}, CASE WHEN strands > 0 THEN '+' ELSE '-' END, 'doc' || segm_id, length(d.seq), T_l, T_r, length(q.seq), length(q.seq), mapq, replace({_PAF_TAGS}, '\t', chr(9))) AS line
+FROM t JOIN qry_s q ON t.query_id = q.id JOIN ref_s d ON t.segm_id = d.id JOIN counters c ON t.query_id = c.query_id JOIN final f ON t.query_id = f.query_id""")
 def paf_rows(spark, sf_dir):
     names = segments(spark, sf_dir).select("segm_id", F.concat(F.lit("doc"), "segm_id").alias("segm_name"), F.length("seq").alias("segm_sz"))
-    sizes = reads(spark, sf_dir).select("query_id", F.length("seq").alias("P_sz"))
-    return formats.paf_lines(_mapped(spark, sf_dir).join(names, "segm_id").join(sizes, "query_id"), DRIVER)
+    sizes, mapped, counters = _run(spark, sf_dir)
+    return formats.paf_lines(mapped.join(names, "segm_id").join(sizes, "query_id"), DRIVER, counters)
 
 
 @query(f"SELECT doc_id, md5(reverse(translate(regexp_replace(s, '[^ACGT]', 'N', 'g'), 'ACGT', 'TGCA'))) AS rc FROM (SELECT doc_id, regexp_replace(translate(text, '{S.LETTERS}', '{S.PROJECTED}'), '[^ACGT]', '', 'g') AS s FROM documents)")
@@ -280,18 +366,32 @@ def mapeval_curve(spark, sf_dir):
     return intervals.quality_curve(rows.select(F.col("l_linenumber").alias("mapq"), (F.col("l_returnflag") == "R").alias("wrong")))
 
 
-@query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(a.text, '[^ -~]', '', 'g'), regexp_replace(b.text, '[^ -~]', '', 'g'))::INTEGER AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+@query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(regexp_replace(a.text, '[^ -~]', '?', 'g'), regexp_replace(b.text, '[^ -~]', '?', 'g'))::INTEGER AS distance FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
 def edit_distance(spark, sf_dir):
-    a = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
+    a = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))
     b = a.select((F.col("item_id") - 1).alias("before"), F.col("item_id").alias("b"), F.col("text").alias("text_b"))
-    return a.join(b, a.item_id == b.before).select(F.col("item_id").alias("a"), "b", F.levenshtein("text", "text_b").alias("distance"))
+    return align.align(a.join(b, a.item_id == b.before), "text", "text_b", path=False).select(F.col("item_id").alias("a"), "b", "distance")
 
 
-@query()
+@query("SELECT a.item_id AS a, CASE WHEN d <= 150 THEN d ELSE -1 END::INTEGER AS distance FROM (SELECT a.item_id, levenshtein(regexp_replace(a.text, '[^ -~]', '?', 'g'), regexp_replace(b.text, '[^ -~]', '?', 'g')) AS d FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1) a")
+def bounded_distance(spark, sf_dir):
+    a = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", "?"))
+    b = a.select((F.col("item_id") - 1).alias("before"), F.col("text").alias("text_b"))
+    return align.align(a.join(b, a.item_id == b.before), "text", "text_b", most=150, path=False).select(F.col("item_id").alias("a"), "distance")
+
+
+@query("""SELECT item_id, ceil(length(text) / 10.0)::INTEGER AS distance, length(text)::INTEGER AS q_letters, true AS fits FROM benchmark""")
 def infix_alignment(spark, sf_dir):
-    """Characters 11 to 50 of each benchmark text against the whole; of shorter texts as many as there are."""
-    a = table(spark, sf_dir, "benchmark").select("item_id", "text", F.substring("text", 11, 40).alias("part"))
-    return align.align(a, "part", "text", mode="HW").select("item_id", "distance", "start", "end", "cigar")
+    """Each benchmark text, every tenth letter replaced by one that occurs nowhere, within the text between its neighbours.
+
+    Each replaced letter costs one move at least, and one is enough; the path has to use the whole query and end where it says.
+    """
+    a = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    letters = F.transform(F.split("text", ""), lambda c, i: F.when(i % 10 == 0, F.lit("\u0001")).otherwise(c))
+    rows = a.select("item_id", "text", F.array_join(letters, "").alias("query"), F.concat_ws(" | ", F.reverse("text"), "text", F.reverse("text")).alias("target"))
+    found = align.align(rows, "query", "target", mode="HW")
+    fits = formats.cigar_length("cigar", "=XD") == F.col("end") - F.col("start") + 1
+    return found.select("item_id", "distance", formats.cigar_length("cigar", "=XI").alias("q_letters"), fits.alias("fits"))
 
 
 @query("SELECT substr(p_name, 1, 1) AS kind, count(*) AS n, sum(CASE WHEN p_size <= 10 THEN 1 ELSE 0 END)::BIGINT AS short FROM part GROUP BY 1")
@@ -349,31 +449,55 @@ def vcfstat(spark, sf_dir):
     return evaluation.allele_counts(rows)
 
 
-def simulated_reads(spark, sf_dir, length: int = 400) -> DataFrame:
-    """One error-free read of ``length`` bases of each document of 2 * ``length`` bases or more, from a third of the way in, with its origin in the name; every other one reversed."""
-    rows = segments(spark, sf_dir).where(F.length("seq") >= 2 * length)
-    start = F.floor(F.length("seq") / 3)
-    piece = F.expr(f"substring(seq, cast(floor(length(seq) / 3) as int) + 1, {length})")
-    minus = F.col("segm_id") % 2 == 1
-    name = F.concat_ws("!", F.concat(F.lit("r"), "segm_id"), "segm_id", start, start + length, F.when(minus, "-").otherwise("+"))
+READ = 400
+
+
+def simulated_reads(spark, sf_dir, length: int = READ) -> DataFrame:
+    """Error-free reads of ``length`` bases along every document, the last one shorter, with their origin in the name; every other one reversed."""
+    rows = segments(spark, sf_dir).where(F.length("seq") > 0).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / length).cast("int"))))
+    start = F.col("i") * length
+    piece = F.expr(f"substring(seq, i * {length} + 1, {length})")
+    minus = F.col("i") % 2 == 1
+    name = F.concat_ws("!", F.concat_ws(".", F.concat(F.lit("r"), "segm_id"), "i"), "segm_id", start, start + F.length(piece), F.when(minus, "-").otherwise("+"))
     return rows.select(name.alias("query_id"), F.when(minus, S.reverse_complement(piece)).otherwise(piece).alias("seq"))
 
 
-@query()
+_SIMULATED = f"""sim AS (SELECT 'r' || id || '.' || i || '!' || id || '!' || i * {READ} || '!' || i * {READ} + length(p) || '!' || CASE WHEN i % 2 = 1 THEN '-' ELSE '+' END AS id, CASE WHEN i % 2 = 1 THEN reverse(translate(p, 'ACGT', 'TGCA')) ELSE p END AS text
+  FROM (SELECT id, i, substr(seq, i * {READ} + 1, {READ}) AS p FROM (SELECT id, seq, unnest(generate_series(0, (length(seq) - 1) // {READ})) AS i FROM ref_s WHERE length(seq) > 0)))"""
+_SIM_READS = f"""{_SIMULATED}, {_kmers_sql('qry', 'sim', 'id', 'text').replace(f"regexp_replace(translate(text, '{S.LETTERS}', '{S.PROJECTED}'), '[^ACGT]', '', 'g')", 'text')}"""
+_SIM_BUCKETS = _buckets_sql(_seeds_sql(_SIM_READS))
+
+
+@query(f"""WITH {_windows_sql(_SIM_BUCKETS)},
+told AS (SELECT *, string_split(query_id, '!') AS p FROM mapped),
+judged AS (SELECT mapq, NOT (segm_id::VARCHAR = p[2] AND CASE WHEN strands > 0 THEN '+' ELSE '-' END = p[5] AND CASE WHEN greatest(T_r, p[4]::BIGINT) = least(T_l, p[3]::BIGINT) THEN 1.0::DOUBLE ELSE greatest(0, least(T_r, p[4]::BIGINT) - greatest(T_l, p[3]::BIGINT))::DOUBLE / (greatest(T_r, p[4]::BIGINT) - least(T_l, p[3]::BIGINT)) END > 0.1::DOUBLE) AS wrong FROM told),
+by_quality AS (SELECT mapq, count(*) AS n, count(*) FILTER (wrong) AS e FROM judged GROUP BY mapq),
+o AS (SELECT *, sum(CASE WHEN e > 0 OR mapq = (SELECT max(mapq) FROM by_quality) THEN 1 ELSE 0 END) OVER (ORDER BY mapq DESC) AS g FROM by_quality), r AS (SELECT min(mapq) AS mapq, sum(n)::BIGINT AS n, sum(e)::BIGINT AS n_err, g FROM o GROUP BY g)
+SELECT mapq, n, n_err, round((sum(n_err) OVER w)::DOUBLE / (sum(n) OVER w), 9) AS rate, (sum(n) OVER w)::BIGINT AS total FROM r WINDOW w AS (ORDER BY g)""")
 def mapeval_simulated(spark, sf_dir):
-    ref = ref_kmers(spark, sf_dir)
-    found = mapping.map_reads(sketch(simulated_reads(spark, sf_dir), "query_id", "seq", DRIVER.k, DRIVER.ratio), ref, DRIVER)
+    found = mapping.map_reads(sketch(simulated_reads(spark, sf_dir), "query_id", "seq", DRIVER.k, DRIVER.ratio), index(spark, sf_dir), DRIVER)
     return evaluation.mapping_errors(found.withColumn("segm_name", F.col("segm_id").cast("string")))
 
 
-@query()
+@query(f"""WITH {_SIM_BUCKETS},
+org AS (SELECT query_id, m, string_split(query_id, '!') AS p FROM (SELECT DISTINCT query_id, m FROM seeds)),
+placed AS (SELECT o.query_id, o.m, p[2]::BIGINT AS segm_id, p[4]::BIGINT - p[3]::BIGINT AS letters, (SELECT count(*) FROM ref r WHERE r.id = p[2]::BIGINT AND r.r < p[3]::BIGINT) AS start FROM org o),
+side AS (SELECT query_id, segm_id, m, letters, side, greatest(0, start // m + step)::INTEGER AS b FROM placed, (VALUES ('left', -1), ('own', 0), ('next', 1)) AS v(side, step)),
+near AS (SELECT s.query_id, s.segm_id, s.side, s.b, s.m, s.letters, hb.tpos, hb.r, hb.h, hb.occs FROM side s JOIN hb ON hb.query_id = s.query_id AND hb.segm_id = s.segm_id AND hb.b = s.b),
+held AS (SELECT a.query_id, a.segm_id, a.side, a.r, z.h, any_value(a.m) AS m, least(count(*), any_value(z.occs)) AS n FROM near a JOIN near z ON a.query_id = z.query_id AND a.segm_id = z.segm_id AND a.side = z.side AND z.r BETWEEN a.r AND a.r + a.letters GROUP BY a.query_id, a.segm_id, a.side, a.r, z.h),
+wins AS (SELECT query_id, segm_id, side, r, sum(n)::DOUBLE / any_value(m) AS score, sum(n)::INTEGER AS shared FROM held GROUP BY ALL),
+firsts AS (SELECT query_id, segm_id, side, max(score) AS score, arg_max(r, (score, -r)) AS l, arg_max(shared, (score, -r)) AS shared FROM wins GROUP BY ALL)
+SELECT s.query_id, s.segm_id, s.side, s.b, f.l AS "C_l", coalesce(f.shared, 0) AS "C_shared", round(coalesce(f.score, -1), 9) AS "C_score" FROM side s LEFT JOIN firsts f ON s.query_id = f.query_id AND s.segm_id = f.segm_id AND s.side = f.side""")
 def origin_windows(spark, sf_dir):
-    own, ref = simulated_reads(spark, sf_dir), ref_kmers(spark, sf_dir)
-    found = sketch(own, "query_id", "seq", DRIVER.k, DRIVER.ratio)
-    ordered = mapping.seed_order(mapping.seeds(found, mapping.hit_counts(ref)), DRIVER)
+    out = _origin(spark, sf_dir)
+    return out.select("query_id", "segm_id", "side", "b", "C_l", "C_shared", F.round("C_score", 9).alias("C_score"))
+
+
+def _origin(spark, sf_dir) -> DataFrame:
+    own, ref = simulated_reads(spark, sf_dir), index(spark, sf_dir)
+    ordered, usable = mapping.seeded(sketch(own, "query_id", "seq", DRIVER.k, DRIVER.ratio), ref, DRIVER)
     names = segments(spark, sf_dir).select("segm_id", F.col("segm_id").cast("string").alias("segm_name"))
-    out = origin.origin_windows(ordered, own.select("query_id", F.length("seq").alias("P_sz")), ref, names)
-    return out.withColumns({c: F.round(c, 9) for c in ("C_score", "J_score")})
+    return origin.origin_windows(ordered, own.select("query_id", F.length("seq").alias("P_sz")), usable, names)
 
 
 @query("""SELECT p_partkey AS aln_id, place, p_partkey * 10 + p_size + t AS st, p_partkey * 10 + p_size + t + on_t AS en, ref, alt,

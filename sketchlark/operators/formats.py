@@ -5,17 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchlark.params import Params
+from sketchlark.params import Metric, Params
 
 
-def paf_lines(mapped: DataFrame, params: Params) -> DataFrame:
-    """(query_id, line): twelve columns and tags of each mapping; needs P_sz, segm_name and segm_sz beside ``map_reads``'s columns."""
-    number = lambda c: F.format_string("%.5f", F.coalesce(c, F.lit(-1.0)))
-    plain = ["query_id", "P_sz", F.lit(0), F.col("P_sz") - params.k - 1, "strand", "segm_name", "segm_sz", "T_l", "T_r", "P_sz", "P_sz", "mapq"]
-    tags = {"p:i": F.col("m"), "s:i": F.col("s"), "I:i": F.col("shared"), "I2:i": F.coalesce("shared2", F.lit(-1)), "Idiff:i": F.col("shared_diff"), "Isdiff:f": number(F.col("sigma_diff")), "J:f": number(F.col("score")), "J2:f": number(F.col("score2")), "strand:i": F.col("strands"), "b:s": F.concat_ws(",", "segm_id", "b")}
-    tags["b2:s"] = F.concat_ws(",", F.coalesce("segm_id2", F.lit(-1)), F.coalesce("b2", F.lit(-1)))
+def paf_lines(mapped: DataFrame, params: Params, counters: DataFrame | None = None) -> DataFrame:
+    """(query_id, line): twelve columns and tags of each mapping; needs P_sz, segm_name and segm_sz beside ``map_reads``'s columns.
+
+    With ``counters`` (``mapping.read_counters``) the tags of the read's own counts follow. Windows by containment or
+    Jaccard end k letters before the read does, buckets at its last letter. A tag without a value, such as t (there is no
+    clock per read) and the gt tags, is -1.
+    """
+    number = lambda c, n=5: F.format_string(f"%.{n}f", F.coalesce(c, F.lit(-1.0)).cast("double"))
+    whole = lambda c: F.coalesce(c, F.lit(-1)).cast("string")
+    windows = params.metric in (Metric.CONTAINMENT, Metric.JACCARD)
+    end = F.col("P_sz") - (params.k + 1 if windows else 1)
+    # A runner-up counts as at least theta2, as for the mapping quality.
+    score2 = F.greatest(F.coalesce("score2", F.lit(-1.0)), F.lit(params.theta2))
+    plain = ["query_id", "P_sz", F.lit(0), end, "strand", "segm_name", "segm_sz", "T_l", "T_r", "P_sz", "P_sz", "mapq"]
+    tags = {"p:i": whole(F.col("m")), "s:i": whole(F.col("s")), "I:i": whole(F.col("shared")), "I2:i": whole(F.col("shared2")), "Idiff:i": whole(F.col("shared") - F.coalesce("shared2", F.lit(-1))), "Isdiff:f": number(F.col("sigma_diff")), "J:f": number(F.col("score")), "J2:f": number(score2), "Jdiff:f": number(F.col("score") - score2), "sh:f": number(F.col("sh")), "strand:i": whole(F.col("strands")), "t:f": number(F.lit(-1.0))}
+    place = lambda g, b: F.concat_ws(",", whole(F.col(g)), whole(F.col(b)))
+    tags |= {"b:s": place("segm_id", "b"), "b2:s": place("segm_id2", "b2")}
+    if counters is not None:
+        mapped = mapped.join(counters, "query_id", "left")
+        tags |= {"k:i": F.lit(str(params.k)), **{f"gt_{x}:f": number(F.lit(-1.0), 3) for x in ("J", "C", "C_bucket")}, **{f"{c}:i": whole(F.col(c)) for c in ("seeds", "max_seed_matches", "seed_matches")}}
+        tags |= {"total_matches:i": whole(F.col("seed_matches")), "match_inefficiency:f": number(F.try_divide(F.col("seed_matches").cast("double"), F.col("shared")), 3), **{f"{c}:i": whole(F.col(c)) for c in ("seeded_buckets", "final_buckets")}, "FPTP:f": number(F.lit(-1.0), 3)}
     columns = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in plain]
-    return mapped.select("query_id", F.concat_ws("\t", *columns, *(F.concat(F.lit(f"{k}:"), v.cast("string")) for k, v in tags.items())).alias("line"))
+    return mapped.select("query_id", F.concat_ws("\t", *columns, *(F.concat(F.lit(f"{k}:"), v) for k, v in tags.items())).alias("line"))
+
+
+def sam_lines(aligned: DataFrame) -> DataFrame:
+    """(query_id, line): a SAM row with CIGAR of each mapping (query_id, strand, segm_name, T_l, mapq, read, distance, cigar).
+
+    ``read`` is the read as it lies on the target, so reversed for strand -; T_l is 0-based, and distance the NM tag. A
+    null cigar (no alignment) is written as *, without the tag.
+    """
+    flag = F.when(F.col("strand") == "-", 16).otherwise(0)
+    tag = F.when(F.col("cigar").isNotNull(), F.concat(F.lit("NM:i:"), F.col("distance")))
+    columns = ["query_id", flag, "segm_name", F.col("T_l") + 1, "mapq", F.coalesce("cigar", F.lit("*")), F.lit("*"), F.lit(0), F.lit(0), "read", F.lit("*")]
+    return aligned.select("query_id", F.concat_ws("\t", *((F.col(c) if isinstance(c, str) else c).cast("string") for c in columns), tag).alias("line"))
 
 
 def parse_paf(lines: DataFrame, column: str = "value") -> DataFrame:

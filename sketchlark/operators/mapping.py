@@ -33,8 +33,15 @@ def seeds(reads: DataFrame, counts: DataFrame, key: str = "query_id") -> DataFra
     has none. Only counts of k-mers that reads hold reach the join.
     """
     own = reads.groupBy(key, "h").agg(F.min_by("strand", "r").alias("strand"), F.count("*").cast("int").alias("occs"), F.sort_array(F.collect_list("r"), asc=False).alias("pmatches"))
-    m = reads.groupBy(key).agg(F.count("*").cast("int").alias("m"))
-    return own.join(counts, "h", "left").withColumn("hits", F.coalesce("n", F.lit(0))).drop("n").join(m, key)
+    own = own.withColumn("m", F.sum("occs").over(Window.partitionBy(key)).cast("int"))
+    return own.join(counts, "h", "left").withColumn("hits", F.coalesce("n", F.lit(0))).drop("n")
+
+
+def seeded(reads: DataFrame, ref: DataFrame, params: Params, key: str = "query_id") -> tuple[DataFrame, DataFrame]:
+    """(ordered seeds, the reference's k-mers that may be used): see ``seed_order``; frequent k-mers count as missing."""
+    counts = hit_counts(ref, params.max_matches)
+    usable = ref if params.max_matches is None else ref.join(counts.select("h"), "h", "left_semi")
+    return seed_order(seeds(reads, counts, key), params, key), usable
 
 
 def seed_order(found: DataFrame, params: Params, key: str = "query_id") -> DataFrame:
@@ -97,40 +104,6 @@ def window_sweep(x: np.ndarray, h: np.ndarray, occs: np.ndarray, codir: np.ndarr
     return begin + i, int(shared[i]), int(strands[i]), float(score[i])
 
 
-def best_windows(buckets: DataFrame, ordered: DataFrame, ref: DataFrame, params: Params, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
-    """The buckets with their best window: score, shared, strands, l, and T_l, T_r, s from the reference sketch.
-
-    A bucket holds at most 2 m sketch positions, so its collected hits are bounded by the read.
-    """
-    group = [key, segment, "b"]
-    sizes = ref.groupBy(segment).agg((F.max("tpos") + 1).alias("t_size"))
-    slim = ordered.where("hits > 0").select(key, "h", F.col("strand").alias("q_strand"), "occs", "m")
-    hits = bucketed(slim.join(ref, "h")).join(buckets.select(*group), group, "left_semi")
-    codir = F.when(F.col("q_strand") == F.col("strand"), 1).otherwise(-1)
-    lists = hits.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("tpos", "h", "occs", codir.alias("codir")))).alias("hits"))
-    rows = lists.join(buckets, group).join(sizes, segment)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    plain = [*group, "m", "matches", "codirection", "r_min", "r_max", "sh", "t_size"]
-    use_jaccard = params.metric is Metric.JACCARD
-
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            bs, ms, ts = (batch.column(plain.index(c)).to_pylist() for c in ("b", "m", "t_size"))
-            for i, (b, m, t) in enumerate(zip(bs, ms, ts)):
-                v = batch.column(len(plain))[i].values
-                x, h, occs, codir = (v.field(j).to_numpy(zero_copy_only=False) for j in range(4))
-                found.append(window_sweep(x, h, occs, codir, b * m, min(t, (b + 2) * m), m, use_jaccard))
-            cols = list(zip(*found)) if found else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.float64())], [*plain, "l", "shared", "strands", "score"])
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in plain) + ", l int, shared long, strands long, score double"
-    out = rows.select(*plain, "hits").mapInArrow(sweep, schema).withColumn("last", F.least(F.col("l") + F.col("m"), F.col("t_size"), (F.col("b") + 2) * F.col("m")) - 1)
-    left = ref.select(segment, F.col("tpos").alias("l"), F.col("r").alias("T_l"))
-    right = ref.select(segment, F.col("tpos").alias("last"), F.col("r").alias("T_r"))
-    return out.join(left, [segment, "l"]).join(right, [segment, "last"]).withColumn("s", F.col("T_r") - F.col("T_l") + 1).drop("last", "t_size")
-
-
 def lcs_score(seq: list[list[int]]) -> int:
     """The longer of the longest strictly increasing runs (not necessarily adjacent) of the joined lists, read either way."""
     import bisect
@@ -146,73 +119,172 @@ def lcs_score(seq: list[list[int]]) -> int:
     return max(increasing(flat), increasing(flat[::-1])) if flat else 0
 
 
-def bucket_lcs(buckets: DataFrame, ordered: DataFrame, ref: DataFrame, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
-    """(key, segment, b, lcs): the longest common subsequence estimate of read and bucket."""
-    group = [key, segment, "b"]
-    slim = ordered.where("hits > 0").select(key, "h", "pmatches", "m")
-    hits = bucketed(slim.join(ref, "h")).join(buckets.select(*group), group, "left_semi")
-    lists = hits.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("tpos", "pmatches"))), lambda x: x.pmatches).alias("parts"))
+def _per_bucket(batch: pa.RecordBatch, at: dict[str, int], theta2: float) -> Iterator[tuple]:
+    """(row, m, b, matches, sh, its hits' fields) of the buckets that hold a hit of a used seed and reach theta2."""
+    lists = batch.column(at["hits"])
+    value = lists.flatten()
+    names = [f.name for f in value.type]
+    field = {n: (value.field(i) if n == "pmatches" else value.field(i).to_numpy(zero_copy_only=False)) for i, n in enumerate(names)}
+    size = lists.value_lengths().to_numpy()
+    end = np.cumsum(size)
+    bucket = np.repeat(np.arange(len(size)), size)
+    # Hits of a k-mer count up to the read's own number of it.
+    order = np.lexsort((field["h"], bucket))
+    h, of = field["h"][order], bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])) if len(h) else np.zeros(0, np.int64)
+    capped = np.minimum(np.diff(np.append(first, len(h))), field["occs"][order][first])
+    matches = np.bincount(of[first], weights=capped, minlength=len(size)).astype(np.int64)
+    used = np.bincount(bucket, weights=field["used"], minlength=len(size)) > 0
+    ms, bs = batch.column(at["m"]).to_numpy(), batch.column(at["b"]).to_numpy()
+    sh = 1.0 - (ms - matches) / ms
+    for i in np.flatnonzero(used & (sh >= theta2)):
+        part = slice(end[i] - size[i], end[i])
+        yield int(i), int(ms[i]), int(bs[i]), int(matches[i]), float(sh[i]), {n: v[part] for n, v in field.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([lcs_score(p) for p in batch.column(3).to_pylist()], pa.int32())], [*group, "lcs"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in lists.schema}
-    return lists.select(*group, "parts").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in group) + ", lcs int")
+def scored_buckets(ordered: DataFrame, ref: DataFrame, params: Params, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
+    """(key, segment, b, m, matches, codirection, r_min, r_max, sh, l, shared, strands, score, T_l, T_r, s) of the candidate
+    buckets of ``bucket_matches``, with their best window by the metric.
 
+    A bucket holds at most 2 m sketch positions, so its collected hits are bounded by the read. Reads meet the reference
+    once: hits are dealt by bucket, counted, bounded and swept in one pass. Only a window's ends are looked up after.
+    """
+    group, windows = [key, segment, "b"], params.metric in (Metric.CONTAINMENT, Metric.JACCARD)
+    lcs = params.metric is Metric.BUCKET_LCS
+    slim = ordered.where("hits > 0").select(key, "h", F.col("strand").alias("q_strand"), "occs", "m", "used", *(["pmatches"] if lcs else []))
+    codir = F.when(F.col("q_strand") == F.col("strand"), 1).otherwise(-1).alias("codir")
+    hit = F.struct("tpos", "r", "h", "occs", codir, "used", *(["pmatches"] if lcs else []))
+    rows = bucketed(slim.join(ref, "h")).groupBy(*group).agg(F.first("m").alias("m"), F.sort_array(F.collect_list(hit)).alias("hits"))
+    sizes = ref.groupBy(segment).agg((F.max("tpos") + 1).alias("t_size"))
+    use_jaccard = params.metric is Metric.JACCARD
+    # Without the segment's size a window may reach beyond its end, which only Jaccard's own size of it would notice.
+    rows = rows.join(sizes, segment) if use_jaccard else rows.withColumn("t_size", F.lit((1 << 31) - 1))
+    plain = [*group, "m", "t_size"]
+    rows, theta2 = rows.select(*plain, "hits"), params.theta2
+    made = {"matches": "long", "codirection": "long", "r_min": "int", "r_max": "int", "sh": "double", "l": "int", "shared": "long", "strands": "long", "score": "double"}
+    at = {c: i for i, c in enumerate(rows.columns)}
 
-def scored_buckets(ordered: DataFrame, ref: DataFrame, params: Params, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
-    """Candidate buckets with score, shared, strands, T_l, T_r and s by the metric."""
-    buckets = bucket_matches(ordered, ref, params, key, segment)
-    if params.metric in (Metric.CONTAINMENT, Metric.JACCARD):
-        return best_windows(buckets, ordered, ref, params, key, segment)
-    out = buckets.withColumns({"T_l": F.col("r_min"), "T_r": F.col("r_max"), "s": F.col("r_max") - F.col("r_min"), "shared": F.col("matches"), "strands": F.col("codirection"), "l": F.lit(None).cast("int"), "score": F.col("sh")})
-    if params.metric is Metric.BUCKET_LCS:
-        found = bucket_lcs(buckets, ordered, ref, key, segment)
-        out = out.join(found, [key, segment, "b"]).withColumn("score", F.col("lcs") / F.col("m")).drop("lcs")
-    return out
-
-
-def _first(df: DataFrame, key: str, segment: str) -> DataFrame:
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take, found = [], []
+            sizes = batch.column(at["t_size"]).to_numpy()
+            for i, m, b, matches, sh, f in _per_bucket(batch, at, theta2):
+                own = (matches, int(f["codir"].sum()), int(f["r"].min()), int(f["r"].max()), sh)
+                if windows:
+                    best = window_sweep(f["tpos"], f["h"], f["occs"], f["codir"], b * m, min(int(sizes[i]), (b + 2) * m), m, use_jaccard)
+                else:
+                    best = (None, own[0], own[1], lcs_score(f["pmatches"].to_pylist()) / m if lcs else sh)
+                take.append(i)
+                found.append((*own, *best))
+            cols = list(zip(*found)) or [()] * len(made)
+            kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(take, pa.int64())) for c in batch.columns[: len(group) + 1]), *(pa.array(c, kinds[k]) for c, k in zip(cols, made.values()))], [*group, "m", *made])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = rows.mapInArrow(sweep, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*group, "m")), *(f"{c} {k}" for c, k in made.items())]))
+    if not windows:
+        return out.withColumns({"T_l": F.col("r_min"), "T_r": F.col("r_max"), "s": F.col("r_max") - F.col("r_min")})
+    last = F.least(F.col("l") + F.col("m"), "t_size", (F.col("b") + 2) * F.col("m")) - 1
+    ends = out.join(sizes, segment).withColumn("tpos", F.explode(F.array("l", last))).drop("t_size")
+    rest = [c for c in out.columns if c not in group]
+    placed = ends.join(ref.select(segment, "tpos", "r"), [segment, "tpos"]).groupBy(*group).agg(*(F.first(c).alias(c) for c in rest), F.min("r").alias("T_l"), F.max("r").alias("T_r"))
+    return placed.withColumn("s", F.col("T_r") - F.col("T_l") + 1)
+
+
+def map_seeds(ordered: DataFrame, usable: DataFrame, params: Params, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
+    """``map_reads`` from the results of ``seeded``, with ``final_buckets``: the read's buckets that score above theta."""
+    scored = scored_buckets(ordered, usable, params, key, segment)
     order = Window.partitionBy(key).orderBy(F.col("score").desc(), segment, "b")
-    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fine = (F.col("score") > params.theta) & (F.col("sh") >= params.theta)
+    mine = [c for c in scored.columns if c != key]
+    rows = scored.withColumn("_best", F.first(F.when(fine, F.struct(*mine)), ignorenulls=True).over(whole)).where("_best is not null")
+    apart = overlap_ratio(F.col(segment), F.col("T_l"), F.col("T_r"), F.col(f"_best.{segment}"), F.col("_best.T_l"), F.col("_best.T_r")) < params.max_overlap
+    other = (F.col("score") > F.col("_best.score") * (1 - params.min_diff)) & apart & F.lit(params.max_overlap > 0)
+    rank = F.struct((-F.col("score")).alias("a"), F.col(segment).alias("g"), F.col("b").alias("b"))
+    second = F.min(F.when(other, F.struct(rank.alias("rank"), F.col("shared").alias("shared"), F.col("score").alias("score"))))
+    rows = rows.groupBy(key).agg(F.first("_best").alias("_best"), second.alias("_second"), F.sum(F.when(F.col("score") > params.theta, 1).otherwise(0)).alias("final_buckets"))
+    out = rows.select(key, "_best.*", F.col("_second.rank.g").alias(f"{segment}2"), F.col("_second.rank.b").alias("b2"), F.col("_second.shared").alias("shared2"), F.col("_second.score").alias("score2"), "final_buckets")
+    quality = mapq(F.col("score"), F.col("score2"), F.col("strands"), F.col("shared"), params.theta2, params.min_diff)
+    lost = F.when(F.col("shared2").isNull(), -1).otherwise(F.col("shared2"))
+    return out.withColumns({"strand": F.when(F.col("strands") > 0, "+").otherwise("-"), "mapq": quality, "shared_diff": F.col("shared") - lost, "sigma_diff": F.when(F.col("shared2").isNull(), -1.0).otherwise(sigmas(F.col("shared"), F.col("shared2")))})
 
 
 def map_reads(reads: DataFrame, ref: DataFrame, params: Params, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
     """One row per mapped read: the best bucket, the runner-up's b2, segment2, shared2, score2, and mapq.
 
     The best has the highest score above theta and sh >= theta; ties go to the lower segment, then bucket. The runner-up
-    has the highest score above best * (1 - min_diff) whose interval overlaps the best's by less than max_overlap.
+    has the highest score above best * (1 - min_diff) whose interval overlaps the best's by less than max_overlap. ``ref``
+    should be a written index (see ``write_index``): its hashes, its hits and the windows' ends are read from it.
     """
-    counts = hit_counts(ref, params.max_matches)
-    usable = ref if params.max_matches is None else ref.join(counts.select("h"), "h", "left_semi")
-    ordered = seed_order(seeds(reads, counts, key), params, key)
-    scored = scored_buckets(ordered, usable, params, key, segment)
-    best = _first(scored.where((F.col("score") > params.theta) & (F.col("sh") >= params.theta)), key, segment)
-    mine = best.select(key, F.col(segment).alias("_g"), F.col("T_l").alias("_l"), F.col("T_r").alias("_r"), F.col("score").alias("_s"))
-    other = scored.join(mine, key)
-    apart = overlap_ratio(F.col(segment), F.col("T_l"), F.col("T_r"), F.col("_g"), F.col("_l"), F.col("_r")) < params.max_overlap
-    other = other.where((F.col("score") > F.col("_s") * (1 - params.min_diff)) & apart & F.lit(params.max_overlap > 0))
-    second = _first(other, key, segment).select(key, F.col(segment).alias(f"{segment}2"), F.col("b").alias("b2"), F.col("shared").alias("shared2"), F.col("score").alias("score2"))
-    out = best.join(second, key, "left")
-    quality = mapq(F.col("score"), F.col("score2"), F.col("strands"), F.col("shared"), params.theta2, params.min_diff)
-    lost = F.when(F.col("shared2").isNull(), -1).otherwise(F.col("shared2"))
-    return out.withColumns({"strand": F.when(F.col("strands") > 0, "+").otherwise("-"), "mapq": quality, "shared_diff": F.col("shared") - lost, "sigma_diff": F.when(F.col("shared2").isNull(), -1.0).otherwise(sigmas(F.col("shared"), F.col("shared2")))})
+    return map_seeds(*seeded(reads, ref, params, key), params, key, segment)
+
+
+def read_counters(ordered: DataFrame, usable: DataFrame, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
+    """One row per read with k-mers: kmers, kmers_unique, kmers_notmatched, seeds (its budget), possible_matches (hits of all
+    its k-mers), seed_matches and max_seed_matches (hits of those within the budget), seeded_buckets (buckets with such a
+    hit). Counts are the read's own, not running totals.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    used = F.when(F.col("used"), F.col("hits")).otherwise(0)
+    out = ordered.groupBy(key).agg(F.first("m").cast("long").alias("kmers"), F.count("*").alias("kmers_unique"), total(F.when(F.col("hits") == 0, F.col("occs")).otherwise(0)).alias("kmers_notmatched"), F.first("budget").cast("long").alias("seeds"), total("hits").alias("possible_matches"), total(used).alias("seed_matches"), F.max(used).cast("long").alias("max_seed_matches"))
+    hits = bucketed(ordered.where("used and hits > 0").select(key, "h", "m").join(usable.select("h", segment, "tpos"), "h"))
+    touched = hits.select(key, segment, "b").distinct().groupBy(key).agg(F.count("*").alias("seeded_buckets"))
+    return out.join(touched, key, "left").withColumn("seeded_buckets", F.coalesce("seeded_buckets", F.lit(0)))
+
+
+def with_unmapped(reads: DataFrame, mapped: DataFrame, key: str = "query_id") -> DataFrame:
+    """A row for each read: its mapping, or nulls."""
+    return reads.select(key).distinct().join(mapped, key, "left")
 
 
 def unmapped(reads: DataFrame, mapped: DataFrame, key: str = "query_id") -> DataFrame:
     return reads.join(mapped.select(key), key, "left_anti")
 
 
-def run_stats(reads: DataFrame, mapped: DataFrame, key: str = "query_id") -> DataFrame:
-    """Reads, those mapped, means of score and matches, and shares of mapping qualities."""
-    share = lambda c: F.coalesce(F.avg(F.when(c, 1.0).otherwise(0.0)), F.lit(0.0))
-    b = mapped.agg(F.count("*").alias("mapped"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg("matches"), 6).alias("mean_matches"), F.round(share(F.col("mapq") == 60), 6).alias("mapq60"), F.round(share(F.col("mapq") == 0), 6).alias("mapq0"))
-    return reads.agg(F.count("*").alias("reads")).crossJoin(b)
+def run_stats(reads: DataFrame, mapped: DataFrame, counters: DataFrame, key: str = "query_id", length: str = "P_sz") -> DataFrame:
+    """One row of a run's measures: reads (key, length), those mapped, and means and shares over their counters.
+
+    Shares are percentages; a measure over nothing is null. lost_on_seeding are reads without a seeded bucket,
+    lost_on_pruning those with one and without a mapping; match_inefficiency is seed matches over the shared k-mers of
+    the reported mappings, possible_ratio possible matches over seed matches. Reads without k-mers have no counters.
+    """
+    rows = reads.select(key, F.col(length).alias("_length")).join(counters, key, "left").join(mapped.select(key, "score", "shared", "mapq", "final_buckets"), key, "left")
+    names = ["kmers", "kmers_unique", "kmers_notmatched", "seeds", "possible_matches", "seed_matches", "seeded_buckets"]
+    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
+    found = F.col("score").isNotNull()
+    seen = F.coalesce("seeded_buckets", F.lit(0)) > 0
+    sums = rows.agg(
+        F.count("*").alias("reads"), F.sum("_length").alias("read_len"), count(found).alias("mapped"), count(~seen).alias("lost_on_seeding"), count(seen & ~found).alias("lost_on_pruning"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), F.max("max_seed_matches").alias("max_seed_matches"), F.coalesce(F.sum("shared"), F.lit(0)).alias("reported_matches"), F.coalesce(F.sum("final_buckets"), F.lit(0)).alias("final_buckets"),
+        F.avg("score").alias("mean_score"), count(F.col("mapq") == 60).alias("mapq60"), count(F.col("mapq") == 0).alias("mapq0"),
+    )
+    per = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
+    share = lambda a, b: F.round(100 * F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
+    return sums.select(
+        "reads", "mapped", "lost_on_seeding", "lost_on_pruning", "mapq60", "mapq0", "max_seed_matches", F.round("mean_score", 6).alias("mean_score"), per("read_len", "reads").alias("read_length"),
+        share("mapped", "reads").alias("mapped_pc"), share("lost_on_seeding", "reads").alias("lost_on_seeding_pc"), share("lost_on_pruning", "reads").alias("lost_on_pruning_pc"), share("mapq60", "mapped").alias("mapq60_pc"), share("mapq0", "mapped").alias("mapq0_pc"),
+        *(per(c, "reads").alias(f"{c}_per_read") for c in [*names, "reported_matches"]), *(share(c, "kmers").alias(f"{c}_pc") for c in ("kmers_unique", "kmers_notmatched", "seeds")),
+        per("final_buckets", "mapped").alias("final_buckets_per_mapping"), per("seed_matches", "reported_matches").alias("match_inefficiency"), per("possible_matches", "seed_matches").alias("possible_ratio"),
+    )
 
 
 def run_warnings(stats: DataFrame) -> DataFrame:
-    """The thresholds that a run's statistics miss, one row each."""
-    few = F.when(F.col("mapped") < 0.95 * F.col("reads"), "fewer than 95% of reads mapped")
-    weak = F.when(F.col("mapq60") < F.col("mapq0"), "more reads of quality 0 than of 60")
-    return stats.select(F.explode(F.array_compact(F.array(few, weak))).alias("warning"))
+    """(warning, value) of the thresholds that a run's statistics miss; those on times of single steps are ``time_warnings``."""
+    rules = {
+        "mapped_reads": (F.col("mapped") < 0.95 * F.col("reads"), F.try_divide(F.col("mapped").cast("double"), F.col("reads"))),
+        "possible_matches": (F.col("possible_ratio") < 10, F.col("possible_ratio")),
+        "mapq": (F.col("mapq60") < F.col("mapq0"), F.col("mapq60").cast("double")),
+    }
+    found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(k).alias("warning"), F.round(v, 6).alias("value"))) for k, (c, v) in rules.items())))
+    return stats.select(F.explode(found).alias("x")).select("x.*")
+
+
+#: Which step takes more than which percentage of which other's time.
+TIME_RULES = (("match_seeds", "mapping", 90.0), ("match_rest", "mapping", 90.0), ("match_rest_for_best2", "match_rest", 40.0))
+
+
+def time_warnings(seconds: dict[str, float]) -> list[tuple[str, float]]:
+    """(step, percentage) of the steps that take more than their share, from seconds by step (see ``plans.meters``)."""
+    shares = ((a, 100 * seconds[a] / seconds[b], most) for a, b, most in TIME_RULES if a in seconds and seconds.get(b))
+    return [(a, x) for a, x, most in shares if x > most]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,63 +15,81 @@ SIDES = {"left": -1, "own": 0, "next": 1}
 _NOTHING = (None, None, 0, 0, -1.0)
 
 
-class _Held:
-    """Hits inside a window, of each k-mer at most the read's own number counted."""
+def hits_before(h: np.ndarray, occs: np.ndarray) -> np.ndarray:
+    """For each hit the place of the hit of the same k-mer that comes occs earlier, or -1.
 
-    def __init__(self, hits: list[dict]):
-        self.hits, self.room = hits, {x["h"]: x["occs"] for x in hits}
-        self.shared = self.strands = 0
-
-    def enter(self, i: int) -> None:
-        x = self.hits[i]
-        self.room[x["h"]] -= 1
-        if self.room[x["h"]] >= 0:
-            self.shared, self.strands = self.shared + 1, self.strands + x["codir"]
-
-    def leave(self, i: int) -> None:
-        x = self.hits[i]
-        self.room[x["h"]] += 1
-        if self.room[x["h"]] > 0:
-            self.shared, self.strands = self.shared - 1, self.strands - x["codir"]
-
-    def record(self, low: int, last: int, m: int, use_jaccard: bool) -> tuple:
-        size = self.hits[last]["tpos"] - self.hits[low]["tpos"] + 1
-        score = self.shared / (m + size - self.shared if use_jaccard else m)
-        return self.hits[low]["r"], self.hits[last]["r"], self.shared, self.strands, score
+    A window that starts after that place counts the hit: it holds fewer than occs earlier ones of the k-mer.
+    """
+    order = np.lexsort((np.arange(len(h)), h))
+    back = np.arange(len(h)) - occs[order]
+    same = (back >= 0) & (h[order][np.maximum(back, 0)] == h[order])
+    out = np.full(len(h), -1)
+    out[order] = np.where(same, order[np.maximum(back, 0)], -1)
+    return out
 
 
-def best_by_letters(hits: list[dict], letters: int, m: int, use_jaccard: bool = False) -> tuple:
-    """(T_l, T_r, shared, strands, score) of the first best window from a hit to the last within ``letters`` positions of it."""
-    held, best, end = _Held(hits), _NOTHING, 0
-    for low in range(len(hits)):
-        while end < len(hits) and hits[end]["r"] <= hits[low]["r"] + letters:
-            held.enter(end)
-            end += 1
-        best = max(best, held.record(low, end - 1, m, use_jaccard), key=lambda x: x[4])
-        held.leave(low)
-    return best
+def window_sums(before: np.ndarray, last: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each hit i the sum of ``value`` over the counted hits of the window i .. last[i]; last must not decrease.
 
+    Hit j is counted by the windows from i = max(before[j] + 1, the first i with last[i] >= j) to j, so it adds its value
+    where these begin and takes it off where they end.
+    """
+    n = len(last)
+    j = np.arange(n)
+    low = np.maximum(before + 1, np.searchsorted(last, j))
+    change = np.zeros(n + 1, np.int64)
+    some = low <= j
+    np.add.at(change, low[some], value[some])
+    np.add.at(change, j[some] + 1, -value[some])
+    return np.cumsum(change)[:n]
+
+
+def best_window(hits: dict[str, np.ndarray], ends: list[np.ndarray], m: int, use_jaccard: bool) -> tuple:
+    """(T_l, T_r, shared, strands, score) of the first best of the windows from each hit i to ends[k][i], for every k.
+
+    A window's shared k-mers are its hits, of each k-mer at most the read's own number (the first ones); strands is the
+    sum of those hits' codirections. The score is shared / m, or over the union with the window's span of sketch
+    positions. An end before its start is no window. Ties go to the first start, then to the first k.
+    """
+    n = len(hits["h"])
+    if not n:
+        return _NOTHING
+    before, place = hits_before(hits["h"], hits["occs"]), np.arange(n)
+    scores, parts = [], []
+    for last in ends:
+        shared, strands = window_sums(before, last, np.ones(n, np.int64)), window_sums(before, last, hits["codir"])
+        size = hits["tpos"][np.maximum(last, place)] - hits["tpos"] + 1
+        scores.append(np.where(last >= place, shared / (m + size - shared if use_jaccard else m), -1.0))
+        parts.append((last, shared, strands))
+    table = np.stack(scores, 1)
+    i, k = divmod(int(np.argmax(table)), len(ends))
+    if table[i, k] < 0:
+        return _NOTHING
+    last, shared, strands = parts[k]
+    return int(hits["r"][i]), int(hits["r"][last[i]]), int(shared[i]), int(strands[i]), float(table[i, k])
+
+
+def best_by_letters(hits: dict[str, np.ndarray], letters: int, m: int, use_jaccard: bool = False) -> tuple:
+    """The best of the windows from a hit to the last one whose r lies within ``letters`` of its own."""
+    return best_window(hits, [np.searchsorted(hits["r"], hits["r"] + letters, side="right") - 1], m, use_jaccard)
+
+
+def best_by_span(hits: dict[str, np.ndarray], least: int, most: int, m: int) -> tuple:
+    """By Jaccard, the best of the windows from a hit to one whose tpos is more than ``least`` and at most ``most`` beyond its
+    own, or to the last one that is at most ``least`` beyond it.
+    """
+    x = hits["tpos"]
+    near, far = (np.searchsorted(x, x + d, side="right") - 1 for d in (least, most))
+    many = int((far - near).max(initial=0)) + 1
+    return best_window(hits, [np.minimum(near + k, far) for k in range(many)], m, True)
 
-def best_by_span(hits: list[dict], least: int, most: int, m: int) -> tuple:
-    """(T_l, T_r, shared, strands, score) of the first window of highest Jaccard whose span of tpos is between the limits.
 
-    From each hit the window shrinks until the next hit outside lies within ``least`` of it, then grows hit by hit while
-    these lie within ``most``; it is scored as it grows. What lies after the last hit counts as infinitely far.
-    """
-    held, best, end = _Held(hits), _NOTHING, 0
-    for low in range(len(hits)):
-        while end > low + 1 and (end == len(hits) or hits[end]["tpos"] > hits[low]["tpos"] + least):
-            end -= 1
-            held.leave(end)
-        while end < len(hits) and hits[end]["tpos"] <= hits[low]["tpos"] + most:
-            held.enter(end)
-            best = max(best, held.record(low, end, m, True), key=lambda x: x[4])
-            end += 1
-        if end > low:
-            held.leave(low)
-        else:
-            end = low + 1
-    return best
+def columns_of(hits: pa.StructArray | None) -> dict[str, np.ndarray]:
+    """A bucket's hits (tpos, r, h, occs, codir), sorted by tpos, as arrays."""
+    names = ("tpos", "r", "h", "occs", "codir")
+    if hits is None:
+        return {n: np.zeros(0, np.int64) for n in names}
+    return {n: hits.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names}
 
 
 def sketch_places(points: DataFrame, ref: DataFrame, segment: str = "segm_id") -> DataFrame:
@@ -115,9 +134,9 @@ def origin_windows(ordered: DataFrame, sizes: DataFrame, ref: DataFrame, names:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for letters, start, stop, m, hits in zip(*(batch.column(i).to_pylist() for i in (4, 5, 6, 7, 8))):
-                span = stop - start
-                found.append((*best_by_letters(hits or [], letters, m), *best_by_span(hits or [], span - 2, span + 2, m)))
+            for i, (letters, start, stop, m) in enumerate(zip(*(batch.column(i).to_pylist() for i in (4, 5, 6, 7)))):
+                hits = columns_of(batch.column(8)[i].values)
+                found.append((*best_by_letters(hits, letters, m), *best_by_span(hits, stop - start - 2, stop - start + 2, m)))
             cols = [pa.array([f[i] for f in found], pa.float64() if i % 5 == 4 else pa.int32()) for i in range(10)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *cols], [*plain[:4], *made])
 

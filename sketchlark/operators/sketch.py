@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Letters of a sequence that are hashed at once, and k-mers that a task gives away together.
+BLOCK, TOGETHER = 1 << 20, 200_000
+
 #: Published seeds of a rolling nucleotide hash.
 SEEDS = {"A": 0x3C8BFBB395C60474, "C": 0x3193C18562A02B4C, "G": 0x20323ED082572324, "T": 0x295549F54BE24456}
 COMPLEMENT = {"A": "T", "C": "G", "G": "C", "T": "A"}
@@ -59,41 +62,34 @@ def kmers(seq: bytes, k: int, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarra
     return keep + k - 1, h[keep], fw[keep] > rc[keep]
 
 
-def sketch(df: DataFrame, key: str, seq: str, k: int, ratio: float) -> DataFrame:
+def sketch(df: DataFrame, key: str, seq: str, k: int, ratio: float, block: int = BLOCK) -> DataFrame:
     """(key, tpos, r, h, strand): one row per sampled k-mer, tpos counting them from 0 within a sequence.
 
-    A sequence stays in its task, so nothing is shuffled; a null or short sequence gives no row.
+    A sequence stays in its task, so nothing is shuffled; a null or short sequence gives no row. A sequence of any length
+    is read in blocks of ``block`` letters that share k - 1, so a task holds one block's arrays and the letters.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, parts, held = [], [], 0
-
-            def flush(lo, batch=batch):
-                nonlocal size, parts, held
-                if parts:
-                    r, h, strand = (np.concatenate(x) for x in zip(*parts))
-                    n = np.array(size)
-                    tpos = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
-                    rows = pa.array(np.repeat(np.arange(lo, lo + len(n)), n))
-                    out = pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(tpos.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(strand)], [key, "tpos", "r", "h", "strand"])
-                    size, parts, held = [], [], 0
-                    return out
-                return None
-
-            lo = 0
+            rows: list[tuple] = []
+            held = 0
             for i, s in enumerate(batch.column(1)):
-                found = kmers((s.as_py() or "").encode("latin-1", "replace"), k, ratio)
-                size.append(len(found[0]))
-                parts.append(found)
-                held += len(found[0])
-                if held > 200_000:
-                    yield flush(lo)
-                    lo = i + 1
-            last = flush(lo)
-            if last is not None:
-                yield last
+                letters, tpos = (s.as_py() or "").encode("latin-1", "replace"), 0
+                for at in range(0, max(len(letters) - k + 1, 0), block):
+                    r, h, strand = kmers(letters[at : at + block + k - 1], k, ratio)
+                    rows.append((np.full(len(r), i), np.arange(tpos, tpos + len(r)), r + at, h, strand))
+                    tpos += len(r)
+                    held += len(r)
+                    if held > TOGETHER:
+                        yield pack(batch, rows)
+                        rows, held = [], 0
+            if held:
+                yield pack(batch, rows)
+
+    def pack(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        i, tpos, r, h, strand = (np.concatenate(x) for x in zip(*rows))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(tpos.astype(np.int32)), pa.array(r.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(strand)], [key, "tpos", "r", "h", "strand"])
 
     return df.select(key, seq).mapInArrow(make, f"`{key}` {kind}, tpos int, r int, h long, strand boolean")
 

@@ -1,12 +1,16 @@
+import re
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sketchlark.functions import sequences as S
-from sketchlark.operators import intervals, mapping
+from sketchlark.operators import align, intervals, mapping
 from sketchlark.operators.align import edit_path, run_lengths
 from sketchlark.operators.sketch import COMPLEMENT, SEEDS, kmers, sketch
-from sketchlark.params import Params
+from sketchlark.params import Metric, Params
+from sketchlark.plans.meters import Counters, Timers, memory_mb, progress_bar
 
 
 def test_hash_is_the_same_on_both_strands():
@@ -102,6 +106,105 @@ def test_intervals_against_brute_force(spark):
     assert intervals.covered_once(df).agg(F.sum("covered")).first()[0] == len(covered)
 
 
+def _distances(query, target, mode):
+    rows = [[0 if mode == "HW" else j for j in range(len(target) + 1)]]
+    for i, q in enumerate(query, 1):
+        row = [i]
+        for j, t in enumerate(target, 1):
+            row.append(min(rows[-1][j - 1] + (q != t), rows[-1][j] + 1, row[-1] + 1))
+        rows.append(row)
+    return rows[-1]
+
+
+@pytest.mark.parametrize("cells", [1 << 28, 6])
+def test_alignment_against_the_whole_matrix(cells, monkeypatch):
+    monkeypatch.setattr(align, "CELLS", cells)
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        q, t = ("".join(rng.choice(list("ACG"), int(rng.integers(0, 14)))) for _ in range(2))
+        for mode in align.MODES:
+            last = _distances(q, t, mode)
+            end = len(t) if mode == "NW" else last.index(min(last))
+            distance, start, stop, cigar = align.edit_path(q, t, mode)
+            assert (distance, stop) == (last[end], end - 1) == align.edit_distance(q, t, mode)
+            i, j, cost = 0, start, 0
+            for n, op in re.findall(r"(\d+)([=XID])", cigar):
+                for _ in range(int(n)):
+                    assert op not in "=X" or (q[i] == t[j]) == (op == "=")
+                    i, j, cost = i + (op != "D"), j + (op != "I"), cost + (op != "=")
+            assert (i, j, cost) == (len(q), end, distance)
+            for k in range(4):
+                assert align.edit_distance(q, t, mode, k) == ((distance, stop) if distance <= k else (-1, -1))
+
+
+def test_alignment_of_long_texts_and_letters_that_match():
+    rng = np.random.default_rng(9)
+    q = "".join(rng.choice(list("ACGT"), 6000))
+    assert align.edit_path(q, q[:2000] + "A" + q[2003:])[0] <= 3
+    assert align.edit_distance("ANNT", "ACGT", equal=(("N", "C"), ("N", "G"))) == (0, 3)
+    assert align.edit_path("ANNT", "ACGT", equal=(("N", "C"),))[3] == "2=1X1="
+
+
+def test_long_sequences_are_sketched_in_blocks(spark):
+    rng = np.random.default_rng(10)
+    seqs = ["".join(rng.choice(list("ACGTN"), n, p=[0.24, 0.25, 0.25, 0.25, 0.01])) for n in (5000, 100, 7, 0)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "id int, seq string")
+    whole, parts = (sorted(map(tuple, sketch(df, "id", "seq", 9, 0.5, block=b).collect())) for b in (1 << 20, 64))
+    assert whole == parts and [x[1] for x in whole if x[0] == 0] == list(range(sum(x[0] == 0 for x in whole)))
+
+
+def test_metrics_against_buckets(spark):
+    """All four metrics on one set of reads: candidates and bounds agree with the aggregates of bucket_matches."""
+    rng = np.random.default_rng(11)
+    seqs = ["".join(rng.choice(list("ACGT"), 1500)) for _ in range(3)]
+    seqs.append(seqs[0][200:900] + seqs[1][:300])
+    segs = spark.createDataFrame(list(enumerate(seqs)), "segm_id int, seq string")
+    reads = spark.createDataFrame([(f"r{i}", seqs[i % 4][100 * i : 100 * i + 300]) for i in range(8)], "query_id string, seq string")
+    for metric in Metric:
+        p = Params(k=9, ratio=0.6, theta=0.4, min_diff=0.1, max_overlap=0.3, metric=metric)
+        ref = sketch(segs, "segm_id", "seq", p.k, p.ratio)
+        ordered, usable = mapping.seeded(sketch(reads, "query_id", "seq", p.k, p.ratio), ref, p)
+        cols = ["query_id", "segm_id", "b", "matches", "codirection", "r_min", "r_max", "sh"]
+        scored = mapping.scored_buckets(ordered, usable, p)
+        assert sorted(map(tuple, scored.select(cols).collect())) == sorted(map(tuple, mapping.bucket_matches(ordered, usable, p).select(cols).collect()))
+        out = mapping.map_seeds(ordered, usable, p).collect()
+        assert len(out) >= 6 and all(r.score > p.theta and r.final_buckets >= 1 for r in out)
+
+
+def test_frequent_kmers_are_left_out(spark):
+    rng = np.random.default_rng(12)
+    unit = "".join(rng.choice(list("ACGT"), 200))
+    segs = spark.createDataFrame([(i, unit + "".join(rng.choice(list("ACGT"), 300))) for i in range(6)], "segm_id int, seq string")
+    reads = spark.createDataFrame([("a", unit)], "query_id string, seq string")
+    p = Params(k=9, ratio=1.0, theta=0.3, min_diff=0.1)
+    sketched = [sketch(df, key, "seq", p.k, p.ratio) for df, key in ((reads, "query_id"), (segs, "segm_id"))]
+    assert mapping.map_reads(*sketched, p).count() == 1
+    assert mapping.map_reads(*sketched, replace(p, max_matches=5)).count() == 0
+
+
+def test_counters_and_timers():
+    c = Counters(c1=1, c2=2)
+    assert (c.frac("c1", "c2"), c.perc("c1", "c2")) == (0.5, 50) and (c + Counters(c1=2, x=1)).count("c1") == 3
+    c.inc("zero", 0)
+    assert c.frac("c1", "zero") == float("inf")
+    with pytest.raises(KeyError):
+        c.count("unknown")
+    t = Timers()
+    t.add("a", 0.01)
+    t.add("b", 0.02)
+    t.add("b", 0.01)
+    assert t.perc("a", "b") == pytest.approx(100 / 3) and t.range_ratio("b") == 2 and (t + t).secs("a") == 0.02
+    t.start("c")
+    with pytest.raises(ValueError):
+        t.start("c")
+    t.stop("c")
+    with pytest.raises(ValueError):
+        t.stop("c")
+    assert [b[0] for b in t.breakdown("b")] == ["a", "b", "c"] and memory_mb()["VmRSS"] > 1
+    assert mapping.time_warnings({"mapping": 10, "match_seeds": 9.5, "match_rest": 1, "match_rest_for_best2": 0.3}) == [("match_seeds", 95.0)]
+    assert progress_bar(0.5, "x", 4) == "\rx [==  ] 50%"
+
+
 def test_alignment():
     assert edit_path("kitten", "sitting")[0] == 3
     assert edit_path("abc", "xxabcxx", "HW") == (0, 2, 4, "3=")

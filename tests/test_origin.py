@@ -1,5 +1,3 @@
-from collections import Counter
-
 import numpy as np
 import pytest
 
@@ -15,9 +13,19 @@ def _hits(rng, n):
     return [{"tpos": int(t), "r": int(p), "h": int(h), "occs": occs[int(h)], "codir": int(c)} for t, p, h, c in zip(tpos, r, rng.integers(0, 5, n), rng.choice([-1, 1], n))]
 
 
-def _shared(hits):
-    occs = {x["h"]: x["occs"] for x in hits}
-    return sum(min(n, occs[h]) for h, n in Counter(x["h"] for x in hits).items())
+def _arrays(hits):
+    return {k: np.array([x[k] for x in hits], np.int64) for k in ("tpos", "r", "h", "occs", "codir")}
+
+
+def _window(hits, low, last, m, jac):
+    """(T_l, T_r, shared, strands, score): of each k-mer its first hits count, up to the read's own number."""
+    left, shared, strands = {}, 0, 0
+    for x in hits[low : last + 1]:
+        if left.setdefault(x["h"], x["occs"]) > 0:
+            left[x["h"]] -= 1
+            shared, strands = shared + 1, strands + x["codir"]
+    size = hits[last]["tpos"] - hits[low]["tpos"] + 1
+    return hits[low]["r"], hits[last]["r"], shared, strands, shared / (m + size - shared if jac else m)
 
 
 def test_windows_by_letters_against_brute_force():
@@ -25,32 +33,22 @@ def test_windows_by_letters_against_brute_force():
     for _ in range(200):
         hits, letters, m = _hits(rng, int(rng.integers(1, 15))), int(rng.integers(0, 60)), 20
         for jac in (False, True):
-            best = -1.0
-            for low, x in enumerate(hits):
-                inside = [y for y in hits[low:] if y["r"] <= x["r"] + letters]
-                shared = _shared(inside)
-                best = max(best, shared / (m + inside[-1]["tpos"] - x["tpos"] + 1 - shared if jac else m))
-            assert origin.best_by_letters(hits, letters, m, jac)[4] == pytest.approx(best)
+            every = [_window(hits, low, max(i for i, y in enumerate(hits) if y["r"] <= x["r"] + letters), m, jac) for low, x in enumerate(hits)]
+            assert origin.best_by_letters(_arrays(hits), letters, m, jac) == pytest.approx(max(every, key=lambda w: w[4]))
 
 
 def test_windows_by_span_against_brute_force():
     rng = np.random.default_rng(4)
-    for _ in range(200):
+    for _ in range(300):
         hits, most, m = _hits(rng, int(rng.integers(1, 15))), int(rng.integers(0, 20)), 20
         least = most - 4
-        got = origin.best_by_span(hits, least, most, m)
-        scores = {}
-        for low in range(len(hits)):
-            for last in range(low, len(hits)):
-                span = hits[last]["tpos"] - hits[low]["tpos"]
-                if span <= most:
-                    shared = _shared(hits[low : last + 1])
-                    scores[hits[low]["r"], hits[last]["r"], shared] = shared / (m + span + 1 - shared)
-        # Any window it reports is one of these, and none whose span is above the lower limit is better.
-        assert scores[got[:3]] == pytest.approx(got[4])
-        at = {x["r"]: x["tpos"] for x in hits}
-        assert got[4] >= max((s for (a, b, _), s in scores.items() if at[b] - at[a] > least), default=-1.0) - 1e-12
-    assert origin.best_by_span([], 0, 4, 3)[4] == -1.0
+        every = []
+        for low, x in enumerate(hits):
+            span = [y["tpos"] - x["tpos"] for y in hits]
+            near = [i for i in range(low, len(hits)) if span[i] <= least][-1:]
+            every += [_window(hits, low, last, m, True) for last in [*near, *(i for i in range(low, len(hits)) if least < span[i] <= most)]]
+        assert origin.best_by_span(_arrays(hits), least, most, m) == pytest.approx(max(every, key=lambda w: w[4]))
+    assert origin.best_by_span(_arrays([]), 0, 4, 3)[4] == -1.0
 
 
 def test_origin_of_simulated_reads(spark):
