@@ -394,11 +394,6 @@ def infix_alignment(spark, sf_dir):
     return found.select("item_id", "distance", formats.cigar_length("cigar", "=XI").alias("q_letters"), fits.alias("fits"))
 
 
-@query("SELECT substr(p_name, 1, 1) AS kind, count(*) AS n, sum(CASE WHEN p_size <= 10 THEN 1 ELSE 0 END)::BIGINT AS short FROM part GROUP BY 1")
-def length_classes(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.substring("p_name", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("p_size") <= 10, 1).otherwise(0)).alias("short"))
-
-
 _MAPPINGS = """maps AS (SELECT l_orderkey AS query_id, l_extendedprice::BIGINT AS P_sz, l_suppkey % 3 AS segm_name, epoch(l_shipdate)::BIGINT // 86400 AS T_l, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS T_r, l_quantity::BIGINT AS mapq, l_linenumber AS line, l_partkey AS part FROM lineitem)"""
 
 

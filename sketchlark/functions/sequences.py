@@ -83,3 +83,22 @@ def suffixed_number(text: Column | str) -> Column:
     unit = F.lower(F.regexp_extract(text, r"([kKmMgG]?)$", 1))
     factor = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "g", 1e9).otherwise(1.0)
     return F.when(number != "", F.floor(number.cast("double") * factor + 0.499)).cast("bigint")
+
+
+def paired_truth(name: Column | str) -> Column:
+    """``id!segment!start1_start2!end1_end2!<strand1><strand2>/1`` (or ``/2``) as a struct for that mate; else null."""
+    name = F.col(name) if isinstance(name, str) else name
+    pattern = r"^(\S+)!(\S+)!(\d+)_(\d+)!(\d+)_(\d+)!([+-])([+-])/([12])$"
+    part = lambda i: F.regexp_extract(name, pattern, i)
+    of = lambda i, j: F.when(part(9) == "1", part(i)).otherwise(part(j))
+    return F.when(F.rlike(name, F.lit(pattern)), F.struct(part(1).alias("id"), part(2).alias("segment"), of(3, 4).try_cast("bigint").alias("start"), of(5, 6).try_cast("bigint").alias("end"), of(7, 8).alias("strand")))
+
+
+def any_truth(name: Column | str) -> Column:
+    """``truth``, or else ``paired_truth``."""
+    return F.coalesce(paired_truth(name), truth(name))
+
+
+def point_in(x: Column, low: Column, high: Column) -> Column:
+    """Whether low <= x < high."""
+    return (x >= low) & (x < high)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sketchlark.operators.evaluation import cigar_steps
 from sketchlark.operators.formats import cigar_ops
 from sketchlark.operators.intervals import covered_once, merge, overlap_join
 
@@ -38,6 +39,25 @@ def alignment_stats(alignments: DataFrame) -> DataFrame:
     return sums.crossJoin(second).crossJoin(lengths).crossJoin(covered)  # one row each
 
 
+def read_errors(alignments: DataFrame) -> DataFrame:
+    """(query_id, aligned, substitutions, inserted, deleted, error) over a query's primary alignments (query_id, cigar, nm, nn).
+
+    aligned are letters against letters; error is all differences over these and the gaps.
+    """
+    rows = alignments.withColumn("_ops", cigar_ops("cigar"))
+    letters = lambda kinds: F.aggregate(F.filter("_ops", lambda x: x.op.isin(*kinds)), F.lit(0), lambda a, x: a + x.n)
+    subs = F.greatest(F.col("nm") - letters("ID") - F.coalesce("nn", F.lit(0)), F.lit(0))
+    sums = rows.groupBy("query_id").agg(_total(letters("M=X")).alias("aligned"), _total(subs).alias("substitutions"), _total(letters("I")).alias("inserted"), _total(letters("D")).alias("deleted"))
+    gaps = F.col("inserted") + F.col("deleted")
+    return sums.withColumn("error", F.try_divide((F.col("substitutions") + gaps).cast("double"), F.col("aligned") + gaps))
+
+
+def long_gaps(alignments: DataFrame, least: int, key: str = "aln_id") -> DataFrame:
+    """(key, op, n, q_at, t_at): insertions and deletions of ``least`` letters or more, with the place where they begin."""
+    steps = cigar_steps(alignments, key, F.col("P_start"), F.col("T_l"))
+    return steps.where(F.col("op").isin("I", "D") & (F.col("n") >= least)).select(key, "op", "n", "q_at", "t_at")
+
+
 def _in_regions(blocks: DataFrame, regions: DataFrame, width: int, ratio: float) -> DataFrame:
     """Segment intervals (segm_name, st, en) that share ``ratio`` of their length or more with the regions (chrom, st, en)."""
     named = regions.select(F.col("chrom").alias("segm_name"), "st", "en")

@@ -5,27 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sketchlark.functions.sequences import overlap_ratio, truth
-from sketchlark.operators.formats import cigar_ops
+from sketchlark.functions.sequences import any_truth, overlap_ratio, reverse_complement_iupac
+from sketchlark.operators.formats import cigar_length, cigar_ops
 from sketchlark.operators.intervals import merge, overlap_join, quality_curve
 
 
 def against_truth(mapped: DataFrame, least: float = 0.1, name: str = "query_id") -> DataFrame:
     """``mapped`` with ``wrong``: the segment, strand or place (shared over spanned length at most ``least``) isn't the one in the name.
 
-    Needs segm_name, strand, T_l, T_r. Rows whose name holds no truth are left out.
+    Needs segm_name, strand, T_l, T_r. Names are those of single or paired reads. Rows whose name holds no truth are left out.
     """
-    t = truth(name)
-    rows = mapped.withColumn("_t", t).where("_t is not null")
+    rows = mapped.withColumn("_t", any_truth(name)).where("_t is not null")
     near = overlap_ratio(F.col("segm_name"), F.col("T_l"), F.col("T_r"), F.col("_t.segment"), F.col("_t.start"), F.col("_t.end")) > least
     return rows.withColumn("wrong", ~((F.col("segm_name") == F.col("_t.segment")) & (F.col("strand") == F.col("_t.strand")) & near)).drop("_t")
 
 
-def mapping_errors(mapped: DataFrame, least: float = 0.1) -> DataFrame:
-    """Errors by mapping quality, of one mapping a read: that with the longest interval, then the first by segment and start."""
-    order = Window.partitionBy("query_id").orderBy((F.col("T_r") - F.col("T_l")).desc(), "segm_name", "T_l")
-    one = mapped.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return quality_curve(against_truth(one, least))
+def judged_reads(mapped: DataFrame, least: float = 0.1, mode: str = "longest", at: str | None = None, cap_short: bool = False) -> DataFrame:
+    """One judged row (the columns of ``mapped``, wrong) per read. Of its mappings count
+
+    longest: that with the longest interval, then the first by segment and start; first: the first by column ``at``;
+    all: the wrong one of highest quality, or else the right one of highest. With ``cap_short`` no quality is above the
+    longest's.
+    """
+    if mode not in ("longest", "first", "all"):
+        raise ValueError("mode must be longest, first or all")
+    longest = [(F.col("T_r") - F.col("T_l")).desc(), "segm_name", "T_l"]
+    rows = against_truth(mapped, least)
+    if cap_short:
+        rows = rows.withColumn("mapq", F.least("mapq", F.first("mapq").over(Window.partitionBy("query_id").orderBy(*longest))))
+    order = {"longest": longest, "first": [at or "T_l"], "all": [F.col("wrong").desc(), F.col("mapq").desc(), *longest]}[mode]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def mapping_errors(mapped: DataFrame, least: float = 0.1, mode: str = "longest", at: str | None = None, cap_short: bool = False) -> DataFrame:
+    """Errors by mapping quality over ``judged_reads``, accumulated from the highest down."""
+    return quality_curve(judged_reads(mapped, least, mode, at, cap_short))
+
+
+def error_rows(judged: DataFrame, quality: int = 0) -> DataFrame:
+    """The wrong rows of ``judged_reads`` of at least a mapping quality."""
+    return judged.where(F.col("wrong") & (F.col("mapq") >= quality))
+
+
+def simulated_pairs(sam: DataFrame) -> DataFrame:
+    """(name, comment, seq, qual): reads with their origin in the name, from rows (query_id, flag, segm_name, pos, cigar, seq, qual, errors, snps, indels).
+
+    pos is 0-based. Reversed rows are turned back. Two mates of a name are named by both places and numbered; a read
+    without a mate by its own. A leading ``simulated.`` goes. Two rows of a name that aren't mates raise an error.
+    """
+    minus = F.col("flag").bitwiseAND(16) != 0
+    strand = F.when(minus, "-").otherwise("+")
+    mate = F.when(F.col("flag").bitwiseAND(0xC0) == 0x40, 1).when(F.col("flag").bitwiseAND(0xC0) == 0x80, 2).otherwise(0)
+    seq = F.when(minus, reverse_complement_iupac("seq")).otherwise(F.col("seq"))
+    read = F.struct(mate.alias("mate"), "segm_name", "pos", (F.col("pos") + cigar_length("cigar", "MDN")).alias("stop"), strand.alias("strand"), seq.alias("seq"), F.when(minus, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"), F.concat_ws(":", "errors", "snps", "indels").alias("comment"))
+    rows = sam.select(F.regexp_replace("query_id", "^simulated.", "").alias("id"), read.alias("r"))
+    both = rows.groupBy("id").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    a, b = F.get("r", F.lit(0)), F.get("r", F.lit(1))
+    alone = F.concat_ws("!", "id", a.segm_name, a.pos, a["stop"], a.strand)
+    paired = F.concat_ws("!", "id", a.segm_name, F.concat_ws("_", a.pos, b.pos), F.concat_ws("_", a["stop"], b["stop"]), F.concat(a.strand, b.strand))
+    fine = (F.size("r") == 1) | ((F.size("r") == 2) & (a.mate == 1) & (b.mate == 2))
+    name = F.when(~fine, F.raise_error(F.concat(F.lit("mates don't match: "), "id")).cast("string")).when(F.size("r") == 1, alone)
+    out = both.select(name.alias("one"), paired.alias("two"), F.explode("r").alias("x"))
+    return out.select(F.coalesce("one", F.concat_ws("/", "two", "x.mate")).alias("name"), "x.comment", "x.seq", "x.qual")
 
 
 def compare_mappings(base: DataFrame, test: DataFrame, order: str, min_len: int = 5000, min_mapq: int = 10, share: float = 0.5) -> DataFrame:
@@ -61,9 +102,15 @@ def overlap_sensitivity(inferred: DataFrame, reported: DataFrame) -> DataFrame:
     return out.withColumn("sensitivity", F.round(100 * (1 - F.try_divide("missing", "overlaps")), 2))
 
 
-def covered_targets(targets: DataFrame, regions: DataFrame, width: int, keys: list[str], chrom: str = "chrom") -> DataFrame:
-    """(keys, size, covered): positions of each target that the union of the regions covers; targets without any have 0."""
+def covered_targets(targets: DataFrame, regions: DataFrame, width: int, keys: list[str], chrom: str = "chrom", exclude: DataFrame | None = None) -> DataFrame:
+    """(keys, size, covered): positions of each target that the union of the regions covers; targets without any have 0.
+
+    Targets that meet an interval of ``exclude`` are left out.
+    """
     named = targets.select(chrom, "st", "en", *keys)
+    if exclude is not None:
+        met = overlap_join(named, exclude.select(chrom, "st", "en"), width, chrom).select(*keys).distinct()
+        named = named.join(met, keys, "left_anti")
     shared = overlap_join(named, merge(regions.where("st < en"), chrom), width, chrom)
     found = shared.groupBy(*keys).agg(F.sum(F.least("en", "en_b") - F.greatest("st", "st_b")).alias("covered"))
     return named.select(*keys, (F.col("en") - F.col("st")).alias("size")).join(found, keys, "left").withColumn("covered", F.coalesce("covered", F.lit(0)))
@@ -104,6 +151,12 @@ def cigar_steps(alignments: DataFrame, key: str, q_start: Column, t_start: Colum
     return moves.select(key, "x.n", "x.op", (F.col("_q") + at("MIS=X")).alias("q_at"), (F.col("_t") + at("MDN=X")).alias("t_at"))
 
 
+def usable_alignments(alignments: DataFrame, min_mapq: int = 5, min_len: int = 50_000, max_diff: float = 1.0) -> DataFrame:
+    """Primary alignments of a quality, length on the target and share of differences (a null diff counts as none) or better."""
+    fine = F.col("is_primary") & (F.col("mapq") >= min_mapq) & (F.col("T_r") - F.col("T_l") >= min_len) & (F.coalesce("diff", F.lit(0.0)) <= max_diff)
+    return alignments.where(fine)
+
+
 def lift_over(alignments: DataFrame, regions: DataFrame, key: str = "aln_id") -> DataFrame:
     """(key, segm_name, st, en, name, strand): regions of queries carried over to the targets of their alignments.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sketchlark.functions.sequences import truth
+from sketchlark.functions.sequences import overlap_ratio, truth
 
 SIDES = {"left": -1, "own": 0, "next": 1}
 _NOTHING = (None, None, 0, 0, -1.0)
@@ -147,3 +147,36 @@ def origin_windows(ordered: DataFrame, sizes: DataFrame, ref: DataFrame, names:
 def lost_reads(origins: DataFrame, buckets: DataFrame, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
     """(key): reads none of whose candidate buckets is one at their origin."""
     return origins.select(key).distinct().join(origins.join(buckets.select(key, segment, "b"), [key, segment, "b"], "left_semi").select(key), key, "left_anti")
+
+
+def origin_table(origins: DataFrame, ordered: DataFrame, reads: DataFrame, theta: float, reaching: DataFrame | None = None, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
+    """One row per read of ``origin_windows``: its sketch, the three buckets at its origin with their best scores, and its letters.
+
+    reads are (key, seq). With ``reaching`` (see ``sweeps.reaching_theta``) the buckets that reach theta, their numbers
+    and the highest scores follow. gt_C_l_lmax is gt_C_l, as windows by letters have no other limit, and gt_C_r_lmax -1.
+    """
+    names = {"left": "l", "own": "r", "next": "next"}
+    of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    wide = origins.groupBy(key, segment).agg(*(of("b", s).alias(f"gt_{n}_bucket") for s, n in names.items()), *(of(f"{x}_score", s).alias(f"gt_{x}_{n}") for x in "JC" for s, n in names.items()))
+    m = ordered.groupBy(key).agg(F.first("m").alias("m"))
+    out = wide.join(m, key).join(reads.select(key, F.col("seq").alias("P")), key)
+    columns = [key, "m", F.lit(theta).alias("theta"), F.col("m").alias("hl"), F.col(segment).alias("segm"), *(f"gt_{n}_bucket" for n in names.values()), *(f"gt_{x}_{n}" for x in "JC" for n in names.values()), F.col("gt_C_l").alias("gt_C_l_lmax"), F.lit(-1.0).alias("gt_C_r_lmax")]
+    if reaching is not None:
+        out = out.join(reaching, key, "left")
+        listed = lambda x: F.concat(F.lit("{"), F.array_join(F.transform(f"{x}_buckets", lambda b: F.concat(F.lit("("), F.concat_ws(", ", *(b[c].cast("string") for c in ("segm_id", "b"))), F.lit(")"))), ","), F.lit("}"))
+        columns += [*(F.coalesce(f"{x}_n", F.lit(0)).alias(f"{x}_reaching") for x in "JC"), *(F.coalesce(listed(x), F.lit("{}")).alias(f"{x}_list") for x in "JC"), *(F.coalesce(f"max_{x}", F.lit(0.0)).alias(f"max{x}") for x in "JC")]
+    return out.select(*columns, "P")
+
+
+def origin_tags(table: DataFrame, mapped: DataFrame, key: str = "query_id") -> DataFrame:
+    """(key, tags): the tags that a mapping's PAF row gets where the read's origin is known, from ``origin_table`` and ``map_reads``."""
+    t = truth(key)
+    rows = table.join(mapped.select(key, "T_l", "T_r", F.col("segm_id").alias("_g")), key).withColumn("_t", t)
+    number = lambda c: F.format_string("%.3f", F.coalesce(c, F.lit(-1.0)).cast("double"))
+    near = overlap_ratio(F.col("_g").cast("string"), F.col("T_l"), F.col("T_r"), F.col("_t.segment"), F.col("_t.start"), F.col("_t.end"))
+    whole = {"gt_start_nucl": F.col("_t.start"), "gt_end_nucl": F.col("_t.end"), "bucket_l": F.col("hl")}
+    tags = [F.concat(F.lit("gt_segm:s:"), F.col("_t.segment")), *(F.concat(F.lit(f"{n}:i:"), v.cast("string")) for n, v in whole.items())]
+    tags += [F.concat(F.lit(f"gt_b_{n}:s:"), F.concat_ws(",", F.col("segm").cast("string"), F.col(f"gt_{n}_bucket").cast("string"))) for n in ("l", "r", "next")]
+    tags += [F.concat(F.lit(f"gt_{x}:f:"), number(F.col(f"gt_{x}"))) for x in ("J_l", "J_r", "J_next", "C_l", "C_r", "C_next", "C_l_lmax", "C_r_lmax")]
+    tags += [F.concat(F.lit("gt_mapping_len:i:"), (F.col("_t.end") - F.col("_t.start")).cast("string")), F.concat(F.lit("reported_mapping_len:i:"), (F.col("T_r") - F.col("T_l")).cast("string")), F.concat(F.lit("gt_overlap:f:"), number(near))]
+    return rows.select(key, F.concat_ws("\t", *tags).alias("tags"))

@@ -6,6 +6,9 @@ has to fit into one task, but each record has to.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,57 @@ def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return four.select("file", "rec_idx", name.alias("name"), comment.alias("comment"), F.col("l1").alias("seq"), F.when(fine, F.col("l3")).otherwise(broken.cast("string")).alias("qual"))
 
 
+def read_long_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, rec_idx, name, comment, seq, qual): the records of FASTQ files whose sequences and qualities may span lines.
+
+    Only a file's start tells whether a line that begins with @ or + is a header, so each file is read by one task, line
+    by line; a record has as many quality letters as letters. A record cut short, or a line that can't start one, raises an
+    error; blank lines between records are skipped. Qualities and sequences lose white space at line ends.
+    """
+    lines = _numbered(_text(spark, paths, "\n"), per_file=True).select("file", "at", "value")
+    schema = "file string, rec_idx long, header string, seq string, qual string"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, number, header, seq, qual, stage, missing = None, 0, "", [], [], "header", 0
+
+        def check() -> None:
+            if stage not in ("header",):
+                raise ValueError(f"broken FASTQ record {number} of {file}")
+
+        for batch in batches:
+            done: list[dict] = []
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if name != file:
+                    check()
+                    file, number = name, 0
+                line = line.rstrip()
+                if stage == "header":
+                    if not line:
+                        continue
+                    if line[0] != "@":
+                        raise ValueError(f"broken FASTQ record {number} of {file}")
+                    header, seq, qual, stage = line[1:], [], [], "seq"
+                elif stage == "seq" and line[:1] == "+":
+                    missing, stage = sum(map(len, seq)), "qual"
+                elif stage == "seq":
+                    seq.append(line)
+                else:
+                    qual.append(line)
+                    missing -= len(line)
+                if stage == "qual" and missing <= 0:
+                    if missing < 0:
+                        raise ValueError(f"broken FASTQ record {number} of {file}")
+                    if qual or not seq:
+                        done.append({"file": file, "rec_idx": number, "header": header, "seq": "".join(seq), "qual": "".join(qual)})
+                        number, stage = number + 1, "header"
+            yield pa.RecordBatch.from_pylist(done, pa.schema([("file", pa.string()), ("rec_idx", pa.int64()), ("header", pa.string()), ("seq", pa.string()), ("qual", pa.string())]))
+        check()
+
+    rows = lines.repartition("file").sortWithinPartitions("file", "at").mapInArrow(read, schema)
+    name, comment = _header(F.col("header"))
+    return rows.select("file", "rec_idx", name.alias("name"), comment.alias("comment"), "seq", "qual")
+
+
 def write_tsv(records: DataFrame, path: str) -> None:
     """Name and sequence of each record as tab-separated rows under the header ``query_id``, ``sequence``."""
     records.select(F.col("name").alias("query_id"), F.col("seq").alias("sequence")).write.csv(path, sep="\t", header=True)
