@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchlark.llm.graph import components, forest
-from sketchlark.llm.scratch import settle
+from sketchlark.plans.scratch import settle
 
-THRESHOLD, PROJECTIONS, WIDTH, RECALL, SEED = 0.93, 20, 1.5, 0.9995, 5
-#: Distinct vectors that a task compares with so many others at once.
-CHUNK, ROWS = 2048, 256
+THRESHOLD, PROJECTIONS, WIDTH, RECALL, SEED = 0.93, 32, 1.5, 0.9995, 5
+#: Distinct vectors that a task compares with so many others; rows whose collisions, and pairs whose cosines, it has at once.
+CHUNK, ROWS, PAIRS = 2048, 512, 50_000
 
 
 def needed_collisions(projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL) -> int:
@@ -32,30 +32,49 @@ def needed_collisions(projections: int = PROJECTIONS, width: float = WIDTH, reca
     return 1
 
 
-def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, reach: float, needed: int, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, boolean links to all of y) for blocks of rows of x; x and y are unit vectors, px and py their projections."""
-    orders = [np.argsort(py[:, k], kind="stable") for k in range(py.shape[1])]
-    for at in range(0, len(x), ROWS):
-        part = slice(at, at + ROWS)
-        n = len(x[part])
-        count = np.zeros((n, len(y)), np.int8)
-        rows = np.arange(n)
-        for k, order in enumerate(orders):
-            line = py[order, k]
-            low, high = np.searchsorted(line, px[part, k] - reach), np.searchsorted(line, px[part, k] + reach, side="right")
-            step = np.zeros((n, len(y) + 1), np.int8)
-            np.add.at(step, (rows, low), 1)
-            np.add.at(step, (rows, high), -1)
-            count[:, order] += np.cumsum(step, axis=1, dtype=np.int8)[:, :-1]
-        passed = count >= needed
-        if passed.mean() > 0.05:
-            passed &= x[part] @ y.T >= threshold
+def collided(px: np.ndarray, py: np.ndarray, reach: float, needed: int) -> np.ndarray:
+    """(rows of px, words) bits: whether row j of py lies in the window of ``reach`` around row i of px in ``needed`` projections.
+
+    Each projection of y is sorted, and for each place in that order the set of rows before it is kept as bits; a window
+    is then two places, and its rows the exclusive-or of their sets. Windows of the projections are added up in counters
+    whose bits lie in one array each, so a word adds 64 pairs at a time.
+    """
+    n = len(py)
+    words = -(-n // 64)
+    rows = np.arange(n)
+    total = [np.zeros((len(px), words), np.uint64) for _ in range(int(px.shape[1]).bit_length())]
+    for k in range(px.shape[1]):
+        order = np.argsort(py[:, k], kind="stable")
+        before = np.zeros((n + 1, words), np.uint64)
+        before[rows + 1, order // 64] = np.uint64(1) << (order % 64).astype(np.uint64)
+        np.bitwise_xor.accumulate(before, axis=0, out=before)
+        line = py[order, k]
+        carry = before[np.searchsorted(line, px[:, k] + reach, side="right")]
+        carry ^= before[np.searchsorted(line, px[:, k] - reach)]
+        for digit in total[: int(k + 1).bit_length()]:
+            up = digit & carry
+            digit ^= carry
+            carry = up
+    # count >= needed, from the highest digit down.
+    more, same = np.zeros_like(total[0]), np.full_like(total[0], np.iinfo(np.uint64).max)
+    for i in range(len(total) - 1, -1, -1):
+        if needed >> i & 1:
+            same &= total[i]
         else:
-            i, j = np.nonzero(passed)
-            for s in range(0, len(i), 100_000):
-                e = slice(s, s + 100_000)
-                passed[i[e], j[e]] = np.einsum("ij,ij->i", x[part][i[e]], y[j[e]]) >= threshold
-        yield at, passed
+            more |= same & total[i]
+            same &= ~total[i]
+    return more | same
+
+
+def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, reach: float, needed: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of x, rows of y) that collide often enough and have a cosine of ``threshold`` or more, in blocks of rows of x; x and y are unit vectors, px and py their projections."""
+    for at in range(0, len(x), ROWS):
+        bits = collided(px[at : at + ROWS], py, reach, needed)
+        i, j = np.nonzero(np.unpackbits(bits.view(np.uint8), axis=1, count=len(y), bitorder="little"))
+        for s in range(0, len(i), PAIRS):
+            a, b = i[s : s + PAIRS] + at, j[s : s + PAIRS]
+            near = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
+            yield a[near], b[near]
 
 
 def _tiles(threshold: float, projections: int, width: float, recall: float, seed: int):
@@ -75,15 +94,14 @@ def _tiles(threshold: float, projections: int, width: float, recall: float, seed
         name = np.concatenate([vx, vy])
         parent = np.arange(len(vx) + (0 if side1 is None else len(vy)))
         shift = 0 if side1 is None else len(vx)
-        for at, hit in linked(x, y, px, py, reach, needed, threshold):
+        for i, j in linked(x, y, px, py, reach, needed, threshold):
             if side1 is None:
-                hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
-            nx[at : at + len(hit)] += hit @ my
+                i, j = i[i != j], j[i != j]
+            nx += np.bincount(i, weights=my[j], minlength=len(vx)).astype(np.int64)
             if side1 is not None:
-                ny += mx[at : at + len(hit)] @ hit
-            i, j = np.nonzero(hit)
+                ny += np.bincount(j, weights=mx[i], minlength=len(vy)).astype(np.int64)
             if len(i):
-                v, root = forest(np.concatenate([at + i, np.arange(len(parent))]), np.concatenate([shift + j, parent]))
+                v, root = forest(np.concatenate([i, np.arange(len(parent))]), np.concatenate([shift + j, parent]))
                 parent[v] = root
         n = nx if side1 is None else np.concatenate([nx, ny])
         some = np.flatnonzero(n)
@@ -107,18 +125,19 @@ def _tiles(threshold: float, projections: int, width: float, recall: float, seed
     return run
 
 
-def near_vectors(df: DataFrame, threshold: float = THRESHOLD, projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL, seed: int = SEED, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = THRESHOLD, projections: int = PROJECTIONS, width: float = WIDTH, recall: float = RECALL, seed: int = SEED, key: str = "vec_id", vector: str = "embedding", label: str = "label", chunk: int = CHUNK) -> DataFrame:
     """key, n_links, component_id, kept for each row; rows link when labels are equal and cosine >= threshold.
 
     Equal vectors of a label form one class with a count first, so copies cost no pairs. The classes of a label are dealt
-    into chunks of about CHUNK; each two chunks meet in one task, which sorts both by ``projections`` random directions,
+    into chunks of about ``chunk``; each two chunks meet in one task, which sorts both by ``projections`` random directions,
     counts for each vector the windows around its projections that hold another, and verifies the pairs with enough
     collisions by cosine in double precision. ``recall`` is the least chance to find a pair at the threshold; nearer pairs
     have a higher one. Only link counts and a spanning forest leave a task, never pairs.
 
     n_links counts the other rows linked directly, copies included. A vector that is null or zero, that has null or
     non-finite components, or whose label is null links with nothing; nor do vectors of different lengths. Null keys are
-    passed over for component_id where others exist. kept is key = component_id (true for two nulls).
+    passed over for component_id where others exist. kept is key = component_id (true for two nulls). Rows that share a key
+    are vectors like others. An empty table gives an empty result; other columns are ignored, whatever their names.
     """
     numbers = F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0))
     rows = df.select(F.col(key).alias("k"), F.col(label).alias("l"), numbers.alias("x"))
@@ -128,7 +147,7 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, projections: int =
     by = ["l", "h", "g"]
     classes = rows.where("h is not null").groupBy(*by).agg(F.min("k").alias("low"), F.count("*").alias("many"), F.first("x").alias("x"))
     classes = settle(classes.withColumns({"vid": F.monotonically_increasing_id(), "size": F.size("x")}), "classes")
-    cuts = classes.groupBy(F.col("l").alias("cl"), F.col("size").alias("cs")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("cuts"))
+    cuts = classes.groupBy(F.col("l").alias("cl"), F.col("size").alias("cs")).agg(F.ceil(F.count("*") / chunk).cast("int").alias("cuts"))
     tiles = classes.join(cuts, (F.col("l") == F.col("cl")) & (F.col("size") == F.col("cs"))).withColumn("c", F.pmod(F.xxhash64("vid"), F.col("cuts")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     tiles = tiles.select("l", "size", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), F.when(F.col("c") <= F.col("other"), 0).otherwise(1).alias("side"), "vid", "many", "x")
