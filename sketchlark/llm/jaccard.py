@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sketchlark.llm.graph import components, contract
 from sketchlark.llm.kernel import LOWER, Chunk, chunks, grams, mix64
-from sketchlark.llm.names import neutral
-from sketchlark.llm.scratch import settle
+from sketchlark.plans.names import neutral
+from sketchlark.plans.scratch import settle
 
 WORDS, PERCENT = 3, 90
 #: Sets that one trie holds; larger candidate blocks are cut into such chunks and joined chunk by chunk.
@@ -144,31 +144,63 @@ def hashed_sets(docs: DataFrame, n: int, percent: int, key: str, text: str, comm
     return rows.mapInArrow(make, f"k {kind}, text_hash long, n_shingles long, set_a long, set_b long, sigs array<long>")
 
 
+def _neighbours(percent: int, sig: np.ndarray, size: np.ndarray, vid: np.ndarray) -> np.ndarray:
+    """Which rows, in the order of (sig, size, vid), are linked with the row before: same sig, other set, sizes that allow it.
+
+    All sizes between two that allow a link do so too, so linked sets stay connected.
+    """
+    return (sig[1:] == sig[:-1]) & (vid[1:] != vid[:-1]) & (100 * size[:-1] >= percent * size[1:])
+
+
 def _chained(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(sig, size, vid) rows in this order -> links between neighbours of a sig whose sizes allow a link.
-
-        All sizes between two that allow a link do so too, so linked sets stay connected. Links are joined up per task.
-        """
+        """Ordered (sig, size, vid) rows of a range -> links (v, p) of neighbours, joined up per task, with null sig; and
+        the range's first and last row."""
+        ends: list[tuple] = []
 
         def links() -> Iterator[pa.RecordBatch]:
             last = None
             for batch in batches:
                 cols = [batch.column(i).to_numpy() for i in range(3)]
-                if last is not None:
+                if not len(cols[0]):
+                    continue
+                ends[1:] = [tuple(int(c[-1]) for c in cols)]
+                if last is None:
+                    ends.insert(0, tuple(int(c[0]) for c in cols))
+                else:
                     cols = [np.concatenate([a, b]) for a, b in zip(last, cols)]
-                sig, size, vid = cols
-                if len(sig):
-                    last = [c[-1:] for c in cols]
-                    same = (sig[1:] == sig[:-1]) & (vid[1:] != vid[:-1]) & (100 * size[:-1] >= percent * size[1:])
-                    pair = np.unique(np.stack([vid[1:][same], vid[:-1][same]], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["v", "p"])
-
-        return contract(links())
+                last = [c[-1:] for c in cols]
+                same = _neighbours(percent, *cols)
+                pair = np.unique(np.stack([cols[2][1:][same], cols[2][:-1][same]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["v", "p"])
+
+        for out in contract(links()):
+            none = pa.nulls(out.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*out.columns, none, none], ["v", "p", "sig", "size"])
+        if ends:
+            sig, size, vid = zip(*ends)
+            yield pa.RecordBatch.from_arrays([pa.array(vid), pa.nulls(len(ends), pa.int64()), pa.array(sig), pa.array(size)], ["v", "p", "sig", "size"])
 
     return run
 
 
+def candidate_links(sig: DataFrame, percent: int) -> DataFrame:
+    """(v, p): links that connect all sets with a signature in common whose sizes allow a link; ``sig`` is (sig, size, vid).
+
+    Rows are dealt by ranges of (sig, size, vid), so that a signature of any number of sets spans as many tasks as it
+    needs. Two rows a range, its ends, come to the driver to join up neighbours in different ranges.
+    """
+    ranged = sig.repartitionByRange("sig", "size", "vid").sortWithinPartitions("sig", "size", "vid")
+    found = settle(ranged.mapInArrow(_chained(percent), "v long, p long, sig long, size long"), "chains")
+    ends = sorted((r["sig"], r["size"], r["v"]) for r in found.where("sig is not null").collect())
+    across = []
+    if ends:
+        cols = [np.array(c, np.int64) for c in zip(*ends)]
+        same = _neighbours(percent, *cols)
+        across = list(zip(cols[2][1:][same].tolist(), cols[2][:-1][same].tolist()))
+    return found.where("sig is null").select("v", "p").union(sig.sparkSession.createDataFrame(across, "v long, p long"))
+
+
 class _Node:
     __slots__ = ("ends", "high", "kids", "longest", "low", "segment", "shortest", "top")
 
@@ -251,21 +283,22 @@ def trie_links(stored: list[tuple[int, np.ndarray]], asked: list[tuple[int, np.n
 
 def _joined(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (tile, side, vid, set) sorted by tile -> links."""
+        """Rows (the five parts of a tile, side, vid, set) sorted by tile -> links."""
         tile, sides, links = None, {}, []
 
         def finish() -> None:
             if tile is not None:
                 stored, asked = list(sides.get(0, {}).items()), list(sides.get(1, {}).items())
-                if stored and (asked or tile[1] == tile[2]):
-                    links.extend(trie_links(stored, asked if tile[1] != tile[2] else None, percent))
+                alone = tile[1:3] == tile[3:5]
+                if stored and (asked or alone):
+                    links.extend(trie_links(stored, None if alone else asked, percent))
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for root, lo, hi, side, vid, raw in zip(*cols, batch.column(5)):
-                if (root, lo, hi) != tile:
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for *at, side, vid, raw in zip(*cols, batch.column(7)):
+                if at != tile:
                     finish()
-                    tile, sides = (root, lo, hi), {}
+                    tile, sides = at, {}
                 sides.setdefault(side, {})[vid] = np.frombuffer(raw.as_buffer(), np.uint64)
         finish()
         if links:
@@ -275,7 +308,31 @@ def _joined(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tiled(members: DataFrame, percent: int, trie: int = TRIE) -> DataFrame:
+    """(vid, root, cell, c, tiles) of members (vid, root, size, many): the tiles (x, lo, y, hi, side) in which a set meets others.
+
+    A block of at most ``trie`` sets is one tile. A larger one (many) is parted into cells by the logarithm of the sets'
+    sizes, of which linked sets share one or have neighbouring ones, and each cell into chunks of about ``trie`` sets;
+    each two chunks of a cell meet in a tile, and each chunk meets those of the next cell.
+    """
+    step = np.log(100 / percent) * (1 + 1e-9) if percent < 100 else None
+    cell = F.floor(F.log(F.col("size")) / step) if step else F.col("size")
+    members = members.withColumn("cell", F.when(F.col("many") > trie, cell).otherwise(0).cast("int"))
+    cells = members.groupBy("root", "cell").agg(F.ceil(F.count("*") / trie).cast("int").alias("cuts"))
+    order = Window.partitionBy("root").orderBy("cell")
+    near = lambda f, d: F.when(f("cell").over(order) == F.col("cell") + d, f("cuts").over(order)).otherwise(0)
+    cells = cells.select(F.col("root").alias("r"), F.col("cell").alias("x"), "cuts", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
+    rows = members.join(cells, (F.col("root") == F.col("r")) & (F.col("cell") == F.col("x"))).withColumn("c", F.pmod(F.xxhash64("vid"), F.col("cuts")).cast("int"))
+    to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    tile = lambda x, lo, y, hi, side: F.struct(x.alias("x"), lo.alias("lo"), y.alias("y"), hi.alias("hi"), side.alias("side"))
+    x, c, one, two = F.col("cell"), F.col("c"), F.lit(0), F.lit(1)
+    own = F.transform(to("cuts"), lambda o: tile(x, F.least(c, o), x, F.greatest(c, o), F.when(c <= o, one).otherwise(two)))
+    up = F.transform(to("above"), lambda o: tile(x, c, x + 1, o, one))
+    down = F.transform(to("below"), lambda o: tile(x - 1, o, x, c, two))
+    return rows.select("vid", "root", F.concat(own, up, down).alias("tiles"))
+
+
+def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: str = "doc_id", text: str = "text", trie: int = TRIE) -> DataFrame:
     """key, text_hash, n_shingles, component_id, component_set for each row: groups by Jaccard links of word n-gram sets.
 
     Words are runs of bytes other than space and x09-x0D, A-Z lower-cased; a text of fewer than n words has its whole
@@ -286,22 +343,22 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
     keys are null or repeated; component_set names the component by one of its sets, and is null for rows without a set.
 
     Classes with a common signature (see ``signatures``: every link has one) form candidate blocks; only blocks of two
-    or more fetch their sets. Classes are named by 64-bit hashes, whose chance to clash among 10^9 is about 1 in 40. A block of more than TRIE classes is cut into chunks, and each two chunks meet in one task.
-    Each task stores one chunk in a prefix tree in the global order and looks the other up in it.
+    or more fetch their sets. Classes are named by 64-bit hashes, whose chance to clash among 10^9 is about 1 in 40. A
+    block of more than ``trie`` classes is cut into chunks by size (see ``tiled``). Each task stores one chunk in a prefix
+    tree in the global order and looks the other up in it. An empty table gives an empty result.
     """
     base = settle(hashed_sets(docs, n, percent, key, text, common_members(docs, n, text)), "sets")
     sig = base.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), F.col("n_shingles").alias("size"), F.col("set_a").alias("vid"))
-    chains = sig.repartition("sig").sortWithinPartitions("sig", "size", "vid").mapInArrow(_chained(percent), "v long, p long")
-    blocks = settle(components(chains), "blocks")
+    blocks = settle(components(candidate_links(sig, percent)), "blocks")
 
-    sets = base.where("n_shingles > 0").groupBy(F.col("set_a").alias("vid"), "set_b").agg(F.min("k").alias("low"), F.min(F.struct("k", "text_hash")).alias("rep"))
+    sets = base.where("n_shingles > 0").groupBy(F.col("set_a").alias("vid"), "set_b").agg(F.min("k").alias("low"), F.min(F.struct("k", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"))
     classes = settle(sets, "classes")
-    counts = blocks.groupBy("root").agg(F.count("*").alias("members")).withColumn("cuts", F.ceil(F.col("members") / TRIE).cast("int")).select(F.col("root").alias("r"), "cuts")
-    members = blocks.join(counts, F.col("root") == F.col("r")).select("v", "root", "cuts")
-    wanted = members.join(classes.select("vid", "rep"), F.col("v") == F.col("vid")).select("vid", "root", "cuts", F.col("rep.k").alias("_k"), F.col("rep.text_hash").alias("_h"))
+    counts = blocks.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("many"))
+    members = blocks.join(counts, F.col("root") == F.col("r")).join(classes, F.col("v") == F.col("vid")).select("vid", "root", "size", "many")
+    wanted = tiled(members, percent, trie).join(classes.select(F.col("vid").alias("w"), "rep"), F.col("vid") == F.col("w")).select("vid", "root", "tiles", F.col("rep.k").alias("_k"), F.col("rep.text_hash").alias("_h"))
     texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("t"))
     found = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")))
-    found = found.groupBy("vid").agg(F.first("root").alias("root"), F.first("cuts").alias("cuts"), F.first("t").alias("t"))
+    found = found.groupBy("vid").agg(F.first("root").alias("root"), F.first("tiles").alias("tiles"), F.first("t").alias("t"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,13 +366,12 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
             for _, c in chunks(batch.column(3), LOWER):
                 g, first = sets_of(c, n)
                 raw += [g[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], ["vid", "root", "cuts", "raw"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], ["vid", "root", "tiles", "raw"])
 
-    found = found.select("vid", "root", "cuts", "t").mapInArrow(fetch, "vid long, root long, cuts int, raw binary")
-    chunk = F.pmod(F.xxhash64("vid"), F.col("cuts")).cast("int")
-    tiles = found.withColumn("c", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    tiles = tiles.select("root", F.least("c", "other").alias("lo"), F.greatest("c", "other").alias("hi"), F.when(F.col("c") <= F.col("other"), 0).otherwise(1).alias("side"), "vid", "raw")
-    tiles = tiles.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    kind = "array<struct<x:int,lo:int,y:int,hi:int,side:int>>"
+    found = found.select("vid", "root", F.col("tiles").cast(kind).alias("tiles"), "t").mapInArrow(fetch, f"vid long, root long, tiles {kind}, raw binary")
+    tiles = found.select("root", F.explode("tiles").alias("z"), "vid", "raw").select("root", "z.x", "z.lo", "z.y", "z.hi", "z.side", "vid", "raw")
+    tiles = tiles.repartition("root", "x", "lo", "y", "hi").sortWithinPartitions("root", "x", "lo", "y", "hi")
     comps = settle(components(tiles.mapInArrow(_joined(percent), "a long, b long")), "groups")
 
     of = classes.select("vid", F.col("vid").alias("set_a"), "set_b", "low").join(comps, F.col("vid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "vid"))
