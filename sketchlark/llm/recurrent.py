@@ -36,37 +36,82 @@ def gru_weights(rng: np.random.Generator, n_in: int, hidden: int, name: str) ->
 
 
 def gru_forward(w: dict, name: str, symbols: np.ndarray, keep: bool = False):
-    """States (time, batch, hidden) for symbols (time, batch); with keep also what the backward pass needs."""
+    """States (time, batch, hidden) for symbols (time, batch); with keep also what the backward pass needs.
+
+    A symbol without a row in the table stands for nothing: the state is zero after it, as it is before the first one.
+    """
     table, rec = w[f"{name}x"], w[f"{name}h"]
     n = rec.shape[0]
     h = np.zeros((symbols.shape[1], n), np.float32)
     states, saved = np.empty((len(symbols), symbols.shape[1], n), np.float32), []
-    for t, s in enumerate(symbols):
+    live = (symbols < len(table)).astype(np.float32)[:, :, None]
+    for t, s in enumerate(np.minimum(symbols, len(table) - 1)):
         x, u = table[s], h @ rec
         zr = sigmoid(x[:, : 2 * n] + u[:, : 2 * n])
         z, r = zr[:, :n], zr[:, n:]
         new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
         if keep:
-            saved.append((h, z, r, new, u[:, 2 * n :]))
-        h = new + z * (h - new)
+            saved.append((h, z, r, new, u[:, 2 * n :], live[t]))
+        h = (new + z * (h - new)) * live[t]
         states[t] = h
     return (states, saved) if keep else states
 
 
+def gru_project(w: dict, name: str, symbols: np.ndarray, v: np.ndarray, skip: int) -> np.ndarray:
+    """(time, outputs, batch): ``gru_forward``'s states times ``v`` for the symbols after the first ``skip``; states aren't kept."""
+    table, rec = w[f"{name}x"], w[f"{name}h"]
+    n, batch = rec.shape[0], symbols.shape[1]
+    # Gates and new state apart, so that every array is contiguous; sigmoid(a) = (tanh(a / 2) + 1) / 2.
+    gate_table, new_table = np.ascontiguousarray(table[:, : 2 * n]) * np.float32(0.5), np.ascontiguousarray(table[:, 2 * n :])
+    gate_rec, new_rec = np.ascontiguousarray(rec[:, : 2 * n]) * np.float32(0.5), np.ascontiguousarray(rec[:, 2 * n :])
+    h = np.zeros((batch, n), np.float32)
+    gate, new, x, u = np.empty((batch, 2 * n), np.float32), np.empty((batch, n), np.float32), np.empty((batch, 2 * n), np.float32), np.empty((batch, n), np.float32)
+    out = np.empty((len(symbols) - skip, v.shape[1], batch), np.float32)
+    across = np.ascontiguousarray(v.T)
+    ended = (symbols >= len(table)).any(axis=1)
+    for t, s in enumerate(symbols):
+        np.take(gate_table, s, axis=0, out=x, mode="clip")
+        np.matmul(h, gate_rec, out=gate)
+        gate += x
+        np.tanh(gate, out=gate)
+        gate *= np.float32(0.5)
+        gate += np.float32(0.5)
+        np.matmul(h, new_rec, out=u)
+        u *= gate[:, n:]
+        np.take(new_table, s, axis=0, out=new, mode="clip")
+        new += u
+        np.tanh(new, out=new)
+        h -= new
+        h *= gate[:, :n]
+        h += new
+        if ended[t]:
+            h[s >= len(table)] = 0
+        if t >= skip:
+            np.matmul(across, h.T, out=out[t - skip])
+    return out
+
+
 def gru_backward(w: dict, name: str, symbols: np.ndarray, saved: list, d_states: np.ndarray) -> dict[str, np.ndarray]:
     table, rec = w[f"{name}x"], w[f"{name}h"]
     n = rec.shape[0]
-    g_table, g_rec, dh = np.zeros_like(table), np.zeros_like(rec), np.zeros_like(d_states[0])
+    g_rec, dh = np.zeros_like(rec), np.zeros_like(d_states[0])
+    d_in = np.empty((*symbols.shape, 3 * n), np.float32)
     for t in range(len(symbols) - 1, -1, -1):
-        h, z, r, new, un = saved[t]
-        dh = dh + d_states[t]
+        h, z, r, new, un, live = saved[t]
+        dh = (dh + d_states[t]) * live
         d_new = dh * (1 - z) * (1 - new * new)
         d_z = dh * (h - new) * z * (1 - z)
         d_r = d_new * un * r * (1 - r)
-        np.add.at(g_table, symbols[t], np.concatenate([d_z, d_r, d_new], 1))
+        d_in[t, :, :n], d_in[t, :, n : 2 * n], d_in[t, :, 2 * n :] = d_z, d_r, d_new
         d_u = np.concatenate([d_z, d_r, d_new * r], 1)
         g_rec += h.T @ d_u
         dh = dh * z + d_u @ rec.T
+    # A row of the table gathers what all its symbols' places give.
+    flat = np.minimum(symbols, len(table) - 1).ravel()
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    g_table = np.zeros_like(table)
+    g_table[flat[order][first]] = np.add.reduceat(d_in.reshape(-1, 3 * n)[order], first, axis=0)
     return {f"{name}x": g_table, f"{name}h": g_rec}
 
 
