@@ -12,15 +12,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchlark.plans.names import neutral, with_fields
 from sketchlark.llm.recurrent import Adam, lstm_backward, lstm_forward, lstm_weights, sigmoid
 
-#: Pages to learn from (expected number, chosen by hash), steps of BATCH pages, blocks of a page that one step learns from.
-SAMPLE, STEPS, BATCH, BLOCKS, HIDDEN, SEED = 600, 160, 16, 96, 16, 3
-PATH_DIMS, WORD_DIMS, OTHER_DIMS = 64, 64, 4
+#: Pages to learn from (expected number, chosen by hash), training steps, blocks of pages of about one length that a step takes.
+SAMPLE, STEPS, BATCH, HIDDEN, SEED = 600, 200, 1200, 16, 3
+PATH_DIMS, WORD_DIMS, OTHER_DIMS = 64, 64, 8
 #: A worker labels so many blocks of pages of about one length at once.
 TOGETHER = 40_000
+#: A worker reads so many pages at once.
+ROWS = 256
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+# Quantifiers that don't backtrack, and an end of page for whatever isn't closed, so that a page is read in one pass.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _RAW = {x: re.compile(rf"</{x}\b[^>]*>", re.I) for x in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "xmp")}
@@ -41,13 +45,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, in_link, path = 0, 0, ()
+    linked, in_link, path = 0, 0, None
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, path
         if parts:
             text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
+                if path is None:
+                    path = tuple(x for _, names in stack for x in names)
                 out.append((path, text, linked))
             parts.clear()
         linked = 0
@@ -55,7 +61,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     def cut(i: int) -> None:
         nonlocal path
         del stack[i:]
-        path = tuple(x for _, names in stack for x in names)
+        path = None
 
     at, n = 0, len(page)
     while at < n:
@@ -100,7 +106,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     break
         names = [x for a, b, c in _NAMES.findall(m[3]) for x in (a or b or c).lower().split()] if "=" in m[3] else []
         stack.append((tag, (tag, *(f"{tag}.{x}" for x in names))))
-        path = tuple(x for _, own in stack for x in own)
+        path = None
     flush()
     return out
 
@@ -108,6 +114,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 #: Names of page parts that aren't the article, for the labels that the network learns from.
 _OTHER = re.compile(r"^(nav|header|footer|aside|form|menu|head|title|button|select|dialog)$|\.(.*[-_])?(ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|menu|nav\w*|newsletter|notice|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe|widget)([-_].*)?$")
 _MAIN = re.compile(r"^(article|main)$|\.(.*[-_])?(article|content|entry|main|post|story|text)([-_].*)?$")
+#: Tags that tell a part of a page by their name; without names they are plain boxes.
+_TELLING = frozenset("article main nav header footer aside section form menu head title dialog".split())
+Found = list[tuple[tuple[str, ...], str, int]]
 
 
 def weak_label(path: tuple[str, ...]) -> bool:
@@ -115,15 +124,43 @@ def weak_label(path: tuple[str, ...]) -> bool:
     return any(map(_MAIN.search, path)) and not any(map(_OTHER.search, path))
 
 
-def weak_labels(found: list[tuple[tuple[str, ...], str, int]]) -> list[bool]:
-    """``weak_label`` of each block; on a page where no block has such names, whether it reads like running text.
+def weak_labels(found: Found) -> list[bool] | None:
+    """``weak_label`` of each block; None for a page where no block has such names."""
+    out = [weak_label(path) for path, _, _ in found]
+    return out if any(out) else None
+
 
-    That is: 80 characters or more, less than a third of them in links, an end mark, and no name of another page part.
+def sign_labels(found: Found) -> list[bool]:
+    """Whether each block lies in the box that reads like running text.
+
+    A sentence block has 60 characters or more, less than a third of them in links, an end mark, and no name of another
+    page part around it. The box is the innermost one that holds two thirds of the page's sentence blocks' characters;
+    blocks in it that are mostly links, or are named as another part, don't belong.
     """
-    out = [weak_label(path) for path, _, _ in found]
-    if any(out):
-        return out
-    return [len(t) >= 80 and 3 * linked < len(t) and t[-1] in ".!?…" and not any(map(_OTHER.search, path)) for path, t, linked in found]
+    other = [any(map(_OTHER.search, path)) for path, _, _ in found]
+    mass = [len(t) if len(t) >= 60 and 3 * linked < len(t) and t[-1] in END and not o else 0 for (_, t, linked), o in zip(found, other)]
+    if not sum(mass):
+        return [False] * len(found)
+    box: tuple[str, ...] = ()
+    while True:
+        held: dict[tuple[str, ...], int] = {}
+        for (path, _, _), n in zip(found, mass):
+            if len(path) > len(box) and path[: len(box)] == box:
+                inner = path[: len(box) + 1]
+                held[inner] = held.get(inner, 0) + n
+        best = max(held, key=held.__getitem__, default=None)
+        if best is None or 3 * held[best] < 2 * sum(mass) or best[-1] == "p":
+            break
+        box = best
+    return [path[: len(box)] == box and not o and 2 * linked < len(t) for (path, t, linked), o in zip(found, other)]
+
+
+def stripped(found: Found) -> Found:
+    """The blocks as of a page without telling names: no classes, ids and roles, and plain boxes for telling tags."""
+    return [(tuple("div" if p in _TELLING else p for p in path if "." not in p), t, linked) for path, t, linked in found]
+
+
+END = ".!?…\u3002\uff01\uff1f\u061f\u0964\"\u201d\u00bb"
 
 
 class _Hashes(dict):
@@ -144,9 +181,12 @@ _paths, _words = _Hashes(PATH_DIMS), _Hashes(WORD_DIMS)
 _vectors: dict[tuple[str, ...], np.ndarray] = {}
 
 
-def features(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """One vector per block: hashed tag path, hashed words (relative counts), length, words, link and end-mark signs."""
+def features(found: Found) -> np.ndarray:
+    """One vector per block: hashed tag path, hashed words (relative counts), length, words, link and end-mark signs, the
+    depth of its path, and how much of it is shared with the blocks before and after.
+    """
     x = np.zeros((len(found), PATH_DIMS + WORD_DIMS + OTHER_DIMS), np.float32)
+    last: tuple[str, ...] = ()
     for i, (path, text, linked) in enumerate(found):
         v = _vectors.get(path)
         if v is None:
@@ -158,7 +198,16 @@ def features(found: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
         x[i, :PATH_DIMS] = v
         words = text.split()
         x[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(list(map(_words.__getitem__, words)), minlength=WORD_DIMS) * (4 / len(words))
-        x[i, -4:] = np.log1p(len(text)) / 5, np.log1p(len(words)) / 5, min(1.0, linked / len(text)), text[-1] in ".!?…"
+        same = 0
+        for a, b in zip(path, last):
+            if a != b:
+                break
+            same += 1
+        own = same / max(len(path), len(last), 1)
+        x[i, -8:] = np.log1p(len(text)) / 5, np.log1p(len(words)) / 5, min(1.0, linked / len(text)), text[-1] in END, min(len(path), 20) / 10, own, 0, i == 0
+        if i:
+            x[i - 1, -2] = own
+        last = path
     return x
 
 
@@ -173,10 +222,15 @@ class BlockLabeller:
         w = lstm_weights(rng, dims, hidden, "f") | lstm_weights(rng, dims, hidden, "b")
         w |= {"v": (rng.standard_normal((2 * hidden, 1)) * 0.3).astype(np.float32), "c": np.zeros(1, np.float32)}
         made, adam = cls(w), Adam(w)
-        usable = [i for i, p in enumerate(pages) if len(p)]
-        for step in range(steps if usable else 0):
-            some = [usable[i] for i in rng.integers(0, len(usable), BATCH)]
-            x, y, live = made._batch([pages[i] for i in some], [labels[i] for i in some], rng)
+        # Whole pages of about one length make a batch: as many as hold BATCH blocks together, one at least.
+        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
+        size = np.array([len(pages[i]) for i in order], np.float64)
+        for step in range(steps if order else 0):
+            k = int(np.searchsorted(np.cumsum(size), rng.random() * size.sum()))
+            n = max(1, min(BATCH // int(size[k]), len(order)))
+            low = max(0, min(k - n // 2, len(order) - 2 * n))
+            some = [order[i] for i in (rng.choice(np.arange(low, min(low + 2 * n, len(order))), n, replace=False) if n > 1 else [k])]
+            x, y, live = made._batch([pages[i] for i in some], [labels[i] for i in some])
             hf, sf = lstm_forward(w, "f", x, live, True)
             hb, sb = lstm_forward(w, "b", x[::-1], live[::-1], True)
             both = np.concatenate([hf, hb[::-1]], 2)
@@ -190,18 +244,14 @@ class BlockLabeller:
         return made
 
     @staticmethod
-    def _batch(pages, labels=None, rng=None):
+    def _batch(pages, labels=None):
         longest = max(map(len, pages))
-        if rng is not None:
-            longest = min(longest, BLOCKS)
         x = np.zeros((longest, len(pages), PATH_DIMS + WORD_DIMS + OTHER_DIMS), np.float32)
         y, live = np.zeros((longest, len(pages)), np.float32), np.zeros((longest, len(pages)), np.float32)
         for k, p in enumerate(pages):
-            at = int(rng.integers(0, len(p) - longest + 1)) if rng is not None and len(p) > longest else 0
-            n = min(len(p), longest)
-            x[:n, k], live[:n, k] = p[at : at + n], 1
+            x[: len(p), k], live[: len(p), k] = p, 1
             if labels is not None:
-                y[:n, k] = labels[k][at : at + n]
+                y[: len(p), k] = labels[k]
         return x, y, live
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -221,43 +271,56 @@ class BlockLabeller:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE, html: str = "html", **more) -> BlockLabeller:
-    """A labeller from about ``sample`` pages, chosen by the hash of their html, labelled by ``weak_labels``."""
+    """A labeller from about ``sample`` pages, chosen by the hash of their html.
+
+    Pages with telling names are labelled by these, and each is learnt twice: as it is, and ``stripped`` of all names
+    with the same labels, so that pages without names are told by their structure, words and the blocks around. Pages
+    without telling names are learnt by ``sign_labels``, but only if fewer than a tenth of the sample has names.
+    """
     n = pages.count()
     share = (F.pmod(F.xxhash64(html), F.lit(1 << 30)) + 0.5) / (1 << 30)
     some = pages.where(F.col(html).isNotNull() & (share * max(n, 1) < sample)).select(html)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(t) for t in batch.column(0).to_pylist()]
-            x = [features(f).astype(np.float16).tobytes() for f in found]
-            y = [bytes(weak_labels(f)) for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["x", "y"])
-
-    rows = sorted((bytes(r["x"]), bytes(r["y"])) for r in some.mapInArrow(read, "x binary, y binary").collect())
-    xs = [np.frombuffer(x, np.float16).reshape(len(y), -1).astype(np.float32) for x, y in rows if y]
-    return BlockLabeller.train(xs, [np.frombuffer(y, np.uint8).astype(np.float32) for _, y in rows if y], **more)
+            rows: list[tuple[bool, bytes, bytes]] = []
+            for t in batch.column(0):
+                found = blocks(t.as_py())
+                own = weak_labels(found)
+                for f in (found, stripped(found)) if own else (found,):
+                    rows.append((own is not None, features(f).astype(np.float16).tobytes(), bytes(own if own else sign_labels(f))))
+            columns = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(columns, (pa.bool_(), pa.binary(), pa.binary()))], ["named", "x", "y"])
+
+    rows = sorted((r["named"], bytes(r["x"]), bytes(r["y"])) for r in some.mapInArrow(read, "named boolean, x binary, y binary").collect() if r["y"])
+    named = [r for r in rows if r[0]]
+    rows = named if 10 * len(named) >= 2 * len(rows) else rows
+    xs = [np.frombuffer(x, np.float16).reshape(len(y), -1).astype(np.float32) for _, x, y in rows]
+    return BlockLabeller.train(xs, [np.frombuffer(y, np.uint8).astype(np.float32) for _, _, y in rows], **more)
 
 
 def extract(pages: DataFrame, model: BlockLabeller, html: str = "html") -> DataFrame:
     """``pages`` without html, with text (main blocks joined by two newlines) and n_chars (its code points).
 
-    A null or empty page, or one without main blocks, has an empty text. Columns of these names are replaced.
+    A null or empty page, or one without main blocks, has an empty text. What a page leaves open (a tag, a comment, a
+    quote) ends with the page. Repeated rows are read like others, an empty table gives an empty result, and columns of
+    these names are replaced.
     """
-    rows = pages.select(*(c for c in pages.columns if c not in (html, "text", "n_chars")), F.col(html).alias("_html"))
-    names = rows.columns[:-1]
+    rows, (page,), back = neutral(pages, html, without=["text", "n_chars"])
+    rows = rows.select(*(c for c in rows.columns if c != page), page)
+    kept = rows.drop(page)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts: list[str] = []
-            column = batch.column(len(names))
-            for at in range(0, len(column), 512):
-                found = [blocks(t or "") for t in column.slice(at, 512).to_pylist()]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                found = [blocks(t.as_py() or "") for t in part.column(part.num_columns - 1)]
                 main = model.label([features(f) for f in found])
-                texts += ["\n\n".join(t for (_, t, _), m in zip(f, mask) if m) for f, mask in zip(found, main)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
+                texts = ["\n\n".join(t for (_, t, _), m in zip(f, mask) if m) for f, mask in zip(found, main)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*part.schema.names[:-1], "text", "n_chars"])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_html")
-    return rows.mapInArrow(read, f"{fields}, text string, n_chars long")
+    out = rows.mapInArrow(read, with_fields(kept, "text string, n_chars long"))
+    return back(out, "text", "n_chars", less=page)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
