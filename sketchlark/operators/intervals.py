@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions of a chrom that one task may be dealt.
+BIN = 1 << 20
+
+
 def overlap_join(a: DataFrame, b: DataFrame, width: int, chrom: str = "chrom") -> DataFrame:
     """Pairs of intervals of one chrom that share a position; columns of b get the suffix ``_b``.
 
@@ -20,21 +24,46 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int, chrom: str = "chrom") -
     return a.join(b, on).drop("_bin", "_bin_b")
 
 
-def merge(df: DataFrame, chrom: str = "chrom") -> DataFrame:
-    """The union of each chrom's intervals; touching ones become one."""
-    order = Window.partitionBy(chrom).orderBy("st", "en")
-    reach = F.max("en").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("_new", F.when(reach.isNull() | (F.col("st") > reach), 1).otherwise(0))
-    marked = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(chrom, "_island").agg(F.min("st").alias("st"), F.max("en").alias("en")).drop("_island")
-
+def merge(df: DataFrame, chrom: str = "chrom", bin_size: int = BIN) -> DataFrame:
+    """The union of each chrom's intervals; touching ones become one.
 
-def depth(df: DataFrame, chrom: str = "chrom") -> DataFrame:
-    """(chrom, st, en, depth): stretches between interval ends and how many intervals cover each."""
+    Intervals are dealt by chrom and bin of their start, so that a chrom spans many tasks. A bin learns from the bins
+    before how far their intervals reach, and which of them began the island that goes on into it; only one row a bin is
+    ordered by chrom for that.
+    """
+    rows = df.select(chrom, "st", "en", F.floor(F.col("st") / bin_size).alias("_bin"))
+    order = Window.partitionBy(chrom, "_bin").orderBy("st", "en")
+    bins = Window.partitionBy(F.col("_c")).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+
+    def with_bins(left: DataFrame, summary: DataFrame, *carried: str) -> DataFrame:
+        return left.join(summary.select("_c", "_b", *carried), F.col(chrom).eqNullSafe(F.col("_c")) & F.col("_bin").eqNullSafe(F.col("_b"))).drop("_c", "_b")
+
+    tops = rows.groupBy(F.col(chrom).alias("_c"), F.col("_bin").alias("_b")).agg(F.max("en").alias("_top")).withColumn("_carried", F.max("_top").over(bins))
+    reach = F.greatest(F.max("en").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carried"))
+    marked = with_bins(rows, tops, "_carried").withColumn("_new", F.when(reach.isNull() | (F.col("st") > reach), 1).otherwise(0))
+    marked = marked.withColumn("_no", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = marked.groupBy(chrom, "_bin", "_no").agg(F.min("st").alias("st"), F.max("en").alias("en"))
+    counts = pieces.groupBy(F.col(chrom).alias("_c"), F.col("_bin").alias("_b")).agg(F.max("_no").alias("_islands"))
+    owner = F.last(F.when(F.col("_islands") > 0, F.struct("_b", F.col("_islands").alias("_no"))), ignorenulls=True).over(bins)
+    owned = with_bins(pieces, counts.withColumn("_owner", owner), "_owner")
+    island = F.when(F.col("_no") > 0, F.struct(F.col("_bin").alias("_b"), "_no")).otherwise(F.col("_owner"))
+    return owned.groupBy(chrom, island.alias("_island")).agg(F.min("st").alias("st"), F.max("en").alias("en")).drop("_island")
+
+
+def depth(df: DataFrame, chrom: str = "chrom", bin_size: int = BIN) -> DataFrame:
+    """(chrom, st, en, depth): stretches between interval ends and how many intervals cover each.
+
+    Ends are dealt by chrom and bin; a bin's depth at its start is the sum of the bins before, and its last stretch ends
+    where the next bin's first one starts.
+    """
     ends = df.where("st < en").select(chrom, F.explode(F.array(F.struct(F.col("st").alias("at"), F.lit(1).alias("d")), F.struct(F.col("en").alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    steps = ends.groupBy(chrom, "e.at").agg(F.sum("e.d").alias("d"))
-    order = Window.partitionBy(chrom).orderBy("at")
-    out = steps.select(chrom, F.col("at").alias("st"), F.lead("at").over(order).alias("en"), F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    steps = ends.groupBy(chrom, "e.at").agg(F.sum("e.d").alias("d")).withColumn("_bin", F.floor(F.col("at") / bin_size))
+    bins = Window.partitionBy("_c").orderBy("_b")
+    summary = steps.groupBy(F.col(chrom).alias("_c"), F.col("_bin").alias("_b")).agg(F.sum("d").alias("_d"), F.min("at").alias("_first"))
+    summary = summary.select("_c", "_b", F.coalesce(F.sum("_d").over(bins.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.lead("_first").over(bins).alias("_next"))
+    order = Window.partitionBy(chrom, "_bin").orderBy("at")
+    rows = steps.join(summary, F.col(chrom).eqNullSafe(F.col("_c")) & (F.col("_bin") == F.col("_b")))
+    out = rows.select(chrom, F.col("at").alias("st"), F.coalesce(F.lead("at").over(order), F.col("_next")).alias("en"), (F.col("_before") + F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("depth"))
     return out.where("en is not null and depth > 0")
 
 
@@ -56,7 +85,8 @@ def sensitivity(found: DataFrame, wanted: DataFrame, width: int, chrom: str = "c
     a, b = merge(found, chrom), merge(wanted, chrom)
     both = overlap_join(a, b, width, chrom).agg(F.coalesce(F.sum(F.least("en", "en_b") - F.greatest("st", "st_b")), F.lit(0)).alias("shared"))
     size = lambda d, n: d.agg(F.coalesce(F.sum(F.col("en") - F.col("st")), F.lit(0)).alias(n))
-    out = both.crossJoin(size(a, "found")).crossJoin(size(b, "wanted"))
+    rows = both.select("shared", F.lit(0).alias("found"), F.lit(0).alias("wanted")).union(size(a, "found").select(F.lit(0), "found", F.lit(0))).union(size(b, "wanted").select(F.lit(0), F.lit(0), "wanted"))
+    out = rows.agg(*(F.sum(c).alias(c) for c in ("shared", "found", "wanted")))
     return out.withColumns({"sn": F.round(F.try_divide("shared", "wanted"), 6), "sp": F.round(F.try_divide("shared", "found"), 6)})
 
 

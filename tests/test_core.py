@@ -106,6 +106,27 @@ def test_intervals_against_brute_force(spark):
     assert intervals.covered_once(df).agg(F.sum("covered")).first()[0] == len(covered)
 
 
+def test_intervals_that_span_bins_against_brute_force(spark):
+    rng = np.random.default_rng(14)
+    rows = [(int(c) or None, int(s) - 40, int(s + w) - 40) for c, s, w in zip(rng.integers(0, 3, 90), rng.integers(0, 400, 90), rng.choice([0, 1, 3, 9, 70], 90))]
+    df = spark.createDataFrame(rows, "chrom int, st int, en int")
+    want, steps = [], []
+    for c in {r[0] for r in rows}:
+        low = high = None
+        for _, s, e in sorted(r for r in rows if r[0] == c):
+            if high is None or s > high:
+                want += [(c, low, high)] if high is not None else []
+                low, high = s, e
+            high = max(high, e)
+        want.append((c, low, high))
+        over = [sum(r[0] == c and r[1] <= x < r[2] for r in rows) for x in range(-40, 450)]
+        steps += [(c, x - 40, d) for x, d in enumerate(over) if d]
+    for size in (7, 50, 1 << 20):
+        assert sorted(map(str, (tuple(r) for r in intervals.merge(df, bin_size=size).collect()))) == sorted(map(str, want))
+        got = [(r.chrom, x, r.depth) for r in intervals.depth(df, bin_size=size).collect() for x in range(r.st, r.en)]
+        assert sorted(map(str, got)) == sorted(map(str, steps))
+
+
 def _distances(query, target, mode):
     rows = [[0 if mode == "HW" else j for j in range(len(target) + 1)]]
     for i, q in enumerate(query, 1):
