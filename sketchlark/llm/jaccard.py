@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sketchlark.llm.graph import components, contract
 from sketchlark.llm.kernel import LOWER, Chunk, chunks, grams, mix64
+from sketchlark.plans.hubs import lookup
 from sketchlark.plans.names import neutral
 from sketchlark.plans.scratch import settle
 
@@ -317,12 +318,12 @@ def tiled(members: DataFrame, percent: int, trie: int = TRIE) -> DataFrame:
     """
     step = np.log(100 / percent) * (1 + 1e-9) if percent < 100 else None
     cell = F.floor(F.log(F.col("size")) / step) if step else F.col("size")
-    members = members.withColumn("cell", F.when(F.col("many") > trie, cell).otherwise(0).cast("int"))
-    cells = members.groupBy("root", "cell").agg(F.ceil(F.count("*") / trie).cast("int").alias("cuts"))
+    members = members.withColumn("cell", F.when(F.col("many") > trie, cell).otherwise(0).cast("long"))
+    cells = members.groupBy("root", "cell").agg(F.count("*").alias("n")).withColumn("cuts", F.ceil(F.col("n") / trie).cast("int"))
     order = Window.partitionBy("root").orderBy("cell")
     near = lambda f, d: F.when(f("cell").over(order) == F.col("cell") + d, f("cuts").over(order)).otherwise(0)
-    cells = cells.select(F.col("root").alias("r"), F.col("cell").alias("x"), "cuts", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above"))
-    rows = members.join(cells, (F.col("root") == F.col("r")) & (F.col("cell") == F.col("x"))).withColumn("c", F.pmod(F.xxhash64("vid"), F.col("cuts")).cast("int"))
+    cells = settle(cells.select("root", "cell", "n", F.struct("cuts", near(F.lag, -1).alias("below"), near(F.lead, 1).alias("above")).alias("near")), "cells")
+    rows = lookup(members, cells, ["root", "cell"], "near", "n", [F.col("vid")]).select("vid", "root", F.col("cell").cast("int").alias("cell"), "near.*").withColumn("c", F.pmod(F.xxhash64("vid"), F.col("cuts")).cast("int"))
     to = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda x, lo, y, hi, side: F.struct(x.alias("x"), lo.alias("lo"), y.alias("y"), hi.alias("hi"), side.alias("side"))
     x, c, one, two = F.col("cell"), F.col("c"), F.lit(0), F.lit(1)
@@ -351,10 +352,10 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
     sig = base.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), F.col("n_shingles").alias("size"), F.col("set_a").alias("vid"))
     blocks = settle(components(candidate_links(sig, percent)), "blocks")
 
-    sets = base.where("n_shingles > 0").groupBy(F.col("set_a").alias("vid"), "set_b").agg(F.min("k").alias("low"), F.min(F.struct("k", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"))
+    sets = base.where("n_shingles > 0").groupBy(F.col("set_a").alias("vid"), "set_b").agg(F.min("k").alias("low"), F.min(F.struct("k", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"), F.count("*").alias("rows"))
     classes = settle(sets, "classes")
-    counts = blocks.groupBy(F.col("root").alias("r")).agg(F.count("*").alias("many"))
-    members = blocks.join(counts, F.col("root") == F.col("r")).join(classes, F.col("v") == F.col("vid")).select("vid", "root", "size", "many")
+    counts = settle(blocks.groupBy("root").agg(F.count("*").alias("many")), "counts")
+    members = lookup(blocks, counts, ["root"], "many", "many", [F.col("v")]).join(classes, F.col("v") == F.col("vid")).select("vid", "root", "size", "many")
     wanted = tiled(members, percent, trie).join(classes.select(F.col("vid").alias("w"), "rep"), F.col("vid") == F.col("w")).select("vid", "root", "tiles", F.col("rep.k").alias("_k"), F.col("rep.text_hash").alias("_h"))
     texts = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("t"))
     found = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")))
@@ -374,11 +375,16 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
     tiles = tiles.repartition("root", "x", "lo", "y", "hi").sortWithinPartitions("root", "x", "lo", "y", "hi")
     comps = settle(components(tiles.mapInArrow(_joined(percent), "a long, b long")), "groups")
 
-    of = classes.select("vid", F.col("vid").alias("set_a"), "set_b", "low").join(comps, F.col("vid") == F.col("v"), "left").withColumn("root", F.coalesce("root", "vid"))
-    lows = of.groupBy("root").agg(F.min("low").alias("component")).withColumnRenamed("root", "r")
-    of = of.join(lows, F.col("root") == F.col("r")).select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), "component", F.col("root").alias("component_set"))
-    out = base.join(of, (F.col("n_shingles") > 0) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")), "left")
-    return out.select(F.col("k").alias(key), "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("k")).alias("component_id"), "component_set")
+    # Rows of one set, and classes of one component, may be a large share of all: neither meets in one task.
+    of = classes.join(comps, F.col("vid") == F.col("v"), "left").select("vid", "set_b", "low", "rows", F.coalesce("root", "vid").alias("root"))
+    of = settle(of, "classes-in-groups")
+    lows = settle(of.groupBy("root").agg(F.min("low").alias("component"), F.count("*").alias("n")), "lows")
+    of = lookup(of, lows, ["root"], "component", "n", [F.col("vid")])
+    of = settle(of.select(F.col("vid").alias("set_a"), "set_b", "rows", F.struct("component", F.col("root").alias("component_set")).alias("group")), "groups-of-sets")
+    full = lookup(base.where("n_shingles > 0").drop("sigs"), of, ["set_a", "set_b"], "group", "rows", [F.col("k"), F.col("text_hash")])
+    full = full.select(F.col("k").alias(key), "text_hash", "n_shingles", F.col("group.component").alias("component_id"), F.col("group.component_set").alias("component_set"))
+    blank = base.where("n_shingles = 0").select(F.col("k").alias(key), "text_hash", "n_shingles", F.col("k").alias("component_id"), F.lit(None).cast("long").alias("component_set"))
+    return full.union(blank)
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
