@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchlark.llm.kernel import Chunk, chunks, mix64, range_sums
-from sketchlark.llm.names import neutral, with_fields
-from sketchlark.llm.scratch import settle
+from sketchlark.plans.hubs import lookup
+from sketchlark.plans.names import neutral, with_fields
+from sketchlark.plans.scratch import settle
 
 MIN_WORDS = 25
 _INDEX = 28
@@ -145,8 +146,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, key: str = "doc_i
     places = places.join(own, F.col("k").eqNullSafe(F.col("ko")) & (F.col("text_hash") == F.col("ho"))).select("k", "text_hash", "lines", "words", "z.at", "z.gram")
     kind = table.schema["k"].dataType.simpleString()
     runs = places.mapInArrow(_compared(min_words), f"k {kind}, text_hash long, at int, low int, high int, gram long, name long")
-    first = runs.groupBy(F.col("gram").alias("g"), F.col("name").alias("m")).agg(F.min(F.struct("k", "text_hash", "at")).alias("o"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = runs.join(first, (F.col("gram") == F.col("g")) & (F.col("name") == F.col("m"))).where(F.struct("k", "text_hash", "at") > F.col("o"))
+    first = runs.groupBy("gram", "name").agg(F.min(F.struct("k", "text_hash", "at")).alias("o"), F.count("*").alias("n")).where("n > 1")
+    first = settle(first, "first-places")
+    later = lookup(runs, first, ["gram", "name"], "o", "n", [F.col("k"), F.col("text_hash"), F.col("at")]).where(F.struct("k", "text_hash", "at") > F.col("o"))
     widest = later.groupBy("k", "text_hash", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return widest.groupBy("k", "text_hash").agg(F.collect_set(F.struct("low", "high")).alias("runs"))
 
