@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sketchlark.llm.names import neutral
-from sketchlark.llm.prefix import running_sums
-from sketchlark.llm.scratch import settle
+from sketchlark.plans.names import neutral
+from sketchlark.plans.running import running_sums
+from sketchlark.plans.scratch import settle
 
 WEIGHTS, TOTAL_SHARE, MAX_REPEAT, BLOCK, N_SHARDS, SEED = (5.0, 2.0, 1.0), 1.5, 2, 32, 4, 17
-#: The driver apportions blocks to sources; more sources than this are refused rather than cut.
-MAX_SOURCES = 200_000
+#: Totals by source and shard that the driver plans with; more of them are planned with as a table. Parts of a source's rows then.
+AT_DRIVER, SPREAD = 100_000, 32
+PLAN = T.StructType([T.StructField(n, k()) for n, k in {"of_source": T.StringType, "of_shard": T.IntegerType, "mix_source_size": T.LongType, "mix_target": T.DoubleType, "mix_blocks": T.LongType, "mix_quota": T.LongType}.items()])
 #: A worker cuts so many texts at once.
 ROWS = 256
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,16 +104,82 @@ def plan(totals: list[tuple[str | None, int, int]], block: int = BLOCK, share: f
     return out
 
 
-def plan_table(totals: DataFrame, block: int, share: float, weights: tuple, repeat: int, n_shards: int) -> DataFrame:
-    """``plan`` as a table of_source, of_shard, mix_source_size, mix_target, mix_blocks, mix_quota."""
-    rows = totals.limit(MAX_SOURCES * n_shards + 1).collect()
-    if len(rows) > MAX_SOURCES * n_shards:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    schema = T.StructType.fromDDL("of_source string, of_shard int, mix_source_size long, mix_target double, mix_blocks long, mix_quota long")
-    return F.broadcast(totals.sparkSession.createDataFrame(plan([tuple(r) for r in rows], block, share, weights, repeat), schema))
+def apportioned(sources: DataFrame, seats: int) -> DataFrame:
+    """``sources`` (votes, cap, rank, ...) with quota: ``sainte_lague`` over a table, ties to the lower rank.
+
+    The quotients that win a seat are those from some value on. That value is found by halving an interval, each step one
+    sum over the table; of quotients at the value itself the first by rank win what is left.
+    """
+    sources = sources.withColumn("cap", F.when(F.col("votes") > 0, F.col("cap")).otherwise(0))
+    held = lambda q: F.least(F.col("cap"), F.floor((F.col("votes") / F.lit(q) + 1) / 2)).cast("long")
+    facts = sources.agg(F.sum("cap").alias("room"), F.max("votes").alias("most"), F.min(F.when(F.col("cap") > 0, F.col("votes") / (2 * F.col("cap") + 1))).alias("least")).first()
+    seats = max(0, min(seats, facts["room"] or 0))
+    if not seats:
+        return sources.withColumn("quota", F.lit(0).cast("long"))
+    low, high = facts["least"], 2.0 * facts["most"]  # at low all room is taken, at high none
+    given_low, given_high = facts["room"], 0
+    while given_low != seats and (middle := (low + high) / 2) not in (low, high):
+        given = sources.agg(F.sum(held(middle)).alias("n")).first()["n"]
+        low, high, given_low, given_high = (middle, high, given, given_high) if given >= seats else (low, middle, given_low, given)
+    if given_low == seats:
+        return sources.withColumn("quota", held(low))
+    tied = running_sums(sources.withColumns({"quota": held(high), "open": held(low) - held(high)}), [F.col("rank")], {"before": "open"})
+    more = F.greatest(F.lit(0), F.least(F.col("open"), F.lit(seats - given_high) - F.col("before")))
+    return tied.withColumn("quota", F.col("quota") + more).drop("open", "before")
+
+
+def planned(totals: DataFrame, block: int, share: float, weights: tuple, repeat: int) -> DataFrame:
+    """``plan`` over a table of any number of sources: no source comes to the driver, only sums over all of them do."""
+    rows = totals.withColumn("blocks", F.ceil(F.col("words") / block))
+    parts = F.sort_array(F.collect_list(F.struct("shard", "blocks")))
+    sources = rows.groupBy("source").agg(F.sum("words").alias("size"), F.sum("blocks").alias("blocks"), parts.alias("parts"))
+    sources = running_sums(sources.withColumn("one", F.lit(1).cast("long")), [F.col("source").isNull(), F.col("source")], {"rank": "one"})
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("rank") % len(weights) + 1).cast("int"))
+    sources = settle(sources.withColumn("weight", weight), "sources")
+    open_, most = (F.col("size") > 0) & (F.col("weight") > 0), F.col("size") * float(repeat)
+    size = sources.agg(F.sum("size").alias("n")).first()["n"] or 0
+    # A source is capped if its weight's share at the present level is above its cap; each round raises the level.
+    level, capped = 0.0, -1
+    while True:
+        over = open_ & (most / F.col("weight") < level)
+        facts = sources.agg(F.count(F.when(over, 1)).alias("n"), F.sum(F.when(over, most).otherwise(0.0)).alias("fixed"), F.sum(F.when(open_ & ~over, F.col("weight")).otherwise(0.0)).alias("weight")).first()
+        if facts["n"] == capped or not facts["weight"]:
+            break
+        level, capped = (min(share * size, float(repeat * size)) - facts["fixed"]) / facts["weight"], facts["n"]
+    target = F.when(~open_, 0.0).when(most / F.col("weight") < level, most).otherwise(F.col("weight") * level)
+    sources = settle(sources.withColumn("target", target).withColumns({"votes": F.when(F.col("size") > 0, F.col("target") * F.col("blocks") / F.col("size")).otherwise(0.0), "cap": repeat * F.col("blocks")}), "targets")
+    votes = sources.agg(F.sum("votes").alias("n")).first()["n"] or 0.0
+    quotas = apportioned(sources, math.floor(votes + 0.5)).select("source", "size", "target", "parts", "quota")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                counts = [p["blocks"] for p in r["parts"]]
+                got = sainte_lague([float(n) for n in counts], r["quota"], [repeat * n for n in counts])
+                out += [(r["source"], p["shard"], r["size"], r["target"], p["blocks"], k) for p, k in zip(r["parts"], got)]
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], [f.name for f in PLAN.fields])
+
+    return quotas.mapInArrow(deal, PLAN)
+
+
+def with_plan(rows: DataFrame, of: str, block: int, share: float, weights: tuple, repeat: int, at_driver: int = AT_DRIVER) -> DataFrame:
+    """``rows`` (source column ``of``, shard, mix_size, hash) with the plan's columns of their source and shard.
+
+    Up to ``at_driver`` totals come to the driver and their plan is broadcast; beyond that the plan is a table, and each
+    source's rows meet it in SPREAD parts, so that a large source isn't one task's.
+    """
+    totals = settle(rows.groupBy(F.col(of).alias("source"), "shard").agg(F.sum("mix_size").alias("words")), "totals")
+    same = F.col(of).eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard"))
+    if totals.count() <= at_driver:
+        made = plan([tuple(r) for r in totals.select("source", "shard", "words").collect()], block, share, weights, repeat)
+        return rows.join(F.broadcast(totals.sparkSession.createDataFrame(made, PLAN)), same)
+    spread = settle(planned(totals, block, share, weights, repeat), "plan").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return rows.join(spread, same & (F.pmod(F.col("hash"), F.lit(SPREAD)) == F.col("salt"))).drop("salt")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int = SEED, share: float = TOTAL_SHARE, weights: tuple = WEIGHTS, repeat: int = MAX_REPEAT, key: str = "doc_id", text: str = "text", source: str = "source", keep_text: bool = True) -> DataFrame:
+def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int = SEED, share: float = TOTAL_SHARE, weights: tuple = WEIGHTS, repeat: int = MAX_REPEAT, key: str = "doc_id", text: str = "text", source: str = "source", keep_text: bool = True, at_driver: int = AT_DRIVER) -> DataFrame:
     """The rows and columns of ``docs`` with mix_size, mix_source_size, mix_target, mix_taken, and mix_start, mix_blocks, mix_quota, mix_offset.
 
     Each source's words, in a seeded order of its documents, are cut into blocks of ``block`` words within each of
@@ -134,8 +201,7 @@ def mix(docs: DataFrame, block: int = BLOCK, n_shards: int = N_SHARDS, seed: int
     if not keep_text:
         rows, size = settle(rows.withColumns(size).withColumn(body, F.lit(None).cast("string")), "words"), {}
     rows = running_sums(rows, [F.col("hash"), F.col(k)], {"mix_start": "mix_size"}, [of, "shard"], size)
-    quotas = plan_table(rows.groupBy(of, "shard").agg(F.sum("mix_size").alias("words")), block, share, weights, repeat, n_shards)
-    rows = rows.join(quotas, F.col(of).eqNullSafe(F.col("of_source")) & (F.col("shard") == F.col("of_shard")))
+    rows = with_plan(rows, of, block, share, weights, repeat, at_driver)
     b, wide = F.col("mix_blocks"), "decimal(38,0)"
     rows = rows.withColumn("mix_offset", F.when(b > 0, F.pmod(F.xxhash64(F.lit(seed), "of_source", "of_shard"), b)).otherwise(0))
     extra = F.when(b > 0, F.col("mix_quota") % b).otherwise(0)
