@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchlark.llm.kernel import CHUNK, Chunk, chunks, grams
-from sketchlark.llm.names import neutral, with_fields
+from sketchlark.plans.names import neutral, with_fields
 
 N_BUCKETS, GRAM, THRESHOLD, SMOOTHING = 1 << 16, 3, -0.1, 1.0
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -161,4 +161,4 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))

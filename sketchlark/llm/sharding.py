@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchlark.llm.prefix import running_sums
+from sketchlark.plans.running import running_sums
 
 N_SHARDS = 8
 
@@ -34,10 +34,10 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, key: str = "doc_id", text:
     )
     order = [F.col("_key"), F.col("text_crc32"), F.col("_hash"), F.col("size")]
     rows = running_sums(rows, order, {"first_byte": "size", "_row": "_one"})
-    total = F.broadcast(rows.agg(F.sum("size").alias("_total")))
+    total = rows.agg(F.sum("size")).first()[0] or 1
     middle = F.col("first_byte").cast("decimal(38,0)") * 2 + F.col("size")
-    cut = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / (F.col("_total") * 2)).cast("int"))
-    rows = rows.join(total).withColumn("shard", cut)
+    cut = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(2 * total).cast("decimal(38,0)")).cast("int"))
+    rows = rows.withColumn("shard", cut)
     first = F.broadcast(rows.groupBy("shard").agg(F.min("_row").alias("_first")).withColumnRenamed("shard", "_shard"))
     rows = rows.join(first, F.col("shard") == F.col("_shard"))
     return rows.select(F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("_row") - F.col("_first")).alias("slot"), "first_byte")

@@ -1,11 +1,13 @@
 import collections
 import itertools
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
 
-from sketchlark.llm import graph, jaccard, language, lines, mixing, packing, quality, sharding, tokens, vectors
+from sketchlark.llm import graph, jaccard, kernel, language, lines, mixing, packing, quality, recurrent, sharding, tokens, vectors
 from sketchlark.llm import html as pages
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -49,15 +51,30 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_shards(docs):
+def test_shards(docs, spark):
     rows = sharding.shard(docs, 5).collect()
+    given = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == collections.Counter((k, len(t) + 1, zlib.crc32(t)) for k, t in given)
+    # In the order of keys the sizes before a row add up to its first_byte; its middle decides the shard.
+    ordered = sorted(rows, key=lambda r: r.first_byte)
+    assert [r.doc_id for r in ordered] == sorted((k for k, _ in given), key=lambda k: (k is not None, k or 0))
+    total, at, slots = sum(r["size"] for r in rows), 0, collections.Counter()
+    for r in ordered:
+        assert r.first_byte == at and r.shard == min(4, (2 * at + r["size"]) * 5 // (2 * total)) and r.slot == slots[r.shard]
+        at += r["size"]
+        slots[r.shard] += 1
+    assert sharding.shard(docs.limit(0)).count() == 0
+
+
+def test_shards_with_ties_and_a_large_row(spark):
+    rows = [(1, "same")] * 40 + [(2, None)] * 3 + [(3, "x" * 5000)] + [(i, "y" * 20) for i in range(4, 60)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
     size = collections.Counter()
-    slots = collections.defaultdict(list)
-    for r in rows:
+    for r in got:
         size[r.shard] += r["size"]
-        slots[r.shard].append(r.slot)
-    assert len(rows) == docs.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sharding.shard(docs.limit(0)).count() == 0
+    assert len(got) == 100 and len({(r.shard, r.slot) for r in got}) == 100
+    assert sorted({r.first_byte for r in got if r.doc_id == 1}) == [5 * i for i in range(40)]
+    assert [r.doc_id for r in got if r["size"] > 5000] == [3] and sum(size.values()) == 40 * 5 + 3 + 5001 + 56 * 21
 
 
 def test_jaccard_against_brute_force(docs):
@@ -258,15 +275,73 @@ def test_language(spark):
     assert all(r.lang_pred == r.lang for r in out if r.doc_id >= 0) and {r.lang_pred for r in out if r.doc_id < 0} == {"und"}
 
 
-def test_language_sample_of_long_texts(spark):
+def test_language_of_rows_held_out(spark):
+    rng = np.random.default_rng(9)
+    kinds = {"aa": "aeiouy", "bb": "bcdfgh", "cc": "aceikm", "dd": "жзиклм"}
+    rows = []
+    for i in range(240):
+        k = list(kinds)[i % 4]
+        rows.append((i, " ".join("".join(rng.choice(list(kinds[k]), 5)) for _ in range(int(rng.choice([4, 20, 400])))), k))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.predict(df.where("doc_id >= 160"), language.fit(df, df.doc_id < 160)).collect()
+    assert len(out) == 80 and sum(r.lang_pred == r.lang for r in out) >= 78 and all(0 < r.score <= 1 for r in out)
+
+
+def test_language_edge_cases(spark):
+    df = spark.createDataFrame([(1, "abc abd " * 4, "aa"), (2, "xyz xyw " * 4, "bb"), (2, "xyz xyw " * 4, "bb"), (None, None, "aa"), (3, "", None), (4, " 1 2\n", "aa"), (5, "ab", None), (6, "xyzw " * 40_000, None)], "doc_id long, text string, lang string")
+    model = language.fit(df, df.doc_id < 3, steps=60)
+    out = language.predict(df, model).collect()
+    assert [(r.lang_pred, r.score) for r in out if r.doc_id in (None, 3, 4)] == [("und", 0.0)] * 3
+    assert {r.doc_id: r.lang_pred for r in out if r.doc_id in (1, 2, 5, 6)} == {1: "aa", 2: "bb", 5: "aa", 6: "bb"}
+    assert len(out) == 8 and language.predict(df.limit(0), model).count() == 0
+    alone = language.predict(df, language.fit(df, df.lang == "aa")).collect()
+    assert {r.lang_pred for r in alone if r.doc_id in (1, 2)} == {"aa"}
+    nothing = language.predict(df, language.fit(df.limit(0), df.doc_id < 3)).collect()
+    assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
+
+
+def test_language_pieces_cover_every_byte():
+    texts = [b"", "aé漢😀".encode() * 60, b"x", b"plain " * 50]
+    c = kernel.Chunk(texts)
+    start, end, text = language.pieces(c, 16)
+    for i, t in enumerate(texts):
+        own = [c.data[a:b].tobytes() for a, b, x in zip(start, end, text) if x == i]
+        assert b"".join(own) == t and all(p.decode() and len(p) <= 19 for p in own)
+
+
+def test_language_reads_across_pieces():
+    """The same result whatever else a chunk holds, and as from the plain networks run over the bytes around a piece."""
+    rng = np.random.default_rng(1)
+    w = recurrent.gru_weights(rng, 256, 8, "f") | recurrent.gru_weights(rng, 256, 8, "b") | {"v": rng.standard_normal((16, 3)).astype(np.float32), "c": np.zeros(3, np.float32)}
+    model = language.Labeller(["a", "b", "c"], w)
+    text = bytes(rng.integers(97, 123, 500).astype(np.uint8))
+    c = kernel.Chunk([b"other", text, b""])
+    got = model.pooled(c)
+    x = np.concatenate([np.full(600, 256), np.frombuffer(text, np.uint8), np.full(600, 256)]).astype(np.int64)
+    want = np.zeros(3)
+    start, end, of = language.pieces(c, language.PIECE)
+    for a, b in [(a - 6, b - 6) for a, b, i in zip(start, end, of) if i == 1]:  # the first text and its space take 6 bytes
+        f = recurrent.gru_forward(w, "f", x[600 + a - language.CONTEXT : 600 + b][:, None])[language.CONTEXT :]
+        longest = language.PIECE if len(text) > language.PIECE else b - a
+        after = x[600 + a : 600 + a + longest + language.CONTEXT][::-1]
+        r = recurrent.gru_forward(w, "b", after[:, None])[language.CONTEXT :][::-1][: b - a]
+        want += language.softmax(np.concatenate([f, r], 2) @ w["v"] + w["c"]).sum((0, 1))
+    assert np.allclose(got[1], want / len(text), atol=1e-5) and not got[2].any()
+
+
+def test_language_sample(spark):
     rng = np.random.default_rng(8)
-    vocabulary = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(400)]
-    rows = [(i, " ".join(rng.choice(vocabulary, 3000)), "aa") for i in range(20)]
-    sample = language.sample_words(spark.createDataFrame(rows, "key long, text string, lang string"))
-    assert len(sample) == 20 * language.WORDS_PER_DOC
-    assert len(set(sample)) > 300  # 20 * 48 random words hold about 364 of 400
-    short = language.sample_words(spark.createDataFrame([(1, "ab cd ab", "aa")], "key long, text string, lang string"))
-    assert short == [("aa", b"ab"), ("aa", b"ab"), ("aa", b"cd")]
+    rows = [(i, " ".join(str(x) for x in rng.integers(0, 10**6, 3000)), "aa") for i in range(20)] + [(90, "ab cd", "bb"), (91, "", "bb")]
+    df = spark.createDataFrame(rows, "key long, text string, lang string")
+    sample = language.sample_windows(df, windows=500)
+    own = [w for k, w in sample if k == "aa"]
+    assert 400 < len(own) < 600 and len(set(own)) == len(own) and [w for k, w in sample if k == "bb"] == [b"ab cd"]
+    # From all parts of all texts.
+    places = [(i, t.index(w.decode()) * 4 // len(t)) for w in own for i, t, _ in rows[:20] if w.decode() in t]
+    assert len(set(places)) == 80
+    every = language.sample_windows(df.where("lang = 'aa'"), windows=10**6)
+    assert sum(len(w) for _, w in every) == sum(len(t) for _, t, _ in rows[:20])
+    assert language.sample_windows(df.limit(0)) == []
 
 
 def test_html(spark):
@@ -284,3 +359,68 @@ def test_html_without_names(spark):
     df = spark.createDataFrame([(i, page(i)) for i in range(12)], "page_id long, html string")
     out = {r.page_id: r.text for r in pages.extract(df, pages.fit(df, steps=60)).collect()}
     assert out == {i: f"{body(i, 1)}\n\n{body(i, 2)}" for i in range(12)}
+
+
+def test_html_learns_from_names_to_do_without(spark):
+    """Pages with names teach; pages stripped of them are read nearly as well, headings and short lines included."""
+    rng = np.random.default_rng(12)
+    words = [f"{a}{b}" for a in "ba ce di fo gu".split() for b in "la me ni ro tu".split()]
+    line = lambda n: " ".join(rng.choice(words, n)).capitalize()
+
+    def page(named: bool) -> tuple[str, str]:
+        menu = "".join(f"<li><a href='/{i}'>{line(1)}</a></li>" for i in range(5))
+        main = [("h1", line(3))] + [("p", line(int(rng.integers(4, 60))) + ".") for _ in range(6)] + [("h2", line(2)), ("p", line(20) + ".")]
+        body = "".join(f"<{t}>{x}</{t}>" for t, x in main)
+        said = "".join(f"<div class='comment'><p>{line(12)}.</p></div>" if named else f"<div><div><p>{line(12)}.</p></div></div>" for _ in range(2))
+        parts = ("<nav><ul>", "</ul></nav><article>", "</article><section class='comments'>", "</section><footer>") if named else ("<div><ul>", "</ul></div><div>", "</div><div>", "</div><div>")
+        end = parts[3].split("<")[-1][:-1]
+        return f"<body>{parts[0]}{menu}{parts[1]}{body}{parts[2]}{said}{parts[3]}<p>{line(2)}</p></{end}></body>", "\n\n".join(x for _, x in main)
+
+    teach = [page(True) for _ in range(150)]
+    asked = [page(False) for _ in range(40)] + teach[:20]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(teach)], "page_id long, html string")
+    model = pages.fit(df)
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame([(i, h) for i, (h, _) in enumerate(asked)], "page_id long, html string"), model).collect()}
+    blocks = lambda t: collections.Counter(t.split("\n\n"))
+    hit = sum((blocks(out[i]) & blocks(t)).total() for i, (_, t) in enumerate(asked))
+    assert hit >= 0.97 * sum(blocks(t).total() for _, t in asked) and hit >= 0.97 * sum(blocks(t).total() for t in out.values())
+    assert all(out[40 + i] == t for i, (_, t) in enumerate(teach[:20]))
+
+
+def test_html_that_is_broken_or_long(spark):
+    began = time.time()
+    for page in ("<!" * 20_000, "<a '" * 20_000, "<p \"" * 20_000, "<" * 50_000, "<p>" * 5_000, "</p>" * 20_000, "<script>" * 5_000, "<?" * 20_000):
+        pages.blocks(page)
+    assert time.time() - began < 20
+    assert [t for _, t, _ in pages.blocks("<p>a &lt; b<p>c <br/>d<!-- x --> e</p>f<!-- open")] == ["a < b", "c d e", "f"]
+    assert [t for _, t, _ in pages.blocks("1 < 2 <b>bold</b>&nbsp;&amp; <style>p{}</style>after")] == ["1 < 2 bold &", "after"]
+    long = "<article>" + "".join(f"<p>Sentence number {i} of a long page says something.</p>" for i in range(3000)) + "</article>"
+    df = spark.createDataFrame([(1, long), (1, long), (None, None), (2, ""), (3, "no mark-up")], "page_id long, html string")
+    out = pages.extract(df, pages.fit(df, steps=30)).collect()
+    assert [r.text.count("Sentence") for r in out if r.page_id == 1] == [3000, 3000] and all(r.n_chars == len(r.text) for r in out)
+    assert pages.extract(df.limit(0), pages.fit(df.limit(0))).count() == 0
+
+
+def test_gradients_against_differences():
+    """Both recurrent nets' backward passes against small changes of single weights, with symbols that stand for nothing."""
+    rng = np.random.default_rng(13)
+    symbols = rng.integers(0, 6, (7, 3))
+    symbols[5:, 1] = symbols[:2, 2] = 5
+    for kind in ("gru", "lstm"):
+        w = {k: v.astype(np.float64) for k, v in (recurrent.gru_weights(rng, 5, 4, "f") if kind == "gru" else recurrent.lstm_weights(rng, 5, 4, "f")).items()}
+        x, live = rng.standard_normal((7, 3, 5)).astype(np.float32), (symbols < 5).astype(np.float32)
+        goal = rng.standard_normal((7, 3, 4)).astype(np.float32)
+        run = lambda keep: recurrent.gru_forward(w, "f", symbols, keep) if kind == "gru" else recurrent.lstm_forward(w, "f", x, live, keep)
+        loss = lambda: float((run(False).astype(np.float64) * goal).sum())
+        saved = run(True)[1]
+        grads = recurrent.gru_backward(w, "f", symbols, saved, goal) if kind == "gru" else recurrent.lstm_backward(w, "f", x, saved, goal)
+        for name, g in grads.items():
+            for _ in range(6):
+                at = tuple(int(rng.integers(n)) for n in g.shape)
+                was = w[name][at]
+                w[name][at] = was + 1e-3
+                up = loss()
+                w[name][at] = was - 1e-3
+                down = loss()
+                w[name][at] = was
+                assert abs((up - down) / 2e-3 - g[at]) < 2e-2 * max(1, abs(g[at])), (kind, name, at)
