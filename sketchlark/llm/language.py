@@ -15,11 +15,11 @@ from sketchlark.llm.recurrent import Adam, gru_backward, gru_forward, gru_projec
 
 #: The sample to learn from: labelled rows per language, and windows of WINDOW bytes from anywhere in them (both expected
 #: numbers, chosen by hash); training takes STEPS batches of BATCH windows.
-DOCS_PER_LANGUAGE, WINDOWS, WINDOW, STEPS, BATCH, HIDDEN, SEED = 600, 6000, 48, 140, 256, 16, 11
+DOCS_PER_LANGUAGE, WINDOWS, WINDOW, STEPS, BATCH, HIDDEN, SEED = 600, 6000, 48, 140, 256, 12, 11
 #: Texts are labelled in pieces of about PIECE bytes; either network starts CONTEXT bytes outside of its piece.
-PIECE, CONTEXT = 96, 24
+PIECE, CONTEXT = 192, 24
 #: A worker labels so many pieces at once.
-TOGETHER = 2048
+TOGETHER = 1024
 #: The symbol for what lies outside of a text: the networks start anew after it.
 OUTSIDE = 256
 

@@ -57,32 +57,39 @@ def gru_forward(w: dict, name: str, symbols: np.ndarray, keep: bool = False):
     return (states, saved) if keep else states
 
 
+@np.errstate(over="ignore")  # 1 / inf is 0, as it should be
 def gru_project(w: dict, name: str, symbols: np.ndarray, v: np.ndarray, skip: int) -> np.ndarray:
     """(time, outputs, batch): ``gru_forward``'s states times ``v`` for the symbols after the first ``skip``; states aren't kept."""
     table, rec = w[f"{name}x"], w[f"{name}h"]
     n, batch = rec.shape[0], symbols.shape[1]
-    # Gates and new state apart, so that every array is contiguous; sigmoid(a) = (tanh(a / 2) + 1) / 2.
-    gate_table, new_table = np.ascontiguousarray(table[:, : 2 * n]) * np.float32(0.5), np.ascontiguousarray(table[:, 2 * n :])
-    gate_rec, new_rec = np.ascontiguousarray(rec[:, : 2 * n]) * np.float32(0.5), np.ascontiguousarray(rec[:, 2 * n :])
+    # Gates and new state apart, so that every array is contiguous. Exponentials are the cheapest way to both curves:
+    # sigmoid(a) = 1 / (1 + exp(-a)) and tanh(a) = 1 - 2 / (1 + exp(2 a)), whose factors are put into the weights.
+    update_table, reset_table, new_table = (np.ascontiguousarray(table[:, i * n : (i + 1) * n]) * np.float32(f) for i, f in enumerate((-1, -1, 2)))
+    update_rec, reset_rec, new_rec = (np.ascontiguousarray(rec[:, i * n : (i + 1) * n]) * np.float32(f) for i, f in enumerate((-1, -1, 2)))
+    one, two = np.float32(1), np.float32(2)
     h = np.zeros((batch, n), np.float32)
-    gate, new, x, u = np.empty((batch, 2 * n), np.float32), np.empty((batch, n), np.float32), np.empty((batch, 2 * n), np.float32), np.empty((batch, n), np.float32)
+    x, z, r, new = (np.empty((batch, n), np.float32) for _ in range(4))
     out = np.empty((len(symbols) - skip, v.shape[1], batch), np.float32)
     across = np.ascontiguousarray(v.T)
     ended = (symbols >= len(table)).any(axis=1)
     for t, s in enumerate(symbols):
-        np.take(gate_table, s, axis=0, out=x, mode="clip")
-        np.matmul(h, gate_rec, out=gate)
-        gate += x
-        np.tanh(gate, out=gate)
-        gate *= np.float32(0.5)
-        gate += np.float32(0.5)
-        np.matmul(h, new_rec, out=u)
-        u *= gate[:, n:]
-        np.take(new_table, s, axis=0, out=new, mode="clip")
-        new += u
-        np.tanh(new, out=new)
+        for gate, gate_rec, gate_table in ((z, update_rec, update_table), (r, reset_rec, reset_table)):
+            np.matmul(h, gate_rec, out=gate)
+            np.take(gate_table, s, axis=0, out=x, mode="clip")
+            gate += x
+            np.exp(gate, out=gate)
+            gate += one
+            np.divide(one, gate, out=gate)
+        np.matmul(h, new_rec, out=new)
+        new *= r
+        np.take(new_table, s, axis=0, out=x, mode="clip")
+        new += x
+        np.exp(new, out=new)
+        new += one
+        np.divide(two, new, out=new)
+        np.subtract(one, new, out=new)
         h -= new
-        h *= gate[:, :n]
+        h *= z
         h += new
         if ended[t]:
             h[s >= len(table)] = 0
