@@ -1,4 +1,7 @@
-"""A corpus pipeline over the ``documents`` table: quality rules, line dedup, near duplicates, mixing, packing."""
+"""A corpus pipeline over the ``documents`` table: quality rules, line dedup, near duplicates, mixing, packing.
+
+Every stage but the last takes and returns the columns of documents; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -21,27 +24,42 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the log-likelihood ratio."""
+    """Documents that pass the base rules and the log-likelihood ratio.
+
+    Null and blank texts go, as they have fewer than ten words. Rows that repeat are judged alike and all stay or go.
+    Without trusted labels the base rules decide alone.
+    """
     return quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, later copies of repeated runs of lines deleted from their texts."""
+    """All documents, later copies of repeated runs of lines deleted from their texts.
+
+    A text of which every line occurs earlier becomes empty; null and empty texts stay as they are. Of equal documents
+    the one with the smallest key keeps its lines, null keys first; rows equal in key and text lose the same lines.
+    """
     return _documents(dedup_lines(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group by five-word Jaccard similarity of 0.8 or more: the one with the smallest doc_id."""
+    """One document of each group by five-word Jaccard similarity of 0.8 or more: the one with the smallest doc_id.
+
+    Documents without a word all stay. A null doc_id is passed over unless a group has no other, and of rows equal in
+    doc_id and text any one stays.
+    """
     return one_of_each(docs, n=5, percent=80).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: whole copies, and the words of blocks taken once more as a document of their own."""
+    """What the mix takes: whole copies, and the words of blocks taken once more as a document of their own.
+
+    Documents without a word go, as nothing of them is taken. A null source is a source like others, ranked last.
+    """
     return _documents(mixed_texts(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences in length buckets and batches."""
+    """Sequences in length buckets and batches; documents without a word give none, repeated ones as often as they occur."""
     return pack(docs)
 
 
