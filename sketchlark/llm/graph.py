@@ -52,17 +52,17 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v[more]), pa.array(root[more])], ["v", "p"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, joined: bool = False) -> DataFrame:
     """(v, root) for every vertex of ``links`` (two long columns), root being the component's smallest vertex.
 
-    Links are joined up within each task first, so a vertex has one link a task at most when they are dealt by their
+    Links are joined up within each task first (``joined``: they have been, which spares a Python worker), so a vertex has one link a task at most when they are dealt by their
     larger end. Each round then lets every vertex jump to its parent's parent, looked up so that no parent's vertices
     meet in one task (see ``plans.hubs``). Ends when each vertex has one parent and no parent has one. The tables of a
     round are removed when the next one is written.
     """
     a, b = (F.col(f"`{c}`") for c in links.columns[:2])
     e = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("p")).where("v <> p")
-    e = settle(e.mapInArrow(contract, "v long, p long").repartition("v").mapInArrow(contract, "v long, p long"), "links")
+    e = settle((e if joined else e.mapInArrow(contract, "v long, p long")).repartition("v").mapInArrow(contract, "v long, p long"), "links")
     while True:
         low = e.groupBy("v").agg(F.min("p").alias("q"), F.count("*").alias("n"))
         times = e.groupBy("p").agg(F.count("*").alias("times"))

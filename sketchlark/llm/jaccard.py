@@ -284,15 +284,24 @@ def trie_links(stored: list[tuple[int, np.ndarray]], asked: list[tuple[int, np.n
 
 def _joined(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (the five parts of a tile, side, vid, set) sorted by tile -> links."""
-        tile, sides, links = None, {}, []
+        """Rows (the five parts of a tile, side, vid, set) sorted by tile -> links, joined up per task."""
+        yield from contract(links(batches))
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, sides, found = None, {}, []
 
         def finish() -> None:
             if tile is not None:
                 stored, asked = list(sides.get(0, {}).items()), list(sides.get(1, {}).items())
                 alone = tile[1:3] == tile[3:5]
                 if stored and (asked or alone):
-                    links.extend(trie_links(stored, None if alone else asked, percent))
+                    found.extend(trie_links(stored, None if alone else asked, percent))
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            if found:
+                a, b = map(np.array, zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["v", "p"])
+                found.clear()
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(7)]
@@ -301,10 +310,9 @@ def _joined(percent: int):
                     finish()
                     tile, sides = at, {}
                 sides.setdefault(side, {})[vid] = np.frombuffer(raw.as_buffer(), np.uint64)
+            yield from taken()
         finish()
-        if links:
-            a, b = map(np.array, zip(*links))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        yield from taken()
 
     return run
 
@@ -350,7 +358,7 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
     """
     base = settle(hashed_sets(docs, n, percent, key, text, common_members(docs, n, text)), "sets")
     sig = base.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), F.col("n_shingles").alias("size"), F.col("set_a").alias("vid"))
-    blocks = settle(components(candidate_links(sig, percent)), "blocks")
+    blocks = settle(components(candidate_links(sig, percent), joined=True), "blocks")
 
     sets = base.where("n_shingles > 0").groupBy(F.col("set_a").alias("vid"), "set_b").agg(F.min("k").alias("low"), F.min(F.struct("k", "text_hash")).alias("rep"), F.first("n_shingles").alias("size"), F.count("*").alias("rows"))
     classes = settle(sets, "classes")
@@ -373,7 +381,7 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
     found = found.select("vid", "root", F.col("tiles").cast(kind).alias("tiles"), "t").mapInArrow(fetch, f"vid long, root long, tiles {kind}, raw binary")
     tiles = found.select("root", F.explode("tiles").alias("z"), "vid", "raw").select("root", "z.x", "z.lo", "z.y", "z.hi", "z.side", "vid", "raw")
     tiles = tiles.repartition("root", "x", "lo", "y", "hi").sortWithinPartitions("root", "x", "lo", "y", "hi")
-    comps = settle(components(tiles.mapInArrow(_joined(percent), "a long, b long")), "groups")
+    comps = settle(components(tiles.mapInArrow(_joined(percent), "v long, p long"), joined=True), "groups")
 
     # Rows of one set, and classes of one component, may be a large share of all: neither meets in one task.
     of = classes.join(comps, F.col("vid") == F.col("v"), "left").select("vid", "set_b", "low", "rows", F.coalesce("root", "vid").alias("root"))
