@@ -5,10 +5,13 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sketchlark.llm import mixing, packing, quality
+from sketchlark.plans import batches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -142,3 +145,22 @@ def test_stages_on_nothing_and_on_blanks(spark, corpus):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, folder).count() == 0
         assert stage(spark, blank, folder).count() == left[name], name
+
+
+@pytest.mark.parametrize("stage", [s for name, s in corpus_pipeline.STAGES if name != "packing"])
+def test_stages_bound_the_bytes_of_a_batch(spark, corpus, stage):
+    _, folder = corpus
+    before = spark.conf.get(batches.LIMIT, None)
+    spark.conf.unset(batches.LIMIT)
+    try:
+        stage(spark, read(spark, folder), folder)
+        long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcd"), 2000).alias("t"))
+        sizes = long.mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], ["n"]) for x in b), "n long").collect()
+        assert sum(r.n for r in sizes) > 3000 * 8000 and max(r.n for r in sizes) < 5_000_000
+        spark.conf.set(batches.LIMIT, 1 << 20)
+        stage(spark, read(spark, folder), folder)
+        assert int(spark.conf.get(batches.LIMIT)) == 1 << 20
+    finally:
+        spark.conf.unset(batches.LIMIT)
+        if before is not None:
+            spark.conf.set(batches.LIMIT, before)
