@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sketchlark.llm.graph import components, contract
+from sketchlark.llm.graph import components, contract, forest
 from sketchlark.llm.kernel import LOWER, Chunk, chunks, grams, mix64
 from sketchlark.plans.hubs import lookup
 from sketchlark.plans.names import neutral
@@ -35,6 +35,18 @@ def sets_of(c: Chunk, n: int) -> tuple[np.ndarray, np.ndarray]:
     return g, np.searchsorted(doc, np.arange(c.n + 1))
 
 
+@functools.lru_cache(maxsize=None)
+def lost(percent: int, n: int) -> tuple[int, int]:
+    """One more than the most members that a set of n members lacks in a set linked with it, and a bound for broken chains."""
+    pairs = []
+    for m in {-(-percent * n // 100), n, n * 100 // percent, min(n * 100 // percent, n + 1), max(-(-percent * n // 100), n - 1)}:
+        shared = -(-percent * (n + m) // (100 + percent))
+        if shared <= min(n, m):
+            pairs.append((n - shared, m - shared))
+    # one more for rounding between the sizes looked at
+    return max(a for a, _ in pairs) + 1, max(2 * a + b for a, b in pairs) + 3
+
+
 @functools.lru_cache(maxsize=None)
 def needs(percent: int, size: int) -> tuple[int, int]:
     """How many single members, and how many chains, a set of ``size`` members has to emit; 0: that kind isn't needed.
@@ -46,22 +58,13 @@ def needs(percent: int, size: int) -> tuple[int, int]:
     such sets and larger ones emit both kinds. For a low ``percent`` no size needs chains.
     """
 
-    def lost(n: int) -> tuple[int, int]:
-        pairs = []
-        for m in {-(-percent * n // 100), n, n * 100 // percent, min(n * 100 // percent, n + 1), max(-(-percent * n // 100), n - 1)}:
-            shared = -(-percent * (n + m) // (100 + percent))
-            if shared <= min(n, m):
-                pairs.append((n - shared, m - shared))
-        # one more for rounding between the sizes looked at
-        return max(a for a, _ in pairs) + 1, max(2 * a + b for a, b in pairs) + 3
-
     def chained_enough(n: int) -> bool:
-        return n - 1 - lost(n)[1] >= 1
+        return n - 1 - lost(percent, n)[1] >= 1
 
     if size < -(-percent // (100 - percent)):
         return 0, 0
     least = next((n for n in range(1, 400) if all(map(chained_enough, range(n, 2 * n + 50)))), None)
-    a, broken = lost(size)
+    a, broken = lost(percent, size)
     singles = min(size, a + 1) if least is None or percent * size < 100 * least else 0
     return singles, min(size - 1, broken + 1) if least is not None and size >= least else 0
 
@@ -282,6 +285,45 @@ def trie_links(stored: list[tuple[int, np.ndarray]], asked: list[tuple[int, np.n
     return out
 
 
+def parted(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """A label for each of ``sets``; linked sets have the same one.
+
+    Of each set the members that come first when those of the fewest sets here do, one more than a linked set may lack,
+    are kept: two linked sets have one of them in common. What many of the sets share comes last, so that sets which met
+    by a common passage part again, by one sort of all members instead of a comparison of each two.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    of = np.repeat(np.arange(len(sets)), size)
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((at, times[at], of))
+    first = np.fromiter((lost(percent, n)[0] + 1 for n in size.tolist()), np.int64, len(sets))
+    early = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size) < first[of]
+    at, of = at[order][early], of[early]
+    order = np.lexsort((of, size[of], at))
+    at, of = at[order], of[order]
+    near = _neighbours(percent, at, size[of], of)
+    label = np.arange(len(sets))
+    if near.any():
+        some, low = forest(of[1:][near], of[:-1][near])
+        label[some] = low
+    return label
+
+
+def tile_links(stored: list[tuple[int, np.ndarray]], asked: list[tuple[int, np.ndarray]] | None, percent: int) -> list[tuple[int, int]]:
+    """``trie_links`` of a tile, with a tree for each part of it that may hold links (see ``parted``)."""
+    if len(stored) + len(asked or []) <= 2:
+        return trie_links(stored, asked, percent)
+    sides: dict[int, tuple[list, list]] = {}
+    for i, label in enumerate(parted([s for _, s in stored + (asked or [])], percent).tolist()):
+        late = i >= len(stored)
+        sides.setdefault(label, ([], []))[late].append(asked[i - len(stored)] if late else stored[i])
+    out = []
+    for mine, others in sides.values():
+        if len(mine) > 1 if asked is None else mine and others:
+            out += trie_links(mine, None if asked is None else others, percent)
+    return out
+
+
 def _joined(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (the five parts of a tile, side, vid, set) sorted by tile -> links, joined up per task."""
@@ -295,7 +337,7 @@ def _joined(percent: int):
                 stored, asked = list(sides.get(0, {}).items()), list(sides.get(1, {}).items())
                 alone = tile[1:3] == tile[3:5]
                 if stored and (asked or alone):
-                    found.extend(trie_links(stored, None if alone else asked, percent))
+                    found.extend(tile_links(stored, None if alone else asked, percent))
 
         def taken() -> Iterator[pa.RecordBatch]:
             if found:
@@ -353,8 +395,9 @@ def near_groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, key: st
 
     Classes with a common signature (see ``signatures``: every link has one) form candidate blocks; only blocks of two
     or more fetch their sets. Classes are named by 64-bit hashes, whose chance to clash among 10^9 is about 1 in 40. A
-    block of more than ``trie`` classes is cut into chunks by size (see ``tiled``). Each task stores one chunk in a prefix
-    tree in the global order and looks the other up in it. An empty table gives an empty result.
+    block of more than ``trie`` classes is cut into chunks by size (see ``tiled``). A task parts two chunks by their rarest
+    members (see ``parted``); of each part it stores one chunk's sets in a prefix tree in the global order and looks the
+    other's up in it. An empty table gives an empty result.
     """
     base = settle(hashed_sets(docs, n, percent, key, text, common_members(docs, n, text)), "sets")
     sig = base.where("size(sigs) > 0").select(F.explode("sigs").alias("sig"), F.col("n_shingles").alias("size"), F.col("set_a").alias("vid"))

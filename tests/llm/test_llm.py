@@ -120,6 +120,40 @@ def test_trie_and_signatures():
         assert all(sigs[a] & sigs[b] for a, b in links if sets[a] != sets[b])
 
 
+def test_tiles_part_sets_that_share_a_passage_only(monkeypatch):
+    """Sets of one passage and own members: each two are compared before, only copies of one text after; no link is lost."""
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for percent in (90, 80, 60):
+        passage, sets = draw(20), []
+        for v in range(300):
+            own = np.concatenate([passage, draw(int(rng.integers(25, 60)))])
+            sets += [np.unique(np.concatenate([own[rng.random(len(own)) > lack], draw(more)])) for lack, more in ((0, 0), (0.02, 1), (0.06, 2))[: 1 + v % 7 % 3]]
+        sets = [(i, sets[i]) for i in rng.permutation(len(sets)).tolist()]
+        compared = []
+        real = jaccard.trie_links
+        monkeypatch.setattr(jaccard, "trie_links", lambda a, b, p: (compared.append(len(a) + len(b or [])), real(a, b, p))[1])
+        for stored, asked in ((sets, None), (sets[:200], sets[200:])):
+            every = set(range(len(sets)))
+            want = components_of(every, real(stored, asked, percent))
+            compared.clear()
+            assert components_of(every, jaccard.tile_links(stored, asked, percent)) == want
+            assert len(compared) > 20 and max(compared) <= 3
+        monkeypatch.undo()
+
+
+def test_parts_of_a_tile_against_brute_force():
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        percent, base = (90, 80, 60)[trial % 3], rng.integers(0, 1 << 63, int(rng.integers(1, 60))).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0, 0.03, 0.1, 0.3])], rng.integers(0, 1 << 63, int(rng.integers(0, 4))).astype(np.uint64)])) for _ in range(40)]
+        sets = [s for s in sets if len(s)]
+        label = jaccard.parted(sets, percent)
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert label[a] == label[b] or 100 * both < percent * (len(sets[a]) + len(sets[b]) - both)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((10, 16))
