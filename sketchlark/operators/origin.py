@@ -10,9 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchlark.functions.sequences import overlap_ratio, truth
+from sketchlark.operators import mapping
+from sketchlark.operators.sketch import kmers, sketch
+from sketchlark.params import Params
+from sketchlark.plans.scratch import settle
 
 SIDES = {"left": -1, "own": 0, "next": 1}
 _NOTHING = (None, None, 0, 0, -1.0)
+#: Letters of reads that a task looks at together; letters of a segment's reads beyond which they are dealt to several tasks.
+TOGETHER, MANY = 1 << 20, 1 << 28
+#: More than any position; parts the numbers of segments or windows from positions in one key.
+_FAR = 1 << 40
 
 
 def hits_before(h: np.ndarray, occs: np.ndarray) -> np.ndarray:
@@ -144,6 +152,150 @@ def origin_windows(ordered: DataFrame, sizes: DataFrame, ref: DataFrame, names:
     return rows.select(*plain, "hits").mapInArrow(run, schema)
 
 
+def _sketches(seqs: list[bytes], k: int, ratio: float) -> tuple[np.ndarray, ...]:
+    """(which of seqs, r, h) of all sampled k-mers of ``seqs``, in order."""
+    size = np.array([len(x) + 1 for x in seqs], np.int64)
+    start = np.cumsum(size) - size
+    r, h, _ = kmers(b"N".join([*seqs, b""]), k, ratio)
+    of = np.searchsorted(start, r, side="right") - 1
+    return of, r - start[of], h
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, index) of all indices of the ranges low .. high - 1."""
+    size = np.maximum(high - low, 0)
+    of = np.repeat(np.arange(len(size)), size)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]
+
+
+def best_of_each(win: np.ndarray, r: np.ndarray, h: np.ndarray, occs: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(win, r of the first hit, shared) of the first best window by ``letters`` of each ``win``, of hits sorted by (win, r).
+
+    The same as ``best_by_letters`` for each by itself; ``h`` are small numbers of k-mers.
+    """
+    n, place = len(win), np.arange(len(win))
+    same_kmer = win * (int(h.max(initial=0)) + 1) + h
+    order = np.argsort(same_kmer, kind="stable")
+    back = place - occs[order]
+    same = (back >= 0) & (same_kmer[order][np.maximum(back, 0)] == same_kmer[order])
+    before = np.full(n, -1)
+    before[order] = np.where(same, order[np.maximum(back, 0)], -1)
+    last = np.searchsorted(win * _FAR + r, win * _FAR + np.minimum(r + letters, _FAR - 1), side="right") - 1
+    low = np.maximum(before + 1, np.searchsorted(last, place))
+    some = low <= place
+    shared = np.cumsum(np.bincount(low[some], minlength=n + 1) - np.bincount(place[some] + 1, minlength=n + 1))[:n]
+    names, first = np.unique(win, return_index=True)
+    best = np.flatnonzero(shared == np.repeat(np.maximum.reduceat(shared, first), np.diff(np.append(first, n)))) if n else place
+    best = best[np.searchsorted(win[best], names)]
+    return names, r[best], shared[best]
+
+
+def _held(segs: list[tuple], own: list[tuple], p: Params) -> list[tuple]:
+    """Rows (key, segment, side, b, C_l, C_shared, C_score) of reads (group, key, start, letters) on segments (group, segment)."""
+    s_of = {x: i for i, x in enumerate(dict.fromkeys((g, name) for g, name, _ in segs))}
+    q_of = {x: i for i, x in enumerate(dict.fromkeys((g, key) for g, key, *_ in own))}
+    of, r, h = _sketches([x[2] for x in segs], p.k, p.ratio)
+    tpos = np.arange(len(of)) - np.searchsorted(of, of)
+    s = np.array([s_of[x[:2]] for x in segs], np.int64)[of]
+    if len(s_of) < len(segs):  # rows of one segment
+        order = np.lexsort((h, r, tpos, s))
+        s, tpos, r, h = s[order], tpos[order], r[order], h[order]
+    of, _, own_h = _sketches([x[4] for x in own], p.k, p.ratio)
+    q = np.array([q_of[x[:2]] for x in own], np.int64)[of]
+    m = np.bincount(q, minlength=len(q_of))
+    order = np.lexsort((own_h, q))
+    q, own_h = q[order], own_h[order]
+    new = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (own_h[1:] != own_h[:-1])])) if len(q) else q
+    occs, q, own_h = np.diff(np.append(new, len(q))), q[new], own_h[new]
+    names = np.unique(own_h)
+    wide = len(names) + 1
+    seed = q * wide + np.searchsorted(names, own_h)
+    kmer = np.searchsorted(names, h)
+    kmer = np.where(names[np.minimum(kmer, len(names) - 1)] == h, kmer, wide - 1) if len(names) else np.zeros(len(h), np.int64)
+
+    on = {}
+    for (g, name), i in s_of.items():
+        on.setdefault(g, []).append((i, name))
+    asked = [(key, name, q_of[g, key], i, start, letters) for g, key, start, letters in dict.fromkeys(x[:4] for x in own) if m[q_of[g, key]] for i, name in on.get(g, [])]
+    if not asked:
+        return []
+    w_q, w_s, start, letters = (np.repeat(np.array(x, np.int64), len(SIDES)) for x in list(zip(*asked))[2:])
+    by_r, by_t = np.sort(s * _FAR + r), s * _FAR + tpos
+    places = np.searchsorted(by_r, w_s * _FAR + np.clip(start, 0, _FAR - 1)) - np.searchsorted(by_r, w_s * _FAR)
+    b = np.maximum(0, places // m[w_q] + np.tile(list(SIDES.values()), len(asked)))
+    ends = [np.searchsorted(by_t, w_s * _FAR + np.minimum(x * m[w_q], _FAR - 1)) for x in (b, b + 2)]
+    win, i = _spread(*ends)
+    want = w_q[win] * wide + kmer[i]
+    found = np.searchsorted(seed, want)
+    hit = seed[np.minimum(found, len(seed) - 1)] == want
+    win, i, found = win[hit], i[hit], found[hit]
+    if len(s_of) < len(segs):
+        order = np.lexsort((tpos[i], r[i], win))
+        win, i, found = win[order], i[order], found[order]
+    left, shared, score = np.full(len(b), -1), np.zeros(len(b), np.int64), np.full(len(b), -1.0)
+    best, left_r, most = best_of_each(win, r[i], kmer[i], occs[found], letters[win])
+    left[best], shared[best], score[best] = left_r, most, most / m[w_q[best]]
+    each = [(key, name, side) for key, name, *_ in asked for side in SIDES]
+    return [(*x, bb, None if c < 0 else ll, n, c) for x, bb, ll, n, c in zip(each, b.tolist(), left.tolist(), shared.tolist(), score.tolist())]
+
+
+def containment_at_origin(reads: DataFrame, segments: DataFrame, params: Params, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
+    """(key, segment, side, b, C_l, C_shared, C_score) as in ``origin_windows``, of reads (key, seq) on segments (segment, segm_name, seq).
+
+    A read's windows lie in its own segment, so letters meet there instead of hashes, in one shuffle of both sides, and
+    each task sketches what it gets; it holds the k-mers of one segment. Reads of a segment that hold more than MANY
+    letters, or a thousandth of all, are dealt to several tasks, each with the segment's letters. Rows of one key are one
+    read, and rows of one segment are one, by the k-mers of all of them. With ``max_matches`` hashes have to be counted
+    over all segments, so they are met as in ``origin_windows``.
+    """
+    columns = [key, segment, "side", "b", "C_l", "C_shared", "C_score"]
+    if params.max_matches is not None:
+        cut = lambda df, c: sketch(df, c, "seq", params.k, params.ratio)
+        ordered, usable = mapping.seeded(cut(reads, key), cut(segments, segment), params, key)
+        return origin_windows(ordered, reads.select(key, F.length("seq").alias("P_sz")), usable, segments.select(segment, "segm_name"), key, segment).select(columns)
+    kinds = {key: reads.schema[key].dataType.simpleString(), segment: segments.schema[segment].dataType.simpleString()}
+    own = reads.withColumn("_t", truth(key)).where("_t is not null").select(F.col("_t.segment").alias("name"), F.col(key).alias("key"), F.col("_t.start").alias("start"), F.col("seq"))
+    size = settle(own.groupBy("name").agg(F.sum(F.length("seq")).alias("n")), "letters")
+    unit = max(MANY, (size.agg(F.sum("n")).first()[0] or 0) // 1000)
+    heavy = F.broadcast(size.where(F.col("n") > unit).select("name", F.ceil(F.col("n") / unit).cast("int").alias("parts")))
+    segs = segments.where("segm_name is not null").select(F.col("segm_name").alias("name"), F.col(segment).alias("segment"), "seq").join(heavy, "name", "left")
+    segs = segs.select("name", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), F.lit(0).alias("kind"), "segment", F.lit(None).cast(kinds[key]).alias("key"), F.lit(None).cast("long").alias("start"), "seq")
+    own = own.join(heavy, "name", "left").select("name", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast(kinds[segment]).alias("segment"), "key", "start", "seq")
+    rows = segs.unionByName(own).repartition("name", "part").sortWithinPartitions("name", "part", "kind", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, number, segs, own, letters, mine = None, 0, [], [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*_held(segs, own, params))) or [()] * len(columns)
+            types = [key_type, segment_type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], columns)
+
+        for batch in batches:
+            key_type, segment_type = batch.column(4).type, batch.column(3).type
+            cols = [batch.column(i).to_pylist() for i in range(6)]
+            for name, part, kind, seg, key_, start, seq in zip(*cols, batch.column(6)):
+                # What is held is looked at when a read begins; of segments only the present group's are kept.
+                if own and letters >= max(TOGETHER, 4 * mine) and ((name, part) != group or key_ != own[-1][1]):
+                    yield out()
+                    segs, own, letters = [x for x in segs if x[0] == number], [], 0
+                if (name, part) != group:
+                    if not own:
+                        segs = []
+                    group, number, mine = (name, part), number + 1, 0
+                seq = (seq.as_py() or "").encode("latin-1", "replace")
+                letters += len(seq)
+                if kind:
+                    own.append((number, key_, start, len(seq), seq))
+                else:
+                    segs.append((number, seg, seq))
+                    mine += len(seq)
+        if own:
+            yield out()
+
+    return rows.mapInArrow(run, f"`{key}` {kinds[key]}, `{segment}` {kinds[segment]}, side string, b int, C_l int, C_shared int, C_score double")
+
+
 def lost_reads(origins: DataFrame, buckets: DataFrame, key: str = "query_id", segment: str = "segm_id") -> DataFrame:
     """(key): reads none of whose candidate buckets is one at their origin."""
     return origins.select(key).distinct().join(origins.join(buckets.select(key, segment, "b"), [key, segment, "b"], "left_semi").select(key), key, "left_anti")
