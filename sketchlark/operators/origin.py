@@ -255,7 +255,9 @@ def containment_at_origin(reads: DataFrame, segments: DataFrame, params: Params,
         return origin_windows(ordered, reads.select(key, F.length("seq").alias("P_sz")), usable, segments.select(segment, "segm_name"), key, segment).select(columns)
     kinds = {key: reads.schema[key].dataType.simpleString(), segment: segments.schema[segment].dataType.simpleString()}
     own = reads.withColumn("_t", truth(key)).where("_t is not null").select(F.col("_t.segment").alias("name"), F.col(key).alias("key"), F.col("_t.start").alias("start"), F.col("seq"))
-    size = settle(own.groupBy("name").agg(F.sum(F.length("seq")).alias("n")), "letters")
+    # Reads may be costly to make, and are read twice.
+    own = settle(own, "reads")
+    size = own.groupBy("name").agg(F.sum(F.length("seq")).alias("n"))
     unit = max(MANY, (size.agg(F.sum("n")).first()[0] or 0) // 1000)
     heavy = F.broadcast(size.where(F.col("n") > unit).select("name", F.ceil(F.col("n") / unit).cast("int").alias("parts")))
     segs = segments.where("segm_name is not null").select(F.col("segm_name").alias("name"), F.col(segment).alias("segment"), "seq").join(heavy, "name", "left")
